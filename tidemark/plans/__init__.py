@@ -1 +1,6 @@
-"""tidemark.plans"""
+"""All registered queries."""
+
+from tidemark.plans import cleaning, features, metrics, splitting  # noqa: F401
+from tidemark.plans.registry import QUERIES
+
+__all__ = ["QUERIES"]
