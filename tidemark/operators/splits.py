@@ -115,10 +115,11 @@ def walk_forward(
         last = F.least(F.floor((pos - offset) / step), F.lit(periods - 1)).cast("int")
         return F.when(first <= last, F.sequence(first + 1, last + 1)).otherwise(F.array().cast("array<int>"))
 
-    spans = {"train": run(0, train), "val": run(train, val)}
-    members = [
-        F.transform(spans[r], lambda p, r=r: F.struct(p.alias("period"), F.lit(r).alias("role"))) for r in roles
-    ]
+    def tagged(role: str) -> Column:
+        span = run(0, train) if role == "train" else run(train, val)
+        return F.transform(span, lambda p: F.struct(p.alias("period"), F.lit(role).alias("role")))
+
+    members = [tagged(r) for r in roles]
     return _long(placed, F.concat(*members) if len(members) > 1 else members[0])
 
 
