@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import P, Y, period_metrics
 from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, over_order
 from tidemark.operators.splits import walk_forward
+from tidemark.session import materialize
 
 SCORES = ("wape", "mae", "r2", "tail_mae")
 
@@ -42,6 +43,8 @@ def backtest_forecast(
 ) -> DataFrame:
     """Per-period scores of a forecast that needs no fitting; one job for all periods."""
     rows = forecast.select(*order, Y, P)
+    if rows.count() > rows_per_range:
+        rows = materialize(rows)
     members = walk_forward(rows, order, train, val, step, ["val"], rows_per_range)
     scores = period_metrics(members, ["period"], rows_per_range)
     return scores.select(

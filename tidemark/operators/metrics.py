@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import errors as E
-from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, group_shape, over_order
-from tidemark.operators.quantiles import exact_quantiles, small_side
+from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, group_shape, join_groups, over_order
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import materialize
 
 Y, P = "y_true", "y_pred"
 
@@ -30,9 +31,7 @@ def with_cuts(
     if not by:
         values = (cuts.first() or [None])[0]
         return df.withColumn("cuts", F.lit(values) if values else F.lit(None).cast("array<double>"))
-    keyed = small_side(cuts.withColumnsRenamed({c: f"__by_{c}" for c in by}), shape.groups)
-    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-    return df.join(keyed, same).drop(*[f"__by_{c}" for c in by])
+    return join_groups(df, cuts, by, shape.groups)
 
 
 def tail_cut(i: int) -> Column:
@@ -73,6 +72,8 @@ def metric_suite(
     """
     rows = scored(df, y, p).select(*dict.fromkeys([*by, *order]), Y, P)
     shape = group_shape(rows, by)
+    if shape.largest > rows_per_range:
+        rows = materialize(rows)
     tagged = rows
     metrics = basic_metrics()
     if order:

@@ -245,6 +245,21 @@ def _with_enough_halo(df: DataFrame, cut: RangeCut, before: list[str], reach: in
     return RangeCut(cut.by, cut.order, cut.key_type, points), starts
 
 
+BROADCAST_GROUPS = 50_000
+
+
+def small_side(df: DataFrame, groups: int) -> DataFrame:
+    """Broadcast hint for a per-group table of a counted size; beyond it Spark joins by key."""
+    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+
+
+def join_groups(df: DataFrame, per_group: DataFrame, by: Sequence[str], groups: int) -> DataFrame:
+    """Add a per-group table's columns to each row; NULL keys match each other."""
+    keyed = small_side(per_group.withColumnsRenamed({c: f"__by_{c}" for c in by}), groups)
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    return df.join(keyed, same).drop(*[f"__by_{c}" for c in by])
+
+
 def cumulative_counts(
     df: DataFrame,
     by: Sequence[str],
@@ -252,23 +267,25 @@ def cumulative_counts(
     measures: dict[str, Column],
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """One row per (by, value) with each measure's sum and its running sum ``cum_<measure>``.
+    """One row per (by, value): each measure's sum, its running sum ``cum_*`` and its group total ``total_*``.
 
     ``measures`` are aggregate expressions giving integers.  The rows are
     counted per value before any shuffle, so a frequent value costs nothing.
     """
     names = list(measures)
+    sums = [c.alias(n) for n, c in measures.items()]
 
     def running(spec: WindowSpec) -> list[Column]:
         frame = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return [F.sum(n).over(frame).cast("long").alias(f"cum_{n}") for n in names]
 
     def plain() -> DataFrame:
-        counts = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in measures.items()])
-        return counts.select("*", *running(ordered(by, [value])))
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        totals = [F.sum(n).over(group).cast("long").alias(f"total_{n}") for n in names]
+        return df.groupBy(*by, value).agg(*sums).select("*", *running(ordered(by, [value])), *totals)
 
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(value).alias("values"))
-    row = sizes.agg(F.sum("rows"), F.max(F.least("rows", F.col("values") * 1.2))).first()
+    row = sizes.agg(F.sum("rows"), F.max(F.least("rows", F.col("values") * 1.2)), F.count(F.lit(1))).first()
     if row[0] is None or row[1] <= rows_per_range:
         return plain()
     cut, _ = RangeCut.choose(df, by, [value], row[0], range_count(row[0], rows_per_range))
@@ -276,13 +293,15 @@ def cumulative_counts(
         return plain()
     ranged = df.withColumn(_RANGE, cut.range_of())
     tail_rows = ranged.where(cut.same_group(cut.cut(F.col(_RANGE))))
-    tails = {
-        r[0]: tuple(r[1:]) for r in tail_rows.groupBy(_RANGE).agg(*[c.alias(n) for n, c in measures.items()]).collect()
-    }
-    counts = ranged.groupBy(_RANGE, *by, value).agg(*[c.alias(n) for n, c in measures.items()])
+    tails = {r[0]: tuple(r[1:]) for r in tail_rows.groupBy(_RANGE).agg(*sums).collect()}
+    counts = ranged.groupBy(_RANGE, *by, value).agg(*sums)
     inherits = cut.same_group(cut.cut(F.col(_RANGE) - 1)) if by else F.lit(True)
     local = counts.select("*", *running(ordered(by, [value], _RANGE)))
     for name, carry in zip(names, cut.carries(tails, len(names))):
         add = F.get(long_array(carry), F.col(_RANGE))
         local = local.withColumn(f"cum_{name}", F.col(f"cum_{name}") + F.when(inherits, add).otherwise(F.lit(0)))
-    return local.drop(_RANGE)
+    totals = df.groupBy(*by).agg(*[c.cast("long").alias(f"total_{n}") for n, c in measures.items()])
+    if by:
+        return join_groups(local, totals, by, row[2]).drop(_RANGE)
+    whole = totals.first()
+    return local.select("*", *[F.lit(whole[f"total_{n}"]).alias(f"total_{n}") for n in names]).drop(_RANGE)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import long_form
-from tidemark.operators.quantiles import small_side
+from tidemark.operators.ordering import small_side
 
 MAX_CATEGORIES = 10_000
 

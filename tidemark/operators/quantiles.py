@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, cumulative_counts, group_shape
 
-BROADCAST_GROUPS = 50_000
-
-
-def small_side(df: DataFrame, groups: int) -> DataFrame:
-    """Broadcast hint for a per-group table of a counted size; beyond it Spark joins by key."""
-    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
-
-
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -40,23 +32,15 @@ def exact_quantiles(
         return present.groupBy(*by).agg(agg) if by else present.agg(agg)
 
     cumulative = cumulative_counts(present, by, "__v", {"n": F.count(F.lit(1))}, rows_per_range)
-    totals = present.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
-    if by:
-        keyed = small_side(totals.withColumnsRenamed({c: f"__by_{c}" for c in by}), shape.groups)
-        same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-        joined = cumulative.join(keyed, same).drop(*[f"__by_{c}" for c in by])
-    else:
-        joined = cumulative.withColumn("__total", F.lit(shape.rows))
-
     def at_rank(rank):
         holds = (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
         return F.max(F.when(holds, F.col("__v")))
 
     def quantile(p: float):
-        rank = F.lit(float(p)) * (F.col("__total") - 1)
+        rank = F.lit(float(p)) * (F.col("total_n") - 1)
         low, high = at_rank(F.floor(rank)), at_rank(F.ceil(rank))
         part = F.max(rank - F.floor(rank))
         return low + (high - low) * part
 
     agg = F.array(*[quantile(p) for p in probs]).alias(name)
-    return joined.groupBy(*by).agg(agg) if by else joined.agg(agg)
+    return cumulative.groupBy(*by).agg(agg) if by else cumulative.agg(agg)
