@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +80,32 @@ def gated_groups(
     return placed.select(
         *df.columns, seq.alias("seq"), F.floor(F.col("__p") / every).alias("gate"), (seq % every == 0).alias("check_here")
     )
+
+
+def score_table(
+    model: PipelineModel,
+    df: DataFrame,
+    key: Sequence[str],
+    inputs: Sequence[str],
+    version: str = "unknown",
+    radius: float | None = None,
+    confidence: float | None = None,
+) -> DataFrame:
+    """Prediction records: key, prediction, model_version, confidence and, with a conformal radius, the band.
+
+    ``inputs`` are the raw columns the model needs; column order does not
+    matter, a missing one is an error.
+    """
+    missing = sorted(set(inputs) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing features: {missing}")
+    level = confidence if radius is not None else None
+    p = F.col("y_pred")
+    band = [] if radius is None else [(p - radius).alias("low"), (p + radius).alias("high")]
+    return model.transform(df).select(
+        *key,
+        p.alias("prediction"),
+        F.lit(version).alias("model_version"),
+        F.lit(level).cast("double").alias("confidence"),
+        *band,
+    )
