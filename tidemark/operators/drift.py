@@ -85,7 +85,8 @@ def _distribution_gap(pairs: DataFrame, by: Sequence[str], rows_per_range: int)
     )
 
 
-def _values(baseline: Baseline, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def feature_values(baseline: Baseline, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, value) rows of the drift matrix; also works on a stream."""
     matrix = baseline.matrix(current, by)
     values = long_form(matrix, [c for c in matrix.columns if c not in by], keep=by)
     return values.where("value IS NOT NULL AND NOT isnan(value)")
@@ -94,12 +95,12 @@ def _values(baseline: Baseline, current: DataFrame, by: Sequence[str] = ()) -> D
 def sample_pairs(baseline: Baseline, current: DataFrame) -> DataFrame:
     """Weighted (feature, value) rows of both samples."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    cur = _values(baseline, current).select("feature", "value", zero.alias("w_ref"), one.alias("w_cur"))
+    cur = feature_values(baseline, current).select("feature", "value", zero.alias("w_ref"), one.alias("w_cur"))
     ref = baseline.counts.select("feature", "value", F.col("n").alias("w_ref"), zero.alias("w_cur"))
     return ref.unionByName(cur)
 
 
-def _window_gaps(baseline: Baseline, current: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
+def _window_gaps(baseline: Baseline, cur: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
     """Gaps of many current windows against one reference.
 
     Between two values of a window its own distribution is flat, so the gap
@@ -108,8 +109,7 @@ def _window_gaps(baseline: Baseline, current: DataFrame, by: Sequence[str], rows
     repeated per window.
     """
     keys = [*by, "feature"]
-    cur = _values(baseline, current, by)
-    own = cumulative_counts(cur, keys, "value", {"n_cur": F.count(F.lit(1))}, rows_per_range)
+    own = cumulative_counts(cur, keys, "value", {"n_cur": F.sum("w").cast("long")}, rows_per_range)
     zero = F.lit(0).cast("long")
     points = baseline.counts.select("feature", "value", F.col("n").alias("w_ref")).unionByName(
         cur.select("feature", "value", zero.alias("w_ref"))
@@ -134,9 +134,21 @@ def ks_test(
         raise ValueError(f"alternative must be one of {ALTERNATIVES}")
     keys = [*by, "feature"]
     if by:
-        gaps = _window_gaps(baseline, current, by, rows_per_range)
+        weighted = feature_values(baseline, current, by).withColumn("w", F.lit(1))
+        gaps = _window_gaps(baseline, weighted, by, rows_per_range)
     else:
         gaps = _distribution_gap(sample_pairs(baseline, current), keys, rows_per_range)
+    return _ks_result(gaps, keys, alternative)
+
+
+def ks_from_counts(
+    baseline: Baseline, counts: DataFrame, by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """The two-sided test for windows that are already counted: (by..., feature, value, w)."""
+    return _ks_result(_window_gaps(baseline, counts, by, rows_per_range), [*by, "feature"], "two-sided")
+
+
+def _ks_result(gaps: DataFrame, keys: Sequence[str], alternative: str) -> DataFrame:
     gap = F.col("gap")
     statistic = {
         "two-sided": F.max(F.abs(gap)),
