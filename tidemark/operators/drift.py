@@ -14,6 +14,7 @@ from tidemark.operators.preprocess import vocabularies
 from tidemark.session import materialize
 
 KOLMOGOROV_TERMS = 100
+WEIGHT = "__weight"
 ALTERNATIVES = ("two-sided", "less", "greater")
 
 RESULT_SCHEMA = (
@@ -109,7 +110,7 @@ def _window_gaps(baseline: Baseline, cur: DataFrame, by: Sequence[str], rows_per
     repeated per window.
     """
     keys = [*by, "feature"]
-    own = cumulative_counts(cur, keys, "value", {"n_cur": F.sum("w").cast("long")}, rows_per_range)
+    own = cumulative_counts(cur, keys, "value", {"n_cur": F.sum(WEIGHT).cast("long")}, rows_per_range)
     zero = F.lit(0).cast("long")
     points = baseline.counts.select("feature", "value", F.col("n").alias("w_ref")).unionByName(
         cur.select("feature", "value", zero.alias("w_ref"))
@@ -134,7 +135,7 @@ def ks_test(
         raise ValueError(f"alternative must be one of {ALTERNATIVES}")
     keys = [*by, "feature"]
     if by:
-        weighted = feature_values(baseline, current, by).withColumn("w", F.lit(1))
+        weighted = feature_values(baseline, current, by).withColumn(WEIGHT, F.lit(1))
         gaps = _window_gaps(baseline, weighted, by, rows_per_range)
     else:
         gaps = _distribution_gap(sample_pairs(baseline, current), keys, rows_per_range)
@@ -144,7 +145,7 @@ def ks_test(
 def ks_from_counts(
     baseline: Baseline, counts: DataFrame, by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """The two-sided test for windows that are already counted: (by..., feature, value, w)."""
+    """The two-sided test for windows that are already counted: (by..., feature, value, ``WEIGHT``)."""
     return _ks_result(_window_gaps(baseline, counts, by, rows_per_range), [*by, "feature"], "two-sided")
 
 

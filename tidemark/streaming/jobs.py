@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.drift import Baseline, feature_values, ks_from_counts
+from tidemark.operators.drift import WEIGHT, Baseline, feature_values, ks_from_counts
 from tidemark.operators.ordering import GroupShape, positions
 from tidemark.operators.preprocess import FittedColumns
 from tidemark.operators.scoring import score_table
@@ -68,9 +68,9 @@ def monitor_windows(
     """
     timed = stream.withColumn("__ts", F.col(time).cast("timestamp")).withWatermark("__ts", delay)
     counts = feature_values(baseline, timed, ["__ts"]).groupBy(F.window("__ts", window), "feature", "value").agg(
-        F.count(F.lit(1)).alias("w")
+        F.count(F.lit(1)).alias(WEIGHT)
     )
-    closed = counts.select(F.col("window.start").alias("window_start"), "feature", "value", "w")
+    closed = counts.select(F.col("window.start").alias("window_start"), "feature", "value", WEIGHT)
 
     def test(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -127,7 +127,7 @@ def monitor_every(
         rest.write.mode("overwrite").parquet(_batch_folder(pending, batch_id))
         gated = placed.where(F.col("__p") < full * every).withColumn("gate", F.floor(F.col("__p") / every) + done)
         if full:
-            values = feature_values(baseline, gated, ["gate"]).withColumn("w", F.lit(1))
+            values = feature_values(baseline, gated, ["gate"]).withColumn(WEIGHT, F.lit(1))
             tests = ks_from_counts(baseline, values, ["gate"]).withColumn("is_drift", F.col("p_value") < threshold)
             tests.write.mode("overwrite").parquet(_batch_folder(results, batch_id))
         spark.createDataFrame([(full,)], "done long").coalesce(1).write.mode("overwrite").parquet(
