@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import numeric_columns, without_nan
-from tidemark.operators.ordering import ROWS_PER_RANGE
+from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape
 from tidemark.operators.quantiles import exact_quantiles
 
 UNKNOWN = "Unknown"
@@ -138,20 +138,24 @@ def iqr_filter(
     bounds from the unfiltered rows in one pass; it is another result.
     """
     present = [c for c in columns if c in df.columns]
+    n = df.count()  # filters only lower it, so it bounds every later pass
     if mode == "independent":
-        bounds = _quartiles(df, present, rows_per_range)
+        bounds = _quartiles(df, present, n, rows_per_range)
         for c in present:
             df = _inside(df, c, bounds.get(c), factor)
         return df
     if mode != "sequential":
         raise ValueError(f"unknown mode {mode!r}")
     for c in present:
-        df = _inside(df, c, _quartiles(df, [c], rows_per_range).get(c), factor)
+        df = _inside(df, c, _quartiles(df, [c], n, rows_per_range).get(c), factor)
     return df
 
 
-def _quartiles(df: DataFrame, columns: Sequence[str], rows_per_range: int) -> dict[str, list[float]]:
-    q = exact_quantiles(long_form(df, columns), "value", [0.25, 0.75], ["feature"], rows_per_range=rows_per_range)
+def _quartiles(df: DataFrame, columns: Sequence[str], n: int, rows_per_range: int) -> dict[str, list[float]]:
+    shape = GroupShape(n * len(columns), len(columns), n)
+    q = exact_quantiles(
+        long_form(df, columns), "value", [0.25, 0.75], ["feature"], rows_per_range=rows_per_range, shape=shape
+    )
     return {r["feature"]: r["quantiles"] for r in q.collect()}
 
 

@@ -29,20 +29,72 @@ def lag_columns(w: WindowSpec, target: str, lags: Sequence[int] = LAGS) -> dict[
     return {f"{target}_lag_{k}": F.lag(target, k).over(w) for k in lags}
 
 
-def rolling_columns(w: WindowSpec, target: str, windows: Sequence[int] = WINDOWS, safe: bool = False) -> dict[str, Column]:
-    """Mean, sample std, min and max of the last k rows.
+def _summary_names(target: str, k: int) -> list[str]:
+    return [f"{target}_rolling_{s}_{k}" for s in ("mean", "std", "min", "max")]
+
+
+def _chunk_of(k: int, windows: Sequence[int]) -> int | None:
+    """The largest other window that divides ``k``."""
+    return max((b for b in windows if b < k and k % b == 0), default=None)
+
+
+def rolling_columns(
+    w: WindowSpec, target: str, windows: Sequence[int] = WINDOWS, safe: bool = False
+) -> list[dict[str, Column]]:
+    """Mean, sample std, min and max of the last k rows, in up to three steps.
+
+    A sliding frame costs k updates per row.  A window that is a multiple of
+    a shorter one (90 = 3 x 30) is therefore put together from that one's
+    summaries 0, 30 and 60 rows back; counts, means and squared deviations
+    merge without cancellation.
 
     ``safe`` ends the frame one row before the current one, so the target of
     a row never enters its own features.
     """
-    made = {}
+    direct: dict[str, Column] = {}
+    lagged: dict[str, Column] = {}
+    merged: dict[str, Column] = {}
+    chunks = {k: _chunk_of(k, windows) for k in windows}
     for k in windows:
-        over = w.rowsBetween(-k, -1) if safe else w.rowsBetween(-(k - 1), 0)
-        made[f"{target}_rolling_mean_{k}"] = F.avg(target).over(over)
-        made[f"{target}_rolling_std_{k}"] = F.stddev_samp(target).over(over)
-        made[f"{target}_rolling_min_{k}"] = F.min(target).over(over)
-        made[f"{target}_rolling_max_{k}"] = F.max(target).over(over)
-    return made
+        if chunks[k] is None:
+            over = w.rowsBetween(-k, -1) if safe else w.rowsBetween(-(k - 1), 0)
+            parts = [F.avg(target), F.stddev_samp(target), F.min(target), F.max(target)]
+            direct |= {n: c.over(over) for n, c in zip(_summary_names(target, k), parts)}
+            if k in chunks.values():
+                direct[f"__n_{k}"] = F.count(target).over(over)
+    for k, b in chunks.items():
+        if b is None:
+            continue
+        base = b
+        while chunks[base] is not None:
+            base = chunks[base]
+        mean, std, low, high = (F.col(n) for n in _summary_names(target, base))
+        n = F.col(f"__n_{base}")
+        deviation = F.coalesce(std * std * (n - 1), F.lit(0.0))
+        chunk = F.struct(n.alias("n"), mean.alias("mean"), deviation.alias("m2"), low.alias("low"), high.alias("high"))
+        names = []
+        for back in range(0, k, base):
+            name = f"__chunk_{base}_{back}"
+            lagged[name] = F.lag(chunk, back).over(w) if back else chunk
+            names.append(name)
+        merged |= dict(zip(_summary_names(target, k), _merge([F.col(c) for c in names])))
+    return [step for step in (direct, lagged, merged) if step]
+
+
+def _merge(chunks: list[Column]) -> list[Column]:
+    def total(values: list[Column]) -> Column:
+        out = values[0]
+        for v in values[1:]:
+            out = out + v
+        return out
+
+    counts = [F.coalesce(c["n"], F.lit(0)).cast("double") for c in chunks]
+    means = [F.coalesce(c["mean"], F.lit(0.0)) for c in chunks]
+    n = total(counts)
+    mean = F.try_divide(total([k * m for k, m in zip(counts, means)]), n)
+    spread = total([F.coalesce(c["m2"], F.lit(0.0)) + k * (m - mean) * (m - mean) for c, k, m in zip(chunks, counts, means)])
+    std = F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)))
+    return [mean, std, F.least(*[c["low"] for c in chunks]), F.greatest(*[c["high"] for c in chunks])]
 
 
 def change_columns(w: WindowSpec, target: str, periods: Sequence[int] = PERIODS, safe: bool = False) -> dict[str, Column]:
@@ -96,15 +148,18 @@ def create_all_features(
 ) -> DataFrame:
     """12 calendar, 3 lag, 12 rolling and 6 change columns in one shuffle and one sort."""
 
-    def columns(w: WindowSpec) -> dict[str, Column]:
-        return {
-            **lag_columns(w, roles.target),
-            **rolling_columns(w, roles.target, safe=safe),
-            **change_columns(w, roles.target, safe=safe),
-        }
+    def columns(w: WindowSpec) -> list[dict[str, Column]]:
+        first, *rest = rolling_columns(w, roles.target, safe=safe)
+        return [{**lag_columns(w, roles.target), **first, **change_columns(w, roles.target, safe=safe)}, *rest]
 
+    names = [
+        *[f"{roles.target}_lag_{k}" for k in LAGS],
+        *[n for k in WINDOWS for n in _summary_names(roles.target, k)],
+        *[f"{roles.target}_{kind}_{k}" for k in PERIODS for kind in ("pct_change", "diff")],
+    ]
     timed = add_time_features(df, roles.time)
     reach = max(*LAGS, *WINDOWS, *PERIODS) + 1
-    return over_order(
+    made = over_order(
         timed, columns, order=roles.order, by=roles.by, reach=reach, rows_per_range=rows_per_range, shape=shape
     )
+    return made.select(*timed.columns, *names)

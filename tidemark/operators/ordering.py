@@ -30,7 +30,7 @@ from pyspark.sql import Window
 from tidemark.functions.numeric import all_of
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4_096
+MAX_RANGES = 16_384
 SAMPLES_PER_RANGE = 20
 
 _RANGE, _OWN = "__range", "__own"
@@ -179,7 +179,7 @@ def positions(
 
 def over_order(
     df: DataFrame,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]],
     *,
     order: Sequence[str],
     by: Sequence[str] = (),
@@ -189,14 +189,25 @@ def over_order(
 ) -> DataFrame:
     """Add row-based window columns that look back at most ``reach`` rows.
 
+    ``columns`` may give several steps, where a later step uses columns of an
+    earlier one; names starting with ``__`` are dropped at the end.  All steps
+    share one shuffle and one sort.
+
     Beyond ``rows_per_range`` rows per group, each range also receives the
     rows just before it (at least ``reach`` of them, same group), which are
     dropped again after the window.
     """
 
+    def add(rows: DataFrame, window: WindowSpec) -> DataFrame:
+        steps = columns(window)
+        names = []
+        for made in [steps] if isinstance(steps, dict) else steps:
+            names += made
+            rows = rows.select("*", *[c.alias(n) for n, c in made.items()])
+        return rows.drop(*[n for n in names if n.startswith("__")])
+
     def plain() -> DataFrame:
-        made = columns(ordered(by, order))
-        return df.select("*", *[c.alias(n) for n, c in made.items()])
+        return add(df, ordered(by, order))
 
     shape = shape or group_shape(df, by)
     if shape.largest <= rows_per_range:
@@ -214,8 +225,7 @@ def over_order(
     spread = df.withColumn("__home", cut.range_of()).withColumn(
         _RANGE, F.explode(F.when(lends, F.array(home, home + 1)).otherwise(F.array(home)))
     )
-    made = columns(ordered(by, order, _RANGE))
-    out = spread.select("*", (F.col(_RANGE) == home).alias(_OWN), *[c.alias(n) for n, c in made.items()])
+    out = add(spread.withColumn(_OWN, F.col(_RANGE) == home), ordered(by, order, _RANGE))
     return out.where(_OWN).drop("__home", _RANGE, _OWN)
 
 

@@ -66,12 +66,9 @@ def fit_columns(
     """Mean and population std per numeric column (std 0 counts as 1), sorted vocabulary per categorical one."""
     moments: dict[str, tuple[float, float]] = {}
     if numeric:
-        aggs = []
-        for c in numeric:
-            x = F.col(c).cast("double")
-            aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
-        row = df.agg(*aggs).first()
-        moments = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in numeric}
+        rows = long_form(df, numeric).groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+        found = {r["feature"]: (r["m"] or 0.0, r["s"] or 1.0) for r in rows.collect()}
+        moments = {c: found.get(c, (0.0, 1.0)) for c in numeric}
     return FittedColumns(moments, vocabularies(df, categorical, max_categories))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.forest import ForestParams, fit_forest
 from tidemark.operators.preprocess import FittedColumns
+from tidemark.session import materialize
 
 CELLS = 64
 EPSILON = 1e-12
@@ -91,4 +92,4 @@ def fit_quantile_forest(
     totals = counts.groupBy("tree", "leaf").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total") / F.lit(float(params.n_estimators))
     leaf_values = counts.join(totals, ["tree", "leaf"]).select("tree", "leaf", "cell", "y", share.alias("w"))
-    return QuantileForest(model, tuple(quantiles), leaf_values)
+    return QuantileForest(model, tuple(quantiles), materialize(leaf_values))

@@ -64,19 +64,25 @@ def _long(placed: DataFrame, folds: Column) -> DataFrame:
     return placed.select("*", F.inline(folds))
 
 
+def fold_bounds(n: int, folds: int, fold: int) -> tuple[int, int]:
+    """First and end position of a fold's validation rows; everything before is training."""
+    size = n // (folds + 1)
+    if size == 0:
+        raise ValueError(f"cannot make {folds} folds from {n} rows")
+    start = n - folds * size + fold * size
+    return start, start + size
+
+
 def expanding_folds(
     df: DataFrame, order: Sequence[str], folds: int = 5, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Expanding-window CV, long form (row, fold, role)."""
     placed, n = _positioned(df, order, rows_per_range)
-    size = n // (folds + 1)
-    if size == 0:
-        raise ValueError(f"cannot make {folds} folds from {n} rows")
     pos = F.col("pos")
 
     def member(i: int) -> Column:
-        start = n - folds * size + i * size
-        role = F.when(pos < start, "train").when(pos < start + size, "val")
+        start, end = fold_bounds(n, folds, i)
+        role = F.when(pos < start, "train").when(pos < end, "val")
         return F.struct(F.lit(i).alias("fold"), role.alias("role"))
 
     return _long(placed, F.filter(F.array(*[member(i) for i in range(folds)]), lambda m: m["role"].isNotNull()))

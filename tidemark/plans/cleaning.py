@@ -63,7 +63,7 @@ def missing_profile(spark, sf):
 
 @query(
     "table_profile",
-    f"""SELECT count(*) AS rows, 8 AS columns, min(timestamp) AS first_time, max(timestamp) AS last_time,
+    f"""SELECT count(*) AS rows, CAST(8 AS BIGINT) AS columns, min(timestamp) AS first_time, max(timestamp) AS last_time,
  count(DISTINCT category) AS categories FROM ({ORDERS_SQL})""",
 )
 def table_profile(spark, sf):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.operators.drift import fit_baseline
@@ -13,14 +11,10 @@ from tidemark.plans.drifts import CUT_SQL, NUMERIC, cut, drift_windows, gaps_sql
 from tidemark.plans.models import SMALL
 from tidemark.plans.registry import query
 from tidemark.plans.series import EVENTS_SQL, events_series, read
-from tidemark.session import shared_folder
+from tidemark.session import new_folder
 from tidemark.streaming import jobs as J
 
 
-def _folder(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def arriving_events(spark, sf):
     schema = read(spark, sf, "events").schema
     raw = J.read_stream(spark, sf, schema, "events.parquet")
@@ -45,7 +39,7 @@ def stream_drift(spark, sf):
     """Windows the watermark has closed; the last day stays open."""
     reference, _ = drift_windows(spark, sf)
     baseline = fit_baseline(reference, NUMERIC)
-    out = _folder(spark, "stream-drift")
+    out = new_folder(spark, "stream-drift")
     current = arriving_events(spark, sf).where(F.col("timestamp") >= cut())
     J.monitor_windows(current, baseline, f"{out}/results", f"{out}/checkpoint").awaitTermination()
     results = spark.read.parquet(f"{out}/results")
@@ -68,7 +62,7 @@ GATES_SQL = f"""SELECT timestamp, feature, value, CASE WHEN timestamp >= {CUT_SQ
 def stream_every_n(spark, sf):
     reference, _ = drift_windows(spark, sf)
     baseline = fit_baseline(reference, NUMERIC)
-    out = _folder(spark, "stream-every")
+    out = new_folder(spark, "stream-every")
     current = arriving_events(spark, sf).where(F.col("timestamp") >= cut())
     J.monitor_every(current, baseline, EVERY, ["timestamp", "event_id"], out, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/results").select("gate", "feature", "cur_rows", "statistic")
@@ -77,7 +71,7 @@ def stream_every_n(spark, sf):
 @query("stream_late", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS late FROM events")
 def stream_late(spark, sf):
     """One file is one batch, so nothing is late; tests cover several batches."""
-    out = _folder(spark, "stream-late")
+    out = new_folder(spark, "stream-late")
     J.count_late(arriving_events(spark, sf), f"{out}/late", f"{out}/checkpoint").awaitTermination()
     late = spark.read.parquet(f"{out}/late")
     return late.agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
@@ -88,6 +82,6 @@ def stream_scoring(spark, sf):
     history = events_series(spark, sf)
     columns = fit_columns(history, ["feature1", "user_id"], ["event_type"])
     model = fit_forest(history, columns, "price", SMALL)
-    out = _folder(spark, "stream-scoring")
+    out = new_folder(spark, "stream-scoring")
     J.score_stream(arriving_events(spark, sf), model, columns, ["event_id"], f"{out}/scores", f"{out}/checkpoint", "1").awaitTermination()
     return spark.read.parquet(f"{out}/scores")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read on from there.
+    """Write ``df`` once as Parquet in the shared folder and read on from there.
 
-    For inputs that later jobs scan repeatedly (model fits).  The copy
-    outlives lost executors.
+    For inputs that later jobs scan repeatedly.  The table outlives lost
+    executors, and later scans still prune columns and row groups.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
