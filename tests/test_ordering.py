@@ -105,3 +105,32 @@ def test_nulls_last(spark):
     for limit in (1, 100):
         got = {r.id: r.pos for r in O.positions(df, ["t", "id"], rows_per_range=limit).collect()}
         assert got == {3: 0, 2: 1, 1: 2}
+
+
+@pytest.mark.parametrize("safe", [False, True])
+@pytest.mark.parametrize("by", [None, "entity"])
+@pytest.mark.parametrize("limit", [160, None])
+def test_all_features_with_gaps(skewed, spark, by, safe, limit):
+    """All rolling columns against pandas, with missing targets, on both paths."""
+    from tidemark.operators.features import create_all_features
+    from tidemark.roles import Roles
+
+    pdf, _ = skewed
+    pdf = pdf.assign(x=pdf.x.where(pdf.id % 9 > 0))
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    roles = Roles("t", "x", by, ("id",))
+    got = create_all_features(df, roles, safe=safe, rows_per_range=limit).toPandas().set_index("id").sort_index()
+    assert not [c for c in got.columns if c.startswith("__")]
+    s = pdf.sort_values(["t", "id"]).reset_index(drop=True)
+    groups = s.groupby("entity")["x"] if by else [(0, s["x"])]
+    for k in (7, 30, 90):
+        made = {"mean": [], "std": [], "min": [], "max": []}
+        for _, v in groups:
+            roll = (v.shift(1) if safe else v).rolling(k, min_periods=1)
+            for name in made:
+                made[name].append(getattr(roll, name)())
+        for name, parts in made.items():
+            s[f"x_rolling_{name}_{k}"] = pd.concat(parts)
+    s = s.set_index("id").sort_index()
+    for c in [c for c in s.columns if "rolling" in c]:
+        assert np.allclose(got[c].astype(float), s[c], equal_nan=True, atol=1e-7), c

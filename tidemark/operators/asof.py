@@ -23,7 +23,7 @@ def asof_join(
     tolerance: str | None = None,
     strict: bool = False,
     suffix: str = "_asof",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Left rows plus ``<time><suffix>`` and ``<column><suffix>`` for every column in ``take``.
 
@@ -33,6 +33,7 @@ def asof_join(
     starts from the last right row before it.
     """
     payload_type = F.struct(F.col(time).alias("t"), *[F.col(c) for c in take])
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
     width = max(len(tie), len(right_tie))
     order = [time, "__side", *[f"__tie{i}" for i in range(width)]]
 

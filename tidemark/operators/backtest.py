@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import P, Y, period_metrics
-from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, over_order
+from tidemark.operators.ordering import ROWS_PER_RANGE, over_order
 from tidemark.operators.splits import walk_forward
 from tidemark.session import materialize
 
@@ -39,11 +39,11 @@ def backtest_forecast(
     train: int = 2000,
     val: int = 500,
     step: int = 100,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Per-period scores of a forecast that needs no fitting; one job for all periods."""
     rows = forecast.select(*order, Y, P)
-    if rows.count() > rows_per_range:
+    if rows.count() > (rows_per_range or ROWS_PER_RANGE):
         rows = materialize(rows)
     members = walk_forward(rows, order, train, val, step, ["val"], rows_per_range)
     scores = period_metrics(members, ["period"], rows_per_range)
@@ -114,9 +114,7 @@ def score_summary(scores: DataFrame, column: str) -> DataFrame:
     )
 
 
-Forecaster = Callable[[DataFrame], DataFrame]
-
 __all__ = [
-    "GroupShape", "backtest_forecast", "backtest_predictions", "backtest_summary", "backtest_trend", "naive_forecast",
+    "backtest_forecast", "backtest_predictions", "backtest_summary", "backtest_trend", "naive_forecast",
     "rolling_mean_forecast", "score_band", "score_summary", "worst_periods",
 ]

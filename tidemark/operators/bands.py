@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import P, Y, scored
-from tidemark.operators.ordering import ROWS_PER_RANGE
 from tidemark.operators.quantiles import exact_quantiles
 
 
-def conformal_radius(calibration: DataFrame, alpha: float = 0.1, rows_per_range: int = ROWS_PER_RANGE) -> float:
+def conformal_radius(calibration: DataFrame, alpha: float = 0.1, rows_per_range: int | None = None) -> float:
     """The ceil((n+1)(1-alpha))-th smallest absolute residual; infinite if n is too small for alpha."""
     residuals = scored(calibration).select(F.abs(F.col(Y) - F.col(P)).alias("r"))
     n = residuals.count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import numeric_columns, without_nan
-from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape
+from tidemark.operators.ordering import VALUES_PER_TASK, GroupShape
 from tidemark.operators.quantiles import exact_quantiles
 
 UNKNOWN = "Unknown"
@@ -26,11 +26,11 @@ def coerce_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
     return df.withColumn(column, to_time(df, column)) if column in df.columns else df
 
 
-def medians(df: DataFrame, columns: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> dict[str, float]:
+def medians(df: DataFrame, columns: Sequence[str], rows_per_range: int | None = None) -> dict[str, float]:
     """Exact median per column; one number per column comes back to the driver."""
     if not columns:
         return {}
-    if df.count() <= rows_per_range:
+    if df.count() <= (rows_per_range or VALUES_PER_TASK):
         row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns]).first()
         return {c: row[c] for c in columns}
     long = long_form(df, columns)
@@ -78,7 +78,7 @@ class FillValues:
 
 
 def fit_fill(
-    df: DataFrame, time: str = "timestamp", target: str = "price", rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, time: str = "timestamp", target: str = "price", rows_per_range: int | None = None
 ) -> FillValues:
     """Medians and modes over the rows whose target is present.
 
@@ -99,7 +99,7 @@ def fit_fill(
     return FillValues(time, target, medians(rows, numeric, rows_per_range), {c: found.get(c, UNKNOWN) for c in strings})
 
 
-def clean(df: DataFrame, time: str = "timestamp", target: str = "price", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def clean(df: DataFrame, time: str = "timestamp", target: str = "price", rows_per_range: int | None = None) -> DataFrame:
     return fit_fill(df, time, target, rows_per_range).apply(df)
 
 
@@ -129,7 +129,7 @@ def iqr_filter(
     columns: Sequence[str],
     factor: float = 1.5,
     mode: str = "sequential",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Keep rows inside [q1 - f*iqr, q3 + f*iqr] for every listed column.
 
@@ -151,7 +151,7 @@ def iqr_filter(
     return df
 
 
-def _quartiles(df: DataFrame, columns: Sequence[str], n: int, rows_per_range: int) -> dict[str, list[float]]:
+def _quartiles(df: DataFrame, columns: Sequence[str], n: int, rows_per_range: int | None) -> dict[str, list[float]]:
     shape = GroupShape(n * len(columns), len(columns), n)
     q = exact_quantiles(
         long_form(df, columns), "value", [0.25, 0.75], ["feature"], rows_per_range=rows_per_range, shape=shape

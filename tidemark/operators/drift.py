@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import long_form
-from tidemark.operators.ordering import ROWS_PER_RANGE, cumulative_counts, group_shape, over_order, small_side
+from tidemark.operators.ordering import ROWS_PER_RANGE, cumulative_counts, group_shape, over_order
 from tidemark.operators.preprocess import vocabularies
 from tidemark.session import materialize
 
@@ -76,7 +76,7 @@ def kolmogorov_sf(x: Column) -> Column:
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)))
 
 
-def _distribution_gap(pairs: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
+def _distribution_gap(pairs: DataFrame, by: Sequence[str], rows_per_range: int | None) -> DataFrame:
     """Cumulative shares of both samples at each distinct value, with totals per group."""
     measures = {"n_ref": F.sum("w_ref").cast("long"), "n_cur": F.sum("w_cur").cast("long")}
     gaps = cumulative_counts(pairs, by, "value", measures, rows_per_range)
@@ -101,7 +101,7 @@ def sample_pairs(baseline: Baseline, current: DataFrame) -> DataFrame:
     return ref.unionByName(cur)
 
 
-def _window_gaps(baseline: Baseline, cur: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
+def _window_gaps(baseline: Baseline, cur: DataFrame, by: Sequence[str], rows_per_range: int | None) -> DataFrame:
     """Gaps of many current windows against one reference.
 
     Between two values of a window its own distribution is flat, so the gap
@@ -128,7 +128,7 @@ def ks_test(
     current: DataFrame,
     by: Sequence[str] = (),
     alternative: str = "two-sided",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Kolmogorov-Smirnov statistic and asymptotic p-value per feature."""
     if alternative not in ALTERNATIVES:
@@ -143,7 +143,7 @@ def ks_test(
 
 
 def ks_from_counts(
-    baseline: Baseline, counts: DataFrame, by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+    baseline: Baseline, counts: DataFrame, by: Sequence[str], rows_per_range: int | None = None
 ) -> DataFrame:
     """The two-sided test for windows that are already counted: (by..., feature, value, ``WEIGHT``)."""
     return _ks_result(_window_gaps(baseline, counts, by, rows_per_range), [*by, "feature"], "two-sided")
@@ -169,7 +169,7 @@ def _ks_result(gaps: DataFrame, keys: Sequence[str], alternative: str) -> DataFr
     return out.withColumn("p_value", p)
 
 
-def wasserstein(baseline: Baseline, current: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def wasserstein(baseline: Baseline, current: DataFrame, rows_per_range: int | None = None) -> DataFrame:
     """1-D earth mover's distance per feature: the area between the two distribution functions.
 
     With the k-th cumulative gap g_k held from value v_k to v_{k+1}, the area
@@ -180,7 +180,7 @@ def wasserstein(baseline: Baseline, current: DataFrame, rows_per_range: int = RO
         "feature", (-F.col("value")).alias("down"), "gap"
     )
     shape = group_shape(gaps, ["feature"])
-    if shape.largest > rows_per_range:
+    if shape.largest > (rows_per_range or ROWS_PER_RANGE):
         gaps = materialize(gaps)
     steps = over_order(
         gaps, lambda w: {"above": F.lag("down", 1).over(w)}, order=["down"], by=["feature"], reach=1,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import calendar_columns
 from tidemark.functions.numeric import ieee_div
 from tidemark.operators.clean import to_time
-from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, over_order
+from tidemark.operators.ordering import GroupShape, over_order
 from tidemark.roles import Roles
 
 LAGS = (1, 7, 30)
@@ -143,7 +143,7 @@ def create_all_features(
     df: DataFrame,
     roles: Roles,
     safe: bool = False,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     shape: GroupShape | None = None,
 ) -> DataFrame:
     """12 calendar, 3 lag, 12 rolling and 6 change columns in one shuffle and one sort."""

@@ -24,7 +24,7 @@ def scored(df: DataFrame, y: str = Y, p: str = P) -> DataFrame:
 
 
 def with_cuts(
-    df: DataFrame, probs: Sequence[float], by: Sequence[str], shape: GroupShape, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, probs: Sequence[float], by: Sequence[str], shape: GroupShape, rows_per_range: int | None = None
 ) -> DataFrame:
     """Each row gets its group's quantiles of the actuals as the array ``cuts``."""
     cuts = exact_quantiles(df, Y, probs, by, "cuts", rows_per_range, shape)
@@ -63,7 +63,7 @@ def metric_suite(
     order: Sequence[str] = (),
     y: str = Y,
     p: str = P,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """The eleven metrics of one forecast per group.
 
@@ -72,7 +72,7 @@ def metric_suite(
     """
     rows = scored(df, y, p).select(*dict.fromkeys([*by, *order]), Y, P)
     shape = group_shape(rows, by)
-    if shape.largest > rows_per_range:
+    if shape.largest > (rows_per_range or ROWS_PER_RANGE):
         rows = materialize(rows)
     tagged = rows
     metrics = basic_metrics()
@@ -80,10 +80,10 @@ def metric_suite(
         def steps(w):
             up = F.col(Y) > F.lag(Y, 1).over(w)
             predicted_up = F.col(P) > F.lag(P, 1).over(w)
-            return {"__same": up == predicted_up}
+            return {"same_step": up == predicted_up}
 
         tagged = over_order(rows, steps, order=order, by=by, reach=1, rows_per_range=rows_per_range, shape=shape)
-        metrics["directional_accuracy"] = directional_accuracy(F.col("__same"))
+        metrics["directional_accuracy"] = directional_accuracy(F.col("same_step"))
     tagged = with_cuts(tagged, [0.90, 0.95], by, shape, rows_per_range)
     yc, pc = F.col(Y), F.col(P)
     metrics["tail_mae_90"] = E.tail_mae(yc, pc, tail_cut(0))
@@ -92,7 +92,7 @@ def metric_suite(
 
 
 def period_metrics(
-    df: DataFrame, by: Sequence[str], rows_per_range: int = ROWS_PER_RANGE, shape: GroupShape | None = None
+    df: DataFrame, by: Sequence[str], rows_per_range: int | None = None, shape: GroupShape | None = None
 ) -> DataFrame:
     """Sample count, WAPE, MAE, R2, tail MAE and moments of the actuals per group."""
     rows = scored(df).select(*by, Y, P)

@@ -17,6 +17,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,8 @@ def random_features(
         return np.concatenate([ref.astype(float)[:, None], fake.astype(float)], axis=1)
 
     def partial_sums(batches):
-        """Sums per relabelling of the feature vectors of its reference side, and over all rows."""
-        weights = phase = by_label = total = counts = None
+        """Per relabelling, the sums of the feature vectors of either side of one partition."""
+        weights = phase = reference = total = counts = None
         for batch in batches:
             if not len(batch):
                 continue
@@ -127,21 +129,25 @@ def random_features(
                 rng = np.random.default_rng(seed)
                 weights = rng.normal(0, 1 / sigma, (x.shape[1], features))
                 phase = rng.uniform(0, 2 * np.pi, features)
-                by_label = np.zeros((permutations + 1, features))
+                reference = np.zeros((permutations + 1, features))
                 total, counts = np.zeros(features), np.zeros(permutations + 1)
             z = np.sqrt(2 / features) * np.cos(x @ weights + phase)
             labels = relabel(batch["h"].to_numpy(), batch["ref"].to_numpy())
-            by_label += labels.T @ z
+            reference += labels.T @ z
             total += z.sum(0)
             counts += labels.sum(0)
         if weights is not None:
-            for p in range(permutations + 1):
-                yield pd.DataFrame(
-                    {"perm": p, "j": np.arange(features), "a": by_label[p], "t": total, "na": counts[p]}
-                )
-
-    sums = hashed.mapInPandas(partial_sums, "perm int, j int, a double, t double, na double")
-    per_feature = sums.groupBy("perm", "j").agg(F.sum("a").alias("a"), F.sum("t").alias("t"), F.sum("na").alias("na"))
-    gap = F.col("a") / F.col("na") - (F.col("t") - F.col("a")) / (F.lit(float(n + m)) - F.col("na"))
-    stats = per_feature.groupBy("perm").agg(F.sum(gap * gap).alias("stat"))
+            yield pd.DataFrame(
+                {"perm": np.arange(permutations + 1), "na": counts, "a": list(reference), "b": list(total - reference)}
+            )
+
+    parts = hashed.mapInPandas(partial_sums, "perm int, na double, a array<double>, b array<double>")
+    sums = parts.groupBy("perm").agg(
+        F.sum("na").alias("na"),
+        vector_to_array(Summarizer.sum(array_to_vector("a"))).alias("a"),
+        vector_to_array(Summarizer.sum(array_to_vector("b"))).alias("b"),
+    )
+    na, nb = F.col("na"), F.lit(float(n + m)) - F.col("na")
+    gaps = F.zip_with("a", "b", lambda x, y: x / na - y / nb)
+    stats = sums.select("perm", F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g).alias("stat"))
     return _finish(stats, n, m, threshold)

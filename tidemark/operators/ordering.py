@@ -29,7 +29,9 @@ from pyspark.sql import Window
 
 from tidemark.functions.numeric import all_of
 
-ROWS_PER_RANGE = 1_000_000
+# largest group that one task sorts for a window, and whose values one task counts
+ROWS_PER_RANGE = 250_000
+VALUES_PER_TASK = 1_000_000
 MAX_RANGES = 16_384
 SAMPLES_PER_RANGE = 20
 
@@ -158,10 +160,11 @@ def positions(
     order: Sequence[str],
     by: Sequence[str] = (),
     name: str = "pos",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     shape: GroupShape | None = None,
 ) -> DataFrame:
     """0-based position of every row in the order, per group if ``by`` is given."""
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
     shape = shape or group_shape(df, by)
     if shape.largest <= rows_per_range:
         return df.withColumn(name, F.row_number().over(ordered(by, order)).cast("long") - 1)
@@ -184,7 +187,7 @@ def over_order(
     order: Sequence[str],
     by: Sequence[str] = (),
     reach: int,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     shape: GroupShape | None = None,
 ) -> DataFrame:
     """Add row-based window columns that look back at most ``reach`` rows.
@@ -198,6 +201,8 @@ def over_order(
     dropped again after the window.
     """
 
+    rows_per_range = rows_per_range or ROWS_PER_RANGE
+
     def add(rows: DataFrame, window: WindowSpec) -> DataFrame:
         steps = columns(window)
         names = []
@@ -275,13 +280,14 @@ def cumulative_counts(
     by: Sequence[str],
     value: str,
     measures: dict[str, Column],
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """One row per (by, value): each measure's sum, its running sum ``cum_*`` and its group total ``total_*``.
 
     ``measures`` are aggregate expressions giving integers.  The rows are
     counted per value before any shuffle, so a frequent value costs nothing.
     """
+    rows_per_range = rows_per_range or VALUES_PER_TASK
     names = list(measures)
     sums = [c.alias(n) for n, c in measures.items()]
 

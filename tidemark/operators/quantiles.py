@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, cumulative_counts, group_shape
+from tidemark.operators.ordering import VALUES_PER_TASK, GroupShape, cumulative_counts, group_shape
 
 def exact_quantiles(
     df: DataFrame,
@@ -15,7 +15,7 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     name: str = "quantiles",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
     shape: GroupShape | None = None,
 ) -> DataFrame:
     """``by`` columns plus an array of quantiles of ``value`` (NULL and NaN left out).
@@ -24,6 +24,7 @@ def exact_quantiles(
     ones read the two order statistics around each rank off the cumulative
     counts.
     """
+    rows_per_range = rows_per_range or VALUES_PER_TASK
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     present = present.select(*by, F.col(value).cast("double").alias("__v"))
     shape = shape or group_shape(present, by)

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import ROWS_PER_RANGE, positions
+from tidemark.operators.ordering import positions
 
 REQUIRED = ("feature1", "feature2", "feature3", "category_feature")
 NUMERIC = ("feature1", "feature2", "feature3")
@@ -72,7 +72,7 @@ def request_id(df: DataFrame, name: str = "request_id") -> DataFrame:
 
 
 def gated_groups(
-    df: DataFrame, order: Sequence[str], every: int, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: Sequence[str], every: int, rows_per_range: int | None = None
 ) -> DataFrame:
     """Rows numbered from 1 (``seq``), in groups of ``every`` (``gate``); ``check_here`` marks each ``every``-th row."""
     placed = positions(df, order, name="__p", rows_per_range=rows_per_range)

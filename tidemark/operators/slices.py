@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import equal_width_bin
 from tidemark.operators.metrics import P, Y, period_metrics
-from tidemark.operators.ordering import ROWS_PER_RANGE
 from tidemark.operators.quantiles import exact_quantiles
 
 MIN_ROWS = 10
@@ -17,7 +16,7 @@ PRICE_TIERS = ("Low (0-25%)", "Medium-Low (25-50%)", "Medium-High (50-75%)", "Hi
 
 
 def analyze_slices(
-    df: DataFrame, keys: dict[str, Column], min_rows: int = MIN_ROWS, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, keys: dict[str, Column], min_rows: int = MIN_ROWS, rows_per_range: int | None = None
 ) -> DataFrame:
     """One row per (slice_type, slice_value) with at least ``min_rows`` rows; NULL keys are skipped."""
     cells = [F.struct(F.lit(n).alias("slice_type"), c.cast("string").alias("slice_value")) for n, c in keys.items()]
@@ -40,7 +39,7 @@ def category_slices(df: DataFrame, columns: Sequence[str], **kw) -> DataFrame:
     return analyze_slices(df, {f"by_{c}": F.col(c) for c in columns if c in df.columns}, **kw)
 
 
-def _price_cuts(df: DataFrame, price: str, probs: Sequence[float], rows_per_range: int) -> list[float]:
+def _price_cuts(df: DataFrame, price: str, probs: Sequence[float], rows_per_range: int | None) -> list[float]:
     return exact_quantiles(df, price, probs, rows_per_range=rows_per_range).first()[0]
 
 
@@ -51,7 +50,7 @@ def price_tier(price: Column, cuts: Sequence[float]) -> Column:
     return tier.otherwise(PRICE_TIERS[-1])
 
 
-def price_tier_slices(df: DataFrame, price: str = Y, rows_per_range: int = ROWS_PER_RANGE, **kw) -> DataFrame:
+def price_tier_slices(df: DataFrame, price: str = Y, rows_per_range: int | None = None, **kw) -> DataFrame:
     cuts = _price_cuts(df, price, [0.25, 0.5, 0.75, 0.9], rows_per_range)
     keys = {"by_price_tier": price_tier(F.col(price), cuts)}
     return analyze_slices(df, keys, rows_per_range=rows_per_range, **kw)
@@ -67,7 +66,7 @@ def price_band(price: Column, cuts: Sequence[float]) -> Column:
     return band
 
 
-def price_band_slices(df: DataFrame, price: str = Y, rows_per_range: int = ROWS_PER_RANGE, **kw) -> DataFrame:
+def price_band_slices(df: DataFrame, price: str = Y, rows_per_range: int | None = None, **kw) -> DataFrame:
     cuts = _price_cuts(df, price, [0.25, 0.5, 0.75, 0.9, 0.95], rows_per_range)
     keys = {"by_price_percentiles": price_band(F.col(price), cuts)}
     return analyze_slices(df, keys, rows_per_range=rows_per_range, **kw).drop("tail_mae", "std_actual")

@@ -7,22 +7,23 @@ collected and no range join is needed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import ROWS_PER_RANGE, GroupShape, positions
+from tidemark.operators.ordering import GroupShape, positions
 
 RANDOM_SEED = 42
 
 
-def _positioned(df: DataFrame, order: Sequence[str], rows_per_range: int) -> tuple[DataFrame, int]:
+def _positioned(df: DataFrame, order: Sequence[str], rows_per_range: int | None) -> tuple[DataFrame, int]:
     n = df.count()
     return positions(df, order, rows_per_range=rows_per_range, shape=GroupShape(n, 1, n)), n
 
 
 def ratio_split(
-    df: DataFrame, order: Sequence[str], train: float = 0.6, val: float = 0.2, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: Sequence[str], train: float = 0.6, val: float = 0.2, rows_per_range: int | None = None
 ) -> DataFrame:
     """Column ``split``; what the ratios leave over goes to test."""
     placed, n = _positioned(df, order, rows_per_range)
@@ -56,8 +57,13 @@ def date_split(
 
     named = {"train": inside(train)}
     named |= {k: inside(b) for k, b in (("val", val), ("test", test)) if all(b)}
+    rows = df
+    if any(train):
+        # as a plain filter the ranges reach the scan
+        kept = reduce(lambda a, b: a | b, named.values())
+        rows = df.where(kept)
     tagged = F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in named.items()]))
-    return df.select("*", F.explode(tagged).alias("split"))
+    return rows.select("*", F.explode(tagged).alias("split"))
 
 
 def _long(placed: DataFrame, folds: Column) -> DataFrame:
@@ -74,7 +80,7 @@ def fold_bounds(n: int, folds: int, fold: int) -> tuple[int, int]:
 
 
 def expanding_folds(
-    df: DataFrame, order: Sequence[str], folds: int = 5, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: Sequence[str], folds: int = 5, rows_per_range: int | None = None
 ) -> DataFrame:
     """Expanding-window CV, long form (row, fold, role)."""
     placed, n = _positioned(df, order, rows_per_range)
@@ -105,7 +111,7 @@ def walk_forward(
     val: int = 500,
     step: int = 100,
     roles: Sequence[str] = ("train", "val"),
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """Sliding windows, long form (row, period, role); periods count from 1.
 
@@ -130,7 +136,7 @@ def walk_forward(
 
 
 def contiguous_folds(
-    df: DataFrame, order: Sequence[str], folds: int = 5, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order: Sequence[str], folds: int = 5, rows_per_range: int | None = None
 ) -> DataFrame:
     """Unshuffled k-fold: column ``fold``; the first n % k folds hold one row more."""
     placed, n = _positioned(df, order, rows_per_range)
@@ -142,7 +148,7 @@ def contiguous_folds(
 
 
 def random_split(
-    df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = RANDOM_SEED, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = RANDOM_SEED, rows_per_range: int | None = None
 ) -> DataFrame:
     """Repeatable shuffled split of exact size: rows ordered by a seeded hash of their key."""
     hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))

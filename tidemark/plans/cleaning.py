@@ -8,7 +8,7 @@ from tidemark.functions.numeric import currency, percentage, safe_divide
 from tidemark.operators import clean as C
 from tidemark.operators import profile as P
 from tidemark.plans.registry import query
-from tidemark.plans.series import ORDERS_SQL, EVENTS_SQL, events_series, orders_series, read
+from tidemark.plans.series import ORDERS_SQL, events_series, orders_series, read
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FEATURES = ["price", "feature1", "feature2", "feature3"]
@@ -252,5 +252,3 @@ def schema_check(spark, sf):
     C.require_columns(rows, ["event_id", "t"])
     return C.unparseable_times(rows, "t")
 
-
-__all__ = ["EVENTS_SQL"]
