@@ -13,6 +13,7 @@ def spark():
     from tidemark.session import local_session
 
     session = local_session("tests", 8)
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
