@@ -96,7 +96,7 @@ def worst_periods(periods: DataFrame) -> DataFrame:
 
     picks = [worst("wape", -1), worst("mae", -1), worst("r2", 1)]
     wide = periods.agg(*[c.alias(f"m{i}") for i, c in enumerate(picks)])
-    return wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(picks))])))
+    return wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(picks))]))).where("period IS NOT NULL")
 
 
 def score_band(periods: DataFrame, metric: str = "wape") -> DataFrame:

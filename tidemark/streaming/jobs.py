@@ -30,6 +30,9 @@ def read_stream(
     return reader.parquet(folder)
 
 
+TESTS = "feature string, ref_rows long, cur_rows long, statistic double, p_value double, is_drift boolean"
+
+
 def _batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
@@ -66,6 +69,7 @@ def monitor_windows(
     when the watermark passes its end.  Rows later than ``delay`` are not
     counted (see ``count_late``).
     """
+    _prepare(stream.sparkSession, out, f"window_start timestamp, {TESTS}")
     timed = stream.withColumn("__ts", F.col(time).cast("timestamp")).withWatermark("__ts", delay)
     counts = feature_values(baseline, timed, ["__ts"]).groupBy(F.window("__ts", window), "feature", "value").agg(
         F.count(F.lit(1)).alias(WEIGHT)
@@ -103,6 +107,7 @@ def monitor_every(
     pending, counters, results = f"{out}/pending", f"{out}/counters", f"{out}/results"
     _prepare(stream.sparkSession, pending, fields)
     _prepare(stream.sparkSession, counters, "done long")
+    _prepare(stream.sparkSession, results, f"gate long, {TESTS}")
 
     def check(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
