@@ -26,15 +26,16 @@ def conformal_radius(calibration: DataFrame, alpha: float = 0.1, rows_per_range:
 
 def conformal_band(calibration: DataFrame, df: DataFrame, alpha: float = 0.1, **limits) -> DataFrame:
     radius = F.lit(conformal_radius(calibration, alpha, **limits))
-    return df.withColumn("low", F.col(P) - radius).withColumn("high", F.col(P) + radius)
+    return df.withColumn("radius", radius).withColumn("low", F.col(P) - radius).withColumn("high", F.col(P) + radius)
 
 
 def coverage(banded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    inside = F.col(Y).between(F.col("low"), F.col("high"))
+    # by residual: the row that set the radius sits on the edge, where low and high round
+    inside = F.abs(F.col(Y) - F.col(P)) <= F.col("radius")
     return banded.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(inside.cast("double")).alias("coverage"),
-        F.avg(F.col("high") - F.col("low")).alias("width"),
+        (2 * F.max("radius")).alias("width"),
     )
 
 
