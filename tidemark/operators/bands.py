@@ -41,6 +41,7 @@ def coverage(banded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 @dataclass(frozen=True)
 class RetrainRules:
+    # fixed values: retraining limits
     wape_increase: float = 0.05
     new_rows: int = 1000
     max_age_days: int = 30

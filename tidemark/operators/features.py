@@ -13,6 +13,7 @@ from tidemark.operators.clean import to_time
 from tidemark.operators.ordering import GroupShape, over_order
 from tidemark.roles import Roles
 
+# fixed values: look-backs in rows
 LAGS = (1, 7, 30)
 WINDOWS = (7, 30, 90)
 PERIODS = (1, 7, 30)

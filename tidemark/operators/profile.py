@@ -63,8 +63,17 @@ def table_profile(df: DataFrame, time: str, category: str, approximate: bool = F
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, feature string, type string")
+    """Position, type and number of present values per column."""
+    def by_name(values: dict[str, object]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("feature")]
+
+    counts = _per_column(df, {c: {"values": F.count(c)} for c in df.columns})
+    return counts.select(
+        by_name({c: i for i, c in enumerate(df.columns)}).alias("position"),
+        "feature",
+        by_name({f.name: f.dataType.simpleString() for f in df.schema}).alias("type"),
+        "values",
+    )
 
 
 def column_sizes(df: DataFrame) -> DataFrame:

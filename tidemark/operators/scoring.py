@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import positions
 
+# fixed values: request fields, category domain, stand-in price
 REQUIRED = ("feature1", "feature2", "feature3", "category_feature")
 NUMERIC = ("feature1", "feature2", "feature3")
 CATEGORIES = ("category_a", "category_b", "category_c")

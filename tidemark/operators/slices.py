@@ -11,6 +11,7 @@ from tidemark.functions.numeric import equal_width_bin
 from tidemark.operators.metrics import P, Y, period_metrics
 from tidemark.operators.quantiles import exact_quantiles
 
+# fixed values: smallest reported slice, tier labels
 MIN_ROWS = 10
 PRICE_TIERS = ("Low (0-25%)", "Medium-Low (25-50%)", "Medium-High (50-75%)", "High (75-90%)", "Very High (90-100%)")
 

@@ -8,7 +8,7 @@ from tidemark.functions.numeric import currency, percentage, safe_divide
 from tidemark.operators import clean as C
 from tidemark.operators import profile as P
 from tidemark.plans.registry import query
-from tidemark.plans.series import ORDERS_SQL, events_series, orders_series, read
+from tidemark.plans.series import ORDERS_SQL, orders_series, read
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FEATURES = ["price", "feature1", "feature2", "feature3"]
@@ -70,15 +70,20 @@ def table_profile(spark, sf):
     return P.table_profile(orders_series(spark, sf), "timestamp", "category")
 
 
+TYPES = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "timestamp": "timestamp_ntz", "price": "double", "category": "string",
+    "feature1": "double", "feature2": "double", "feature3": "double",
+}
+
+
 @query(
     "column_types",
-    """SELECT CAST(0 AS INTEGER) AS position, 'event_id' AS feature, 'bigint' AS type
- UNION ALL SELECT 1, 'timestamp', 'timestamp_ntz' UNION ALL SELECT 2, 'price', 'double'
- UNION ALL SELECT 3, 'user_id', 'bigint' UNION ALL SELECT 4, 'event_type', 'string'
- UNION ALL SELECT 5, 'feature1', 'double'""",
+    f"""WITH s AS ({DAMAGED_SQL}) {' UNION ALL '.join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, '{t}' AS type, count({c}) AS values FROM s"
+        for i, (c, t) in enumerate(TYPES.items()))}""",
 )
 def column_types(spark, sf):
-    return P.column_types(events_series(spark, sf))
+    return P.column_types(damaged_orders(spark, sf))
 
 
 DUPLICATE_KEYS = "l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"

@@ -25,6 +25,10 @@ def local_session(app: str = "tidemark", cores: int | str = 8, memory: str = "8g
     )
 
 
+# application id -> temporary folder, for local masters without a named one
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
@@ -32,12 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     fall back to a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
