@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import pieces
 from tidemark.llm.near_dups import near_duplicates
 
+
+def piece_model() -> str:
+    """The file of the 32k piece model: a public vocabulary that is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -24,3 +33,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @_register
 def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_register
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    decoded = pieces.decode(pieces.encode(docs, piece_model()).drop("text"), piece_model())
+    return decoded.select("doc_id", *pieces.digests(decoded))
