@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import pieces
 from tidemark.llm.near_dups import near_duplicates
+from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
 
 
 def piece_model() -> str:
@@ -40,3 +41,39 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     decoded = pieces.decode(pieces.encode(docs, piece_model()).drop("text"), piece_model())
     return decoded.select("doc_id", *pieces.digests(decoded))
+
+
+@_register
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules(docs).select(*names)
+
+
+# \n-split lines, their normal form and the words of a text, as DuckDB writes them
+SQL["op9_quality_rules"] = f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+n AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars FROM w),
+g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(range(1, len(ws) - 1), i -> ws[i:i+2])) AS gram
+  FROM w WHERE len(ws) >= 3),
+r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM g) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS s(o) GROUP BY doc_id),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
+ll AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM l),
+f AS (SELECT * FROM ll WHERE norm <> ''),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
+freq AS (SELECT source, norm FROM f GROUP BY source, norm HAVING count(DISTINCT text) > {LINE_LIMIT}),
+dep AS (
+  SELECT f.doc_id FROM f LEFT JOIN freq ON f.source IS NOT DISTINCT FROM freq.source AND f.norm = freq.norm GROUP BY f.doc_id
+  HAVING 100 * sum(CASE WHEN freq.norm IS NULL THEN len(string_split(f.norm, ' ')) ELSE 0 END)
+    < {KEEP_PERCENT} * sum(len(string_split(f.norm, ' ')))),
+base AS (
+  SELECT d.doc_id, n_words, coalesce(word_chars, 0) AS word_chars,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM documents d JOIN n USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM dep) AS kept
+FROM base
+"""
