@@ -52,10 +52,10 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 # \n-split lines, their normal form and the words of a text, as DuckDB writes them
 SQL["op9_quality_rules"] = f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS ws FROM documents),
 n AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars FROM w),
 g AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(range(1, len(ws) - 1), i -> ws[i:i+2])) AS gram
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, unnest([ws[i:i+2] for i in range(1, len(ws) - 1)]) AS gram
   FROM w WHERE len(ws) >= 3),
 r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM g) WHERE k > 1),
 rep AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS s(o) GROUP BY doc_id),
