@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
+from tidemark.llm.wrappers import main_text
 
 
 def piece_model() -> str:
@@ -77,3 +79,9 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM dep) AS kept
 FROM base
 """
+
+
+@_register
+def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    found = main_text(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
