@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pieces
+from tidemark.llm import chat, pieces
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
+from tidemark.llm.shards import record_size, shard_rows
 from tidemark.llm.wrappers import main_text
 
 
@@ -85,3 +86,31 @@ FROM base
 def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     found = main_text(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_register
+def op4_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema))
+    ranks = pieces.load_model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return chat.read_back(chat.format_chat(turns, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+
+
+SHARDS = 40
+
+
+@_register
+def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return shard_rows(table(spark, sf, "documents").select("doc_id", "text"), SHARDS).select(
+        "doc_id",
+        record_size(F.col("text")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
