@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, pieces
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
+from tidemark.llm.repeats import repeated_passages
 from tidemark.llm.shards import record_size, shard_rows
 from tidemark.llm.wrappers import main_text
 
@@ -114,3 +116,14 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_register
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "tiled_words", "item_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+@_register
+def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")

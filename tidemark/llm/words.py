@@ -124,3 +124,14 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(1, k):
             total = total + words[j : j + n] * weight[j]
         return mix64(total)
+
+
+def running_windows(x: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hash of each run of ``k`` values: one prefix sum serves every ``k``."""
+    if len(x) < k:
+        return np.zeros(0, U)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(x) + 1, U)
+        np.cumsum(x * _power(_STEP, len(x))[: len(x)], out=total[1:])
+        # brought down to the power 0, so equal runs are equal wherever they stand
+        return (total[k:] - total[:-k]) * _power(_STEP_BACK, len(x))[: len(x) - k + 1]
