@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,37 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, p
     return df.mapInArrow(run, schema)
 
 
+def sorted_groups(
+    df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict[str, pa.Array] | None], schema: str, order: tuple[str, ...] = ()
+) -> DataFrame:
+    """Apply ``fn`` to the rows of each key, which the caller keeps few.
+
+    The rows are dealt out by key, sorted, and read as a stream: only one group and one Arrow batch are in memory.
+    ``order`` sorts the rows within a group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            change = np.zeros(t.num_rows - 1, bool)
+            for k in keys:
+                change |= pc.not_equal(t[k][1:], t[k][:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                out = fn(t.slice(a, b - a))
+                if out:
+                    yield pa.RecordBatch.from_pydict(out)
+            rest = t.slice(cuts[-1])
+        if rest is not None and (out := fn(rest)):
+            yield pa.RecordBatch.from_pydict(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, near the wanted ones (case is ignored, as Spark does)."""
     taken = {c.lower() for c in df.columns}
@@ -41,4 +74,4 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
 
 
-__all__ = ["arrow_map", "fresh", "materialize", "without"]
+__all__ = ["arrow_map", "fresh", "materialize", "sorted_groups", "without"]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import arrow_map, fresh, materialize, without
+from tidemark.llm.frames import arrow_map, fresh, materialize, sorted_groups, without
 from tidemark.llm.words import U, mix64, seeded, windows, word_batches
 
 WORDS = 5
@@ -27,6 +27,9 @@ PERCENT = 75
 PERMUTATIONS = 100
 ROWS = 5
 BLOCK = 1024  # shingles hashed at once
+TILE = 512  # members of a bucket that are compared with each other at once
+# standard errors (0.03 at the limit, with 200 values) by which an estimate may fall short of the limit and still be confirmed
+MARGIN = 5
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -78,22 +81,28 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, digest, bands) per row of ``docs`` (id, text); digest and bands are null for an empty set."""
+    """(id, n_shingles, digest, bands, sketch) per row of ``docs`` (id, text); null but for the count for an empty set.
+
+    ``sketch`` has a byte of each signature value; two sketches agree on about the similarity of their sets.
+    """
 
     def run(batch: pa.RecordBatch):
-        count, digests, bands = [], [], []
+        count, digests, bands, sketches = [], [], [], []
         for s in shingle_sets(batch.column(1)):
             count.append(len(s))
+            low, high = min_max(s) if len(s) else (None, None)
             digests.append(_digest(s) if len(s) else None)
-            bands.append(band_keys(*min_max(s)) if len(s) else None)
+            bands.append(band_keys(low, high) if len(s) else None)
+            sketches.append(mix64(np.concatenate([low, high])).astype(np.uint8).tobytes() if len(s) else None)
         yield {
             "id": batch.column(0),
             "n_shingles": pa.array(count, pa.int64()),
             "digest": pa.array(digests, pa.binary()),
             "bands": pa.array(bands, pa.list_(pa.int64())),
+            "sketch": pa.array(sketches, pa.binary()),
         }
 
-    return arrow_map(docs, run, "id long, n_shingles long, digest binary, bands array<long>")
+    return arrow_map(docs, run, "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,13 +154,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with equal sets are one class, represented by its smallest id; only classes are banded.  In every bucket the
     smallest and the largest id are compared with all others (a star each way).  What these links leave apart within a
-    bucket is then compared pair by pair, so that no bucket hides a link behind its centre.
+    bucket is then compared in tiles, so that no bucket hides a link behind its centre.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signed = materialize(signatures(rows))
     known = signed.where("id is not null and digest is not null")
     classes = known.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     bucket = "partition by band"
     buckets = materialize(
@@ -164,22 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for pick in ("min", "max"):
         hub = buckets.selectExpr("*", f"{pick}(struct(rep, n)) over ({bucket}) as hub")
         stars.append(hub.selectExpr("rep as a", "n as n_a", "hub.rep as b", "hub.n as n_b"))
-    tested = materialize(_ordered(stars[0].union(stars[1]), percent))
     sets = materialize(_sets(rows, buckets.selectExpr("rep as id", "digest").distinct()))
-    links = materialize(_confirm(tested, sets, percent))
-    label = components(links)
-    labelled = (
-        buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .selectExpr("band", "rep", "n", "coalesce(component, rep) as component")
-        .selectExpr("*", f"min(component) over ({bucket}) as low", f"max(component) over ({bucket}) as high")
-        .where("low < high")
-        .drop("low", "high")
-    )
-    labelled = materialize(labelled)
-    left = labelled.selectExpr("band", "rep as a", "n as n_a", "component as c")
-    right = labelled.selectExpr("band", "rep as b", "n as n_b", "component as d")
-    rest = _ordered(left.join(right, "band").where("c < d"), percent).join(tested, ["a", "b"], "left_anti")
-    more = _confirm(materialize(rest), sets, percent)
+    links = materialize(_confirm(_ordered(stars[0].union(stars[1]), percent), sets, percent))
+    more = _across(buckets, known, components(links), sets, percent)
     # a repeated id ties its classes together
     reps = known.select("id", "digest").join(classes.select("digest", "rep"), "digest")
     several = known.groupBy("id").agg(F.count_distinct("digest").alias("k")).where("k > 1").select("id")
@@ -198,6 +194,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _across(buckets: DataFrame, known: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that ``label`` leaves apart.
+
+    A bucket is cut into blocks of ``TILE`` members and each two blocks meet in a tile, a group of bounded size.  A first
+    pass compares sketches and leaves only members with a possible partner; the second has their full sets, and skips
+    pairs that the links found before it in the tile already connect.  A pair is looked at in its first common band only.
+    """
+    bucket = "partition by band"
+    apart = (
+        buckets.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        .selectExpr("band", "rep", "n", "digest", "coalesce(component, rep) as component")
+        .selectExpr("*", f"min(component) over ({bucket}) as low", f"max(component) over ({bucket}) as high")
+        .where("low < high")
+        .selectExpr(
+            "band", "rep", "n", "digest", "component",
+            f"cast((row_number() over ({bucket} order by rep, digest) - 1) div {TILE} as int) as block",
+            f"cast((count(*) over ({bucket}) - 1) div {TILE} as int) as last",
+        )
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        .selectExpr("band", "least(block, other) as lo", "greatest(block, other) as hi", "block", "rep", "n", "digest", "component")
+    )
+    values = known.groupBy("digest").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    tiles = materialize(apart.join(values, "digest"))
+    near = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS)) ** 0.5
+    fields = "band long, lo int, hi int, block int, rep long, n long, component long, bands array<long>, sketch binary"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def possible(t: pa.Table) -> dict[str, pa.Array] | None:
+        used = np.zeros(t.num_rows, bool)
+        for i, js, _ in _tile_pairs(t, near, percent):
+            used[i] = True
+            used[js] = True
+        return {c: t[c].filter(pa.array(used)).combine_chunks() for c in names} if used.any() else None
+
+    def linked(t: pa.Table) -> dict[str, pa.Array] | None:
+        members = [np.frombuffer(x.as_buffer(), U) for x in t["members"]]
+        rep, root = t["rep"].to_pylist(), {c: c for c in t["component"].to_pylist()}
+        component = t["component"].to_pylist()
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        pairs = [(e, i, j) for i, js, es in _tile_pairs(t, near, percent) for j, e in zip(js.tolist(), es.tolist())]
+        found = []
+        for _, i, j in sorted(pairs, key=lambda p: -p[0]):
+            x, y = find(component[i]), find(component[j])
+            if x == y:
+                continue
+            both = len(np.intersect1d(members[i], members[j], assume_unique=True))
+            if 100 * both >= percent * (len(members[i]) + len(members[j]) - both):
+                root[x] = y
+                found.append((rep[i], rep[j]))
+        if not found:
+            return None
+        return {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
+
+    tile = ["band", "lo", "hi"]
+    left = materialize(sorted_groups(tiles.select(*names), tile, possible, fields))
+    full = left.join(sets.withColumnRenamed("id", "rep"), "rep")
+    return materialize(sorted_groups(full, tile, linked, "a long, b long"))
+
+
+def _tile_pairs(t: pa.Table, near: float, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, [j], [estimate]) of a tile's pairs in different components whose sizes and sketches allow the similarity."""
+    m = t.num_rows
+    n, component = t["n"].to_numpy(), t["component"].to_numpy()
+    band, lo, hi = t["band"][0].as_py(), t["lo"][0].as_py(), t["hi"][0].as_py()
+    block = t["block"].to_numpy()
+    bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(m, -1)
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(m, -1)
+    for i in range(m):
+        j = np.flatnonzero((component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        # every pair once: in the tile of its two blocks, from its first member
+        j = j[j > i] if lo == hi else j[(block[j] == hi) & (block[i] == lo)]
+        if not len(j):
+            continue
+        same = bands[j] == bands[i]
+        j = j[bands[i][same.argmax(1)] == band]
+        estimate = (sketch[j] == sketch[i]).mean(1)
+        keep = estimate >= near
+        if keep.any():
+            yield i, j[keep], estimate[keep]
+
+
 def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (smaller id, larger id) whose sizes allow a link."""
     return (
