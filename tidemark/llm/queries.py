@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, pieces
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.line_templates import dedup_lines
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
 from tidemark.llm.repeats import repeated_passages
@@ -127,3 +128,8 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @_register
 def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_register
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
