@@ -14,7 +14,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +23,11 @@ from tidemark.llm.frames import fresh
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 MODEL_LIMIT = 64 << 20  # bytes of a model file that a task may carry
-MEMORY = 800_000  # units whose ids a worker keeps, about 200 MB
+MEMORY = 300_000  # units whose ids, and pairs whose check, a worker keeps: about 100 MB
 
 
-class PieceCoder:
-    """Encoder and decoder of one model, from the bytes of its file."""
+class PieceDecoder:
+    """Decoder of one model, from the bytes of its file."""
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -58,6 +58,36 @@ class PieceCoder:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         if not spec.trainer_spec.byte_fallback:
             self.bytes = {}
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: the space that encoding puts first goes, byte ids form characters, bad bytes give U+FFFD."""
+        surface = self.surface
+        parts = [surface[i] for i in ids]
+        if None in parts:
+            parts = list(self._with_bytes(ids, parts))
+        text = "".join(parts)
+        # the space that encoding puts first is part of the first piece that is not a control id
+        first = next((i for i in ids if surface[i] != ""), self.unknown)
+        return text[1:] if self.prefix and first != self.unknown and (surface[first] or "")[:1] == " " else text
+
+    def _with_bytes(self, ids: list[int], parts: list) -> Iterator[str]:
+        run = bytearray()
+        for i, part in zip(ids, parts):
+            if part is None:
+                run.append(self.byte_of[i])
+                continue
+            if run:
+                yield _characters(run)
+                run = bytearray()
+            yield part
+        yield _characters(run)
+
+
+class PieceCoder(PieceDecoder):
+    """Encoder and decoder of one model."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
         long = [p for p in self.score if len(p) > 1]
         self.matcher = ahocorasick.Automaton()
         for p in long:
@@ -210,29 +240,6 @@ class PieceCoder:
         parts = self.parts(self.prefix + text.replace(" ", SPACE))
         return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: the space that encoding puts first goes, byte ids form characters, bad bytes give U+FFFD."""
-        surface = self.surface
-        parts = [surface[i] for i in ids]
-        if None in parts:
-            parts = list(self._with_bytes(ids, parts))
-        text = "".join(parts)
-        # the space that encoding puts first is part of the first piece that is not a control id
-        first = next((i for i in ids if surface[i] != ""), self.unknown)
-        return text[1:] if self.prefix and first != self.unknown and (surface[first] or "")[:1] == " " else text
-
-    def _with_bytes(self, ids: list[int], parts: list) -> Iterator[str]:
-        run = bytearray()
-        for i, part in zip(ids, parts):
-            if part is None:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                yield _characters(run)
-                run = bytearray()
-            yield part
-        yield _characters(run)
-
 
 def _characters(run: bytearray) -> str:
     """UTF-8 characters of a run of bytes; each byte that begins none gives one U+FFFD."""
@@ -270,15 +277,14 @@ class _Known(dict):
         return ids
 
 
-_coders: dict[int, PieceCoder] = {}  # of this worker process, by the hash of the model's bytes
+_coders: dict[type, tuple[bytes, PieceDecoder]] = {}  # of this worker process, the last model of each kind
 
 
-def coder_of(model: bytes) -> PieceCoder:
-    key = hash(model)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = PieceCoder(model)
-    return _coders[key]
+def coder_of(kind: type, model: bytes) -> PieceDecoder:
+    held = _coders.get(kind)
+    if held is None or held[0] != model:
+        held = _coders[kind] = model, kind(model)
+    return held[1]
 
 
 def load_model(path: str) -> bytes:
@@ -290,16 +296,16 @@ def load_model(path: str) -> bytes:
     return model
 
 
-def _mapped(df: DataFrame, spark: SparkSession, model: bytes, column: str, out: str, kind: T.DataType, convert) -> DataFrame:
+def _mapped(df: DataFrame, coder: type, model: bytes, column: str, out: str, kind: T.DataType, convert) -> DataFrame:
     """``df`` with ``out`` = ``convert(coder, values of column)``; every other column passes through."""
-    shared = spark.sparkContext.broadcast(model)
-    at = [c for c in df.columns].index(column)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(column)
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(shared.value)
+        made_by = coder_of(coder, shared.value)
         for batch in batches:
-            made = convert(coder, batch.column(at))
+            made = convert(made_by, batch.column(at))
             names = [*batch.schema.names, out]
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=names)
 
@@ -321,20 +327,20 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "i
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
     (name,) = fresh(df, out)
-    return _mapped(df, df.sparkSession, load_model(model_path), text_col, name, T.ArrayType(T.IntegerType()), convert)
+    return _mapped(df, PieceCoder, load_model(model_path), text_col, name, T.ArrayType(T.IntegerType()), convert)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids as ``out``; null ids give an empty text."""
 
-    def convert(coder: PieceCoder, lists: pa.Array) -> pa.Array:
+    def convert(coder: PieceDecoder, lists: pa.Array) -> pa.Array:
         if lists.null_count:
             lists = pc.fill_null(lists, pa.scalar([], lists.type))
         flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return pa.array([coder.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
     (name,) = fresh(df, out)
-    return _mapped(df, df.sparkSession, load_model(model_path), ids_col, name, T.StringType(), convert)
+    return _mapped(df, PieceDecoder, load_model(model_path), ids_col, name, T.StringType(), convert)
 
 
 def digests(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> list:
