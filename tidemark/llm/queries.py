@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, pieces
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.licenses import CUE, LEAST, TEMPLATES, scan_licenses
 from tidemark.llm.line_templates import dedup_lines
 from tidemark.llm.near_dups import near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
@@ -133,3 +134,60 @@ def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @_register
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+# The documents have no path: one is made from source and id, three directories deep; round numbers lie higher up, and a
+# document that opens with a notice is the licence file of its directory.
+_PATH = """concat_ws('/', coalesce(source, 'unknown'),
+  CASE WHEN doc_id % 1000 <> 0 THEN CAST(doc_id {div} 1000 AS {text}) END,
+  CASE WHEN doc_id % 100 <> 0 THEN CAST((doc_id {div} 100) % 10 AS {text}) END,
+  concat(CASE WHEN {opens} THEN 'LICENSE-' ELSE '' END, CAST(doc_id AS {text}), '.txt'))"""
+
+
+@_register
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = _PATH.format(div="div", text="string", opens=f"coalesce(split_part(text, '\n', 1) rlike '{CUE}', false)")
+    files = table(spark, sf, "documents").selectExpr("doc_id", "text", f"{path} as path")
+    return scan_licenses(files)
+
+
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, _, t) in enumerate(TEMPLATES))
+_WEIGHT = "(1 + ln(tf)) * (1 + ln(((SELECT sum(n) FROM nt) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)))"
+SQL["op10_license_scan"] = f"""
+WITH f AS (
+  SELECT doc_id, text, {_PATH.format(div="//", text="VARCHAR", opens=f"coalesce(regexp_matches(split_part(text, chr(10), 1), '{CUE}'), false)")} AS path
+  FROM documents),
+n AS (
+  SELECT doc_id, path, regexp_matches(string_split(path, '/')[-1], '(?i)^(licen[cs]e|copying|notice)') AS named,
+    CASE WHEN position('/' IN path) > 0 THEN regexp_replace(path, '/[^/]*$', '') END AS directory,
+    CASE WHEN regexp_matches(string_split(path, '/')[-1], '(?i)^(licen[cs]e|copying|notice)') THEN text
+      ELSE array_to_string([x for x in string_split(text, chr(10)) if regexp_matches(x, '{CUE}')], chr(10)) END AS notice
+  FROM f),
+nt AS (SELECT notice, count(*) AS n FROM n WHERE notice <> '' GROUP BY notice),
+tk AS (SELECT notice, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM nt),
+tm AS (SELECT notice, term, count(*) AS tf FROM tk GROUP BY notice, term),
+idf AS (SELECT term, sum(n) AS df FROM tm JOIN nt USING (notice) GROUP BY term),
+v AS (SELECT notice, term, {_WEIGHT} AS w FROM tm JOIN idf USING (term)),
+tp(template, license, text) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS (SELECT template, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM tp),
+tw AS (SELECT template, term, {_WEIGHT} AS v FROM (SELECT template, term, count(*) AS tf FROM tt GROUP BY 1, 2) LEFT JOIN idf USING (term)),
+sc AS (
+  SELECT notice, license, round(dot / (norm * size), 9) AS score
+  FROM (SELECT notice, template, sum(w * v) AS dot FROM v JOIN tw USING (term) GROUP BY 1, 2)
+  JOIN (SELECT notice, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1) USING (notice)
+  JOIN (SELECT template, sqrt(sum(v * v)) AS size FROM tw GROUP BY 1) USING (template) JOIN tp USING (template)),
+hit AS (SELECT * FROM sc WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, license DESC) = 1),
+k AS (SELECT doc_id, path, named, directory, license AS own_license, round(score, 6) AS score FROM n LEFT JOIN hit USING (notice)),
+src AS (
+  SELECT directory AS above, own_license AS inherited FROM k WHERE named AND own_license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY score DESC, own_license DESC) = 1),
+up AS (
+  SELECT directory, depth, array_to_string(string_split(directory, '/')[1:depth], '/') AS above
+  FROM (SELECT directory, unnest(range(1, len(string_split(directory, '/')) + 1)) AS depth FROM (SELECT DISTINCT directory FROM k))),
+near AS (
+  SELECT directory, above, inherited FROM up JOIN src USING (above)
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY depth DESC) = 1)
+SELECT doc_id, path, own_license, score, coalesce(own_license, inherited) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'self' ELSE above END AS licensed_by
+FROM k LEFT JOIN near USING (directory)
+"""
