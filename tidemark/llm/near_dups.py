@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import arrow_map, fresh, materialize, sorted_groups, without
+from tidemark.llm.frames import arrow_map, fresh, materialize, sorted_groups
 from tidemark.llm.words import U, mix64, seeded, windows, word_batches
 
 WORDS = 5
@@ -291,23 +291,16 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, all columns; one row of each repeated id stays.
 
-    Of repeated ids the row with the smallest text stays.  Rows without an id all stay.
+    Of repeated ids the row with the smallest text (null last) stays.  Rows without an id all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, percent)
-    (key,) = fresh(docs, "kept_id")
-    keep = found.where("id is not null and kept").select(F.col("id").alias(key)).distinct()
-    (rank,) = fresh(docs, "copy_rank")
-    once = docs.where(F.col(f"`{id_col}`").isNotNull()).join(keep, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_semi")
-    first = once.groupBy(F.col(f"`{id_col}`").cast("long").alias(key)).agg(F.count("*").alias(rank)).where(f"`{rank}` > 1")
-    return _one_row_each(once, first.select(key), id_col, text_col, key, rank).unionByName(
-        docs.where(F.col(f"`{id_col}`").isNull())
-    )
-
-
-def _one_row_each(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, key: str, rank: str) -> DataFrame:
-    """Only repeated ids are ranked; all other rows pass without a sort."""
-    on = F.col(f"`{id_col}`").cast("long") == F.col(key)
-    single = docs.join(repeated, on, "left_anti")
-    order = f"row_number() over (partition by `{id_col}` order by `{text_col}` nulls last) as `{rank}`"
-    several = docs.join(repeated, on, "left_semi").selectExpr("*", order).where(f"`{rank}` = 1")
-    return single.unionByName(without(several, rank))
+    key, copies, rank = fresh(docs, "kept_id", "copies", "copy_rank")
+    found = near_duplicates(docs, id_col, text_col, percent).where("id is not null and kept")
+    keep = materialize(found.groupBy(F.col("id").alias(key)).agg(F.count("*").alias(copies)))
+    joined = docs.join(keep, F.col(f"`{id_col}`").cast("long") == F.col(key), "left")
+    joined = joined.where(F.col(f"`{id_col}`").isNull() | F.col(key).isNotNull())
+    if keep.where(F.col(copies) > 1).take(1):
+        # only repeated ids are sorted
+        order = f"row_number() over (partition by `{id_col}` order by `{text_col}` nulls last) as `{rank}`"
+        several = joined.where(F.col(copies) > 1).selectExpr("*", order).where(f"`{rank}` = 1").drop(rank)
+        joined = joined.where(f"coalesce(`{copies}`, 1) = 1").unionByName(several)
+    return joined.drop(key, copies)

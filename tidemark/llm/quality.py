@@ -105,62 +105,64 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def line_rules(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    limit: int = LINE_LIMIT,
-    keep_percent: int = KEEP_PERCENT,
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: int = LINE_LIMIT, keep_percent: int = KEEP_PERCENT
 ) -> DataFrame:
-    """(id, line_words, frequent_words, depleted) of each id that has a line with a word.
+    """(c1, c2, line_words, frequent_words, drop array<int>, depleted) of each distinct (host, text) that has a frequent line.
 
-    A normalised line is frequent at a host when more than ``limit`` different texts of the host have it: copies of one
-    text are one document.  Removing the frequent lines depletes a document when less than ``keep_percent`` of its words
-    stay.  A null host is a host of its own; rows of one id are counted together; rows without an id have no result.
+    ``c1`` and ``c2`` are the hashes of ``text_keys``.  A normalised line is frequent at a host when more than ``limit``
+    different texts of the host have it: copies of one text are one document.  ``drop`` has the places of the frequent
+    lines; removing them depletes a document when less than ``keep_percent`` of its words stay.  A null host is a host of
+    its own.
 
-    A (host, line) is counted after removing repeats within (text, host, line), which splits a line that a third of all
-    documents share over the texts; counts add up before they are moved.
+    Only hashes move.  Repeats within a text are combined before the shuffle, and so are the counts of a line, so a line
+    that a third of all documents share is added up where it lies.
     """
     text = F.col(f"`{text_col}`")
-    lines = F.filter(F.transform(F.split(text, "\n"), normal_line), lambda x: x != "")
-    kept = docs.where(F.col(f"`{id_col}`").isNotNull() & text.isNotNull()).select(
-        F.col(f"`{id_col}`").alias("id"),
-        F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("")).alias("host"),
-        F.xxhash64(text).alias("copy"),
-        F.explode(lines).alias("line"),
-    )
-    parts = kept.select("id", "host", "copy", F.xxhash64("host", "line").alias("key"), _n_words("line").alias("n"))
-    # one row per document, line and its words
-    per_doc = parts.groupBy("key", "id", "copy").agg(F.sum("n").alias("n"))
-    frequent = (
-        per_doc.select("key", "copy")
-        .distinct()
-        .groupBy("key")
-        .agg(F.count("*").alias("texts"))
-        .where(F.col("texts") > limit)
-        .select("key", F.lit(True).alias("hit"))
-    )
+    lines = F.transform(F.split(text, "\n"), normal_line)
+    rows = docs.where(text.isNotNull()).select(*text_keys(docs, text_col, host_col), _host(host_col).alias("host"), F.posexplode(lines).alias("at", "line"))
+    parts = rows.where("line <> ''").select("c1", "c2", "at", F.xxhash64("host", "line").alias("key"), F.size(F.split("line", " ")).cast("long").alias("n"))
+    per_text = parts.groupBy("key", "c1", "c2").agg(F.first("n").alias("n"), F.collect_set("at").alias("at"))
+    frequent = per_text.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") > limit).select("key", F.lit(True).alias("hit"))
+    words = F.col("n") * F.size("at")
     return (
-        per_doc.join(frequent, "key", "left")
-        .groupBy("id")
-        .agg(F.sum("n").alias("line_words"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("frequent_words"))
+        per_text.join(frequent, "key", "left")
+        .groupBy("c1", "c2")
+        .agg(
+            F.sum(words).alias("line_words"),
+            F.sum(F.when(F.col("hit"), words)).alias("frequent_words"),
+            F.flatten(F.collect_list(F.when(F.col("hit"), F.col("at")))).alias("drop"),
+        )
+        .where("frequent_words > 0")
         .withColumn("depleted", 100 * (F.col("line_words") - F.col("frequent_words")) < keep_percent * F.col("line_words"))
     )
 
 
-def _n_words(line: str) -> Column:
-    """Words of a normalised line."""
-    return F.size(F.split(F.col(line), " ")).cast("long")
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit(""))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def text_keys(docs: DataFrame, text_col: str, host_col: str) -> list[Column]:
+    """Two 64-bit hashes that stand for a host and a text."""
+    text, host = F.col(f"`{text_col}`"), _host(host_col)
+    return [F.xxhash64(host, text).alias("c1"), F.xxhash64(F.lit(7), host, text).alias("c2")]
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", cut: bool = False) -> DataFrame:
     """``docs`` with the base counts, ``base_failed`` and ``kept``: not failed and not depleted of frequent lines.
 
-    Empty and null texts fail the base rules.  Rows without an id are judged by the base rules alone.
+    Empty and null texts fail the base rules.  Repeated rows are judged alike.  With ``cut`` the frequent lines are removed
+    from the texts, after the counts.
     """
     based = base_rules(docs, text_col)
-    gone = line_rules(docs, id_col, text_col, host_col).where("depleted")
-    (key, hit) = fresh(based, "depleted_id", "depleted")
-    gone = gone.select(F.col("id").alias(key), F.lit(True).alias(hit))
-    out = based.join(gone, F.col(f"`{id_col}`") == F.col(key), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col(hit).isNull()).drop(key, hit)
+    c1, c2, drop, depleted = fresh(based, "c1", "c2", "drop", "depleted")
+    rules = line_rules(docs, text_col, host_col).select(
+        F.col("c1").alias(c1), F.col("c2").alias(c2), F.col("drop").alias(drop), F.col("depleted").alias(depleted)
+    )
+    keys = [k.alias(n) for k, n in zip(text_keys(docs, text_col, host_col), (c1, c2))]
+    out = based.select("*", *keys).join(rules, [c1, c2], "left")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col(depleted), F.lit(False)))
+    if cut:
+        text = F.col(f"`{text_col}`")
+        left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(drop), i)), "\n")
+        out = out.withColumn(text_col, F.when(F.col(drop).isNull(), text).otherwise(left))
+    return out.drop(c1, c2, drop, depleted)
