@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ def asof_join(
 ) -> DataFrame:
     """Left rows plus ``<time><suffix>`` and ``<column><suffix>`` for every column in ``take``.
 
+    NULL times and keys match nothing, on either side; such left rows stay.
     ``strict`` looks only before the left time; ``tolerance`` is an interval
     such as ``'1 day'``.  Both sides go through one shuffle as one sorted
     stream.  A key too large for one task is cut into ranges, each of which
@@ -45,7 +48,8 @@ def asof_join(
 
     right_first = 1 if strict else 0
     l = left.select(*by, time, F.lit(1 - right_first).alias("__side"), *ties(tie), F.struct(*left.columns).alias("__left"))
-    r = right.select(*by, time, F.lit(right_first).alias("__side"), *ties(right_tie), payload_type.alias("__right"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in (time, *by)])
+    r = right.where(known).select(*by, time, F.lit(right_first).alias("__side"), *ties(right_tie), payload_type.alias("__right"))
     both = l.unionByName(r, allowMissingColumns=True)
 
     shape = group_shape(both, by)
@@ -60,9 +64,9 @@ def asof_join(
         found = _over_ranges(both, cut, by, order, latest)
 
     hit = F.col("__found")
-    near = F.lit(True)
+    near = reduce(and_, [F.col(f"__left.{c}").isNotNull() for c in (time, *by)])
     if tolerance:
-        near = F.col(f"__left.{time}") - hit["t"] <= F.expr(f"INTERVAL {tolerance}")
+        near = near & (F.col(f"__left.{time}") - hit["t"] <= F.expr(f"INTERVAL {tolerance}"))
     taken = [F.when(near, hit["t"]).alias(f"{time}{suffix}"), *[F.when(near, hit[c]).alias(f"{c}{suffix}") for c in take]]
     return found.where(F.col("__left").isNotNull()).select("__left.*", *taken)
 

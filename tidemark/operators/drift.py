@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import mmd
 from tidemark.operators.clean import long_form
 from tidemark.operators.ordering import ROWS_PER_RANGE, cumulative_counts, group_shape, over_order
 from tidemark.operators.preprocess import vocabularies
@@ -37,11 +38,12 @@ def drift_matrix(df: DataFrame, numeric: Sequence[str], vocabulary: dict[str, li
 
 @dataclass(frozen=True)
 class Baseline:
-    """What later checks need of the reference: value counts per feature and the category vocabulary."""
+    """What later checks need of the reference: value counts per feature, the category vocabulary, and its rows for MMD."""
 
     counts: DataFrame
     numeric: tuple[str, ...]
     vocabulary: dict[str, list[str]]
+    rows: DataFrame | None = None  # (key, v): the reference rows as vectors, which MMD compares
 
     @property
     def features(self) -> list[str]:
@@ -51,19 +53,30 @@ class Baseline:
     def matrix(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return drift_matrix(df, self.numeric, self.vocabulary, keep)
 
+    def vectors(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, v) of the rows whose features are all present."""
+        matrix = self.matrix(df, [F.col(key).cast("string").alias("__key")])
+        cells = [c for c in matrix.columns if c != "__key"]
+        whole = matrix.select(F.col("__key").alias("key"), F.array(*cells).alias("v"))
+        return whole.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+
     def moments(self) -> DataFrame:
         n, v = F.col("n"), F.col("value")
         mean = F.sum(n * v) / F.sum(n)
         return self.counts.groupBy("feature").agg(F.sum(n).alias("n"), mean.alias("mean"))
 
 
-def fit_baseline(reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> Baseline:
+def fit_baseline(
+    reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), key: str | None = None
+) -> Baseline:
+    """``key`` names a row; with it the baseline also holds the rows that MMD needs."""
     present = [c for c in categorical if c in reference.columns]
     vocabulary = vocabularies(reference, present)
     matrix = drift_matrix(reference, numeric, vocabulary)
     values = long_form(matrix, matrix.columns).where("value IS NOT NULL AND NOT isnan(value)")
     counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return Baseline(counts, tuple(c for c in numeric if c in reference.columns), vocabulary)
+    fitted = Baseline(counts, tuple(c for c in numeric if c in reference.columns), vocabulary)
+    return replace(fitted, rows=fitted.vectors(reference, key)) if key else fitted
 
 
 def kolmogorov_sf(x: Column) -> Column:
@@ -203,20 +216,47 @@ def check_batch(
     methods: Sequence[str] = ("ks",),
     threshold: float = 0.05,
     per_feature: bool = True,
+    key: str | None = None,
+    distance: float = 0.1,
+    mmd_options: dict[str, object] | None = None,
     **limits,
 ) -> DataFrame:
     """Drift result rows of one batch: one row per method for the batch, one per numeric feature.
 
-    A method this job does not know gives a row whose ``status`` says so.
+    ``ks`` tests each feature and corrects the verdict of the batch.  ``mmd`` compares whole rows; it needs a baseline
+    fitted with a key, and ``key`` for the current rows.  ``wasserstein`` gives distances in standard deviations of the
+    reference; a feature has drifted when that is above ``distance``.  A method that cannot run gives a row whose
+    ``status`` says why.
     """
     outs = []
     for method in methods:
+        if method == "mmd" and baseline.rows is not None and key:
+            both = baseline.rows.withColumn("ref", F.lit(True)).unionByName(
+                baseline.vectors(current, key).withColumn("ref", F.lit(False))
+            )
+            found = mmd.blocked(both, "v", F.col("ref"), "key", threshold=threshold, **(mmd_options or {}))
+            outs.append(_result(found, "is_drift", "mmd2", "p_value", method, None, threshold, at))
+            continue
+        if method == "wasserstein":
+            spread = baseline.counts.groupBy("feature").agg(
+                F.sum("n").alias("w"), F.sum(F.col("n") * F.col("value")).alias("x"),
+                F.sum(F.col("n") * F.col("value") * F.col("value")).alias("xx"),
+            ).select("feature", F.sqrt(F.greatest(F.col("xx") / F.col("w") - F.pow(F.col("x") / F.col("w"), 2), F.lit(0.0))).alias("std"))
+            scaled = wasserstein(baseline, current, **limits).join(F.broadcast(spread), "feature").select(
+                "feature", (F.col("distance") / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)).alias("score"), F.lit(None).cast("double").alias("p")
+            )
+            worst = scaled.agg(F.max("score").alias("score")).select("score", F.lit(None).cast("double").alias("p"), (F.col("score") > distance).alias("drift"))
+            outs.append(_result(worst, "drift", "score", "p", method, None, distance, at))
+            if per_feature:
+                single = scaled.where(F.col("feature").isin(list(baseline.numeric))).withColumn("drift", F.col("score") > distance)
+                outs.append(_result(single, "drift", "score", "p", method, "feature", distance, at))
+            continue
         if method != "ks":
             row = current.sparkSession.range(1).select(
                 F.lit(None).cast("boolean").alias("is_drift"), F.lit(None).cast("double").alias("drift_score"),
                 F.lit(None).cast("double").alias("p_value"), F.lit(method).alias("method"),
                 F.lit(None).cast("string").alias("feature_name"), F.lit(threshold).alias("threshold"),
-                at.alias("timestamp"), F.lit("unknown method").alias("status"),
+                at.alias("timestamp"), F.lit("no reference rows" if method == "mmd" else "unknown method").alias("status"),
             )
             outs.append(row)
             continue
@@ -242,6 +282,17 @@ def check_batch(
     return result
 
 
+def _result(
+    found: DataFrame, drift: str, score: str, p: str, method: str, feature: str | None, threshold: float, at: Column
+) -> DataFrame:
+    """Rows of ``RESULT_SCHEMA`` with their status."""
+    return found.select(
+        F.col(drift).alias("is_drift"), F.col(score).alias("drift_score"), F.col(p).alias("p_value"), F.lit(method).alias("method"),
+        (F.col(feature) if feature else F.lit(None).cast("string")).alias("feature_name"), F.lit(threshold).alias("threshold"),
+        at.alias("timestamp"), F.lit("ok").alias("status"),
+    )
+
+
 def mean_shift(
     reference: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1, mode: str = "signed",
     by: Sequence[str] = (),
@@ -318,7 +369,9 @@ def batch_report(results: DataFrame, batch_id: str, batch_size: int) -> DataFram
         F.coalesce(F.max(F.exists("r", lambda x: x["is_drift"])), F.lit(False)).alias("f_detected"),
     )
     whole = results.where(overall).agg(
-        F.collect_list(entry).alias("results"), F.coalesce(F.max("is_drift"), F.lit(False)).alias("detected"),
+        F.collect_list(entry).alias("results"),
+        # rows of methods that could not run have no verdict, and no verdict at all is not "no drift"
+        F.when(F.count(F.lit(1)) == 0, False).otherwise(F.max("is_drift")).alias("detected"),
         F.max("timestamp").alias("timestamp"),
     )
     return _one_row(whole, per_feature).select(

@@ -15,6 +15,12 @@ from tidemark.operators.ordering import small_side
 MAX_CATEGORIES = 10_000
 
 
+def finite(c: Column) -> Column:
+    """The value as a double; NULL for NaN and infinities, which count as missing."""
+    value = c.cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
 @dataclass(frozen=True)
 class FittedColumns:
     """Moments and vocabularies of the fit rows.
@@ -32,7 +38,7 @@ class FittedColumns:
         return [f"num__{c}" for c in self.moments] + [f"cat__{c}_{v}" for c, vs in self.vocabulary.items() for v in vs]
 
     def columns(self) -> dict[str, Column]:
-        made = {f"num__{c}": (F.col(c).cast("double") - m) / s for c, (m, s) in self.moments.items()}
+        made = {f"num__{c}": (finite(F.col(c)) - m) / s for c, (m, s) in self.moments.items()}
         for c, vs in self.vocabulary.items():
             for v in vs:
                 made[f"cat__{c}_{v}"] = F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).cast("double")
@@ -48,11 +54,13 @@ class FittedColumns:
     def stage(self) -> SQLTransformer:
         """The same columns as a Spark ML stage, so that a saved model carries its fit.
 
-        A missing numeric value becomes the fit mean (0 after scaling).
+        A missing or non-finite numeric value becomes the fit mean (0 after scaling).
         """
-        cells = [
-            f"coalesce((cast(`{c}` as double) - ({m!r}D)) / {s!r}D, 0D) AS `num__{c}`" for c, (m, s) in self.moments.items()
-        ]
+        cells = []
+        for c, (m, s) in self.moments.items():
+            value = f"cast(`{c}` as double)"
+            finite_only = f"CASE WHEN NOT isnan({value}) AND abs({value}) < double('Infinity') THEN {value} END"
+            cells.append(f"coalesce(({finite_only} - ({m!r}D)) / {s!r}D, 0D) AS `num__{c}`")
         for c, vs in self.vocabulary.items():
             for v in vs:
                 text = v.replace("\\", "\\\\").replace("'", "\\'")
@@ -63,10 +71,12 @@ class FittedColumns:
 def fit_columns(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), max_categories: int = MAX_CATEGORIES
 ) -> FittedColumns:
-    """Mean and population std per numeric column (std 0 counts as 1), sorted vocabulary per categorical one."""
+    """Mean and population std of the finite values per numeric column (std 0 counts as 1), sorted vocabulary per
+    categorical one."""
     moments: dict[str, tuple[float, float]] = {}
     if numeric:
-        rows = long_form(df, numeric).groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+        values = long_form(df, numeric).withColumn("value", finite(F.col("value")))
+        rows = values.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
         found = {r["feature"]: (r["m"] or 0.0, r["s"] or 1.0) for r in rows.collect()}
         moments = {c: found.get(c, (0.0, 1.0)) for c in numeric}
     return FittedColumns(moments, vocabularies(df, categorical, max_categories))

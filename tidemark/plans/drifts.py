@@ -247,19 +247,35 @@ def batch_report(spark, sf):
     )
 
 
-@query(
-    "mmd_exact",
-    """WITH e AS (SELECT vec_id, vec_id % 2 = 0 AS ref, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
- k AS (SELECT a.ref AS x, b.ref AS y, exp(-power(list_distance(a.v, b.v), 2) / 2.0) AS k FROM e a JOIN e b ON a.vec_id <> b.vec_id),
- t AS (SELECT avg(k) FILTER (WHERE x AND y) AS aa, avg(k) FILTER (WHERE NOT x AND NOT y) AS bb,
-   avg(k) FILTER (WHERE x AND NOT y) AS ab FROM k)
- SELECT count(*) FILTER (WHERE ref) AS ref_rows, count(*) FILTER (WHERE NOT ref) AS cur_rows,
-  any_value(aa + bb - 2 * ab) AS mmd2 FROM e, t""",
-    digits={"mmd2": 9},
-)
-def mmd_exact(spark, sf):
+def mmd_sql(samples: str) -> str:
+    """The blocked statistic of (key, ref, v) rows, dealt as ``mmd.blocked`` deals them."""
+    half = K.BLOCK_ROWS // 2
+    return f"""e AS (SELECT key, ref, v, row_number() OVER (PARTITION BY ref ORDER BY md5(CAST(key AS VARCHAR)), key) - 1 AS pos,
+   greatest(1, count(*) OVER (PARTITION BY ref) // {half}) AS parts FROM ({samples})),
+ d AS (SELECT e.*, block FROM e, (SELECT unnest(range(max(parts))) AS block FROM e) WHERE block % parts = pos % parts),
+ pairs AS (SELECT a.block, a.ref AS x, b.ref AS y, exp(-power(list_distance(a.v, b.v), 2) / 2.0) AS k
+  FROM d a JOIN d b ON a.block = b.block AND (a.key <> b.key OR a.ref <> b.ref)),
+ t AS (SELECT block, avg(k) FILTER (WHERE x AND y) + avg(k) FILTER (WHERE NOT x AND NOT y) - 2 * avg(k) FILTER (WHERE x AND NOT y) AS stat
+  FROM pairs GROUP BY block),
+ mmd AS (SELECT (SELECT count(*) FROM e WHERE ref) AS ref_rows, (SELECT count(*) FROM e WHERE NOT ref) AS cur_rows,
+  (SELECT avg(stat) FROM t) AS mmd2)"""
+
+
+def _vectors_sql(reference: str) -> str:
+    return mmd_sql(f"SELECT vec_id AS key, {reference} AS ref, CAST(embedding AS DOUBLE[]) AS v FROM embeddings")
+
+
+@query("mmd_blocks", f"WITH {_vectors_sql('vec_id % 2 = 0')} SELECT * FROM mmd", digits={"mmd2": 9})
+def mmd_blocks(spark, sf):
     vectors = read(spark, sf, "embeddings")
-    return K.blocked(vectors, "embedding", F.col("vec_id") % 2 == 0, "vec_id").select("ref_rows", "cur_rows", "mmd2")
+    return K.blocked(vectors, "embedding", F.col("vec_id") % 2 == 0, "vec_id", permutations=0).select("ref_rows", "cur_rows", "mmd2")
+
+
+@query("mmd_unequal", f"WITH {_vectors_sql('vec_id % 10 <> 0')} SELECT * FROM mmd", digits={"mmd2": 9})
+def mmd_unequal(spark, sf):
+    """Nine reference rows for each current one: the current rows go round the blocks."""
+    vectors = read(spark, sf, "embeddings")
+    return K.blocked(vectors, "embedding", F.col("vec_id") % 10 != 0, "vec_id", permutations=0).select("ref_rows", "cur_rows", "mmd2")
 
 
 @query("mmd_random_features")
@@ -268,10 +284,43 @@ def mmd_random_features(spark, sf):
     return K.random_features(vectors, "embedding", F.col("vec_id") % 2 == 0, "vec_id")
 
 
-@query("mmd_permutation_test")
+@query(
+    "mmd_permutation_test",
+    f"""WITH {_vectors_sql('label % 2 = 0')}
+ SELECT *, TRUE AS p_in_range, TRUE AS verdict_follows_p FROM mmd""",
+    digits={"mmd2": 9},
+)
 def mmd_permutation_test(spark, sf):
+    """The statistic, and that its p-value is a share of the relabellings and decides the verdict."""
     vectors = read(spark, sf, "embeddings")
-    return K.blocked(vectors, "embedding", F.col("label") % 2 == 0, "vec_id")
+    found = K.blocked(vectors, "embedding", F.col("label") % 2 == 0, "vec_id")
+    return found.select(
+        "ref_rows", "cur_rows", "mmd2",
+        (F.col("p_value").between(0, 1) & (F.abs(F.col("p_value") * 100 - F.round(F.col("p_value") * 100)) < 1e-9)).alias("p_in_range"),
+        (F.col("is_drift") == (F.col("p_value") < 0.05)).alias("verdict_follows_p"),
+    )
+
+
+_MATRIX_SQL = f"""SELECT event_id AS key, timestamp < {CUT_SQL} AS ref,
+  [price, feature1, {', '.join(f"CAST(event_type = '{v}' AS DOUBLE)" for v in KINDS)}, 0.0::DOUBLE] AS v FROM ({EVENTS_SQL})
+  WHERE price IS NOT NULL AND feature1 IS NOT NULL"""
+
+
+@query(
+    "batch_check",
+    f"""WITH k AS ({KS_SQL}), {mmd_sql(_MATRIX_SQL)}
+ SELECT 'ks' AS method, 'batch' AS scope, max(statistic) AS drift_score, CASE WHEN min(p_value) < 0.05 / 8 THEN 'drift' ELSE 'none' END AS verdict FROM k
+ UNION ALL SELECT 'ks', feature, statistic, CASE WHEN p_value < 0.05 THEN 'drift' ELSE 'none' END FROM k WHERE feature IN ('price', 'feature1')
+ UNION ALL SELECT 'mmd', 'batch', mmd2, 'by relabelling' FROM mmd""",
+    digits={"drift_score": 7},
+)
+def batch_check(spark, sf):
+    """The default methods on one batch; the verdict of MMD rests on random relabellings and is left out."""
+    reference, current = drift_windows(spark, sf)
+    baseline = D.fit_baseline(reference, NUMERIC, CATEGORICAL, key="event_id")
+    found = D.check_batch(baseline, current, F.current_timestamp(), ["ks", "mmd"], key="event_id")
+    verdict = F.when(F.col("method") == "mmd", "by relabelling").when(F.col("is_drift"), "drift").otherwise("none")
+    return found.select("method", F.coalesce("feature_name", F.lit("batch")).alias("scope"), "drift_score", verdict.alias("verdict"))
 
 
 @query(
@@ -290,6 +339,27 @@ def asof_price(spark, sf):
     return out.select("event_id", "ts_asof", "value_asof")
 
 
+@query(
+    "asof_nulls",
+    """WITH e AS (SELECT event_id, event_type, value, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts,
+   CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id FROM events),
+ l AS (SELECT event_id, ts, user_id FROM e WHERE event_type = 'purchase'),
+ r AS (SELECT ts, user_id, value FROM e WHERE event_type = 'view')
+ SELECT l.event_id, r.ts AS ts_asof, r.value AS value_asof FROM l ASOF LEFT JOIN r
+  ON l.user_id = r.user_id AND l.ts >= r.ts""",
+)
+def asof_nulls(spark, sf):
+    """Rows without a time or a user match nothing."""
+    events = read(spark, sf, "events").select(
+        "event_id", "event_type", "value", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"),
+        F.when(F.col("event_id") % 11 != 0, F.col("user_id")).alias("user_id"),
+    )
+    left = events.where("event_type = 'purchase'").select("event_id", "ts", "user_id")
+    right = events.where("event_type = 'view'").select("event_id", "ts", "user_id", "value")
+    out = asof_join(left, right, "ts", ["user_id"], ["value"], ["event_id"], ["event_id"])
+    return out.select("event_id", "ts_asof", "value_asof")
+
+
 @query(
     "asof_tolerance",
     """WITH l AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase'),

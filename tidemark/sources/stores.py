@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 from tidemark.operators.drift import Baseline, drift_summary
 
 
+VALUE_FILES = 4  # files of one feature at most
+
+
 def save_baseline(baseline: Baseline, path: str) -> None:
     spark = baseline.counts.sparkSession
-    baseline.counts.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/counts")
+    # one task writes a feature's file, but for features with very many values
+    dealt = baseline.counts.repartition("feature", F.pmod(F.xxhash64("value"), F.lit(VALUE_FILES)))
+    dealt.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/counts")
+    if baseline.rows is not None:
+        baseline.rows.write.mode("overwrite").parquet(f"{path}/rows")
     rows = [("numeric", c, i, None) for i, c in enumerate(baseline.numeric)]
     rows += [("category", c, i, v) for c, vs in baseline.vocabulary.items() for i, v in enumerate(vs)]
     rows += [("categorical", c, i, None) for i, c in enumerate(baseline.vocabulary)]
+    rows += [("rows", None, 0, None)] if baseline.rows is not None else []
     spark.createDataFrame(rows, "kind string, feature string, position int, value string").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/columns")
@@ -26,7 +34,9 @@ def load_baseline(spark: SparkSession, path: str) -> Baseline:
     names = sorted((r["position"], r["feature"]) for r in columns if r["kind"] == "categorical")
     vocabulary = {c: [r["value"] for r in columns if r["kind"] == "category" and r["feature"] == c] for _, c in names}
     counts = spark.read.schema("value double, n long, feature string").parquet(f"{path}/counts").select("feature", "value", "n")
-    return Baseline(counts, tuple(numeric), vocabulary)
+    held = any(r["kind"] == "rows" for r in columns)
+    vectors = spark.read.schema("key string, v array<double>").parquet(f"{path}/rows") if held else None
+    return Baseline(counts, tuple(numeric), vocabulary, vectors)
 
 
 def append_results(results: DataFrame, path: str) -> None:
