@@ -100,10 +100,21 @@ def score_table(
     missing = sorted(set(inputs) - set(df.columns))
     if missing:
         raise ValueError(f"missing features: {missing}")
+    return score_records(model.transform(df), key, version, radius, confidence)
+
+
+def score_records(
+    scored: DataFrame,
+    key: Sequence[str],
+    version: str = "unknown",
+    radius: float | None = None,
+    confidence: float | None = None,
+) -> DataFrame:
+    """The records of rows that already have their ``y_pred``."""
     level = confidence if radius is not None else None
     p = F.col("y_pred")
     band = [] if radius is None else [(p - radius).alias("low"), (p + radius).alias("high")]
-    return model.transform(df).select(
+    return scored.select(
         *key,
         p.alias("prediction"),
         F.lit(version).alias("model_version"),

@@ -278,10 +278,19 @@ def mmd_unequal(spark, sf):
     return K.blocked(vectors, "embedding", F.col("vec_id") % 10 != 0, "vec_id", permutations=0).select("ref_rows", "cur_rows", "mmd2")
 
 
-@query("mmd_random_features")
+@query(
+    "mmd_random_features",
+    """SELECT count(*) FILTER (WHERE vec_id % 2 = 0) AS ref_rows, count(*) FILTER (WHERE vec_id % 2 <> 0) AS cur_rows,
+ TRUE AS p_in_range, TRUE AS verdict_follows_p, TRUE AS is_distance FROM embeddings""",
+)
 def mmd_random_features(spark, sf):
+    """A squared distance of means, and a p-value that decides the verdict."""
     vectors = read(spark, sf, "embeddings")
-    return K.random_features(vectors, "embedding", F.col("vec_id") % 2 == 0, "vec_id")
+    found = K.random_features(vectors, "embedding", F.col("vec_id") % 2 == 0, "vec_id")
+    return found.select(
+        "ref_rows", "cur_rows", F.col("p_value").between(0, 1).alias("p_in_range"),
+        (F.col("is_drift") == (F.col("p_value") < 0.05)).alias("verdict_follows_p"), F.col("mmd2").between(0, 4).alias("is_distance"),
+    )
 
 
 @query(
