@@ -69,12 +69,15 @@ class Baseline:
 def fit_baseline(
     reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), key: str | None = None
 ) -> Baseline:
-    """``key`` names a row; with it the baseline also holds the rows that MMD needs."""
+    """The counts are written once, so that later checks do not scan the reference again.
+
+    ``key`` names a row; with it the baseline also holds the rows that MMD needs.
+    """
     present = [c for c in categorical if c in reference.columns]
     vocabulary = vocabularies(reference, present)
     matrix = drift_matrix(reference, numeric, vocabulary)
     values = long_form(matrix, matrix.columns).where("value IS NOT NULL AND NOT isnan(value)")
-    counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
     fitted = Baseline(counts, tuple(c for c in numeric if c in reference.columns), vocabulary)
     return replace(fitted, rows=fitted.vectors(reference, key)) if key else fitted
 

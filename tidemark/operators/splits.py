@@ -150,8 +150,9 @@ def contiguous_folds(
 def random_split(
     df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = RANDOM_SEED, rows_per_range: int | None = None
 ) -> DataFrame:
-    """Repeatable shuffled split of exact size: rows ordered by a seeded hash of their key."""
-    hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
+    """Repeatable shuffled split of exact size: rows ordered by the MD5 of their key and the seed, joined by ``|``."""
+    told = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    hashed = df.withColumn("__h", F.md5(told.cast("binary")))
     placed, n = _positioned(hashed, ["__h", *key], rows_per_range)
     held_out = -int(-n * test // 1)
     return placed.withColumn("split", F.when(F.col("pos") < held_out, "test").otherwise("train")).drop("__h", "pos")

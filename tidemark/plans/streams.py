@@ -68,11 +68,20 @@ def stream_every_n(spark, sf):
     return spark.read.parquet(f"{out}/results").select("gate", "feature", "cur_rows", "statistic")
 
 
-@query("stream_late", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS late FROM events")
+@query(
+    "stream_late",
+    """SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 2 = 1 AND ts < (
+  SELECT max(ts) FROM events WHERE event_id % 2 = 0) - INTERVAL 1 HOUR) AS late FROM events""",
+)
 def stream_late(spark, sf):
-    """One file is one batch, so nothing is late; tests cover several batches."""
+    """Two batches: the events with an even id arrive first, so most of the odd ones are late."""
     out = new_folder(spark, "stream-late")
-    J.count_late(arriving_events(spark, sf), f"{out}/late", f"{out}/checkpoint").awaitTermination()
+    events = read(spark, sf, "events").select("event_id", F.col("ts").alias("timestamp"))
+    for rest in (0, 1):
+        # one file is one batch; files arrive in the order they were written
+        events.where(F.col("event_id") % 2 == rest).coalesce(1).write.mode("append").parquet(f"{out}/arrived")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived")
+    J.count_late(stream, f"{out}/late", f"{out}/checkpoint").awaitTermination()
     late = spark.read.parquet(f"{out}/late")
     return late.agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
 
