@@ -128,14 +128,14 @@ def contaminated(
     out = spark.createDataFrame([], schema)
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        held = part.toPandas()
-        shared = spark.sparkContext.broadcast(_Items(held["item"].tolist(), held["text"].tolist()))
-        one = rows.mapInArrow(_pass(shared, percent), schema)
+        held = part.toArrow()
+        shared = spark.sparkContext.broadcast(_Items(held["item"].to_pylist(), held["text"].to_pylist()))
+        one = rows.mapInArrow(_pass(shared, percent, held.schema.field("item").type), schema)
         out = one if blocks == 1 else out.unionByName(one)
     return out
 
 
-def _pass(shared, percent: int):
+def _pass(shared, percent: int, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: _Items = shared.value
         kind = pa.list_(pa.struct([("at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())]))
@@ -157,13 +157,13 @@ def _pass(shared, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(picked, pa.int64())),
-                    pa.array(items),
+                    pa.array(items, item_type),
                     pa.array(covered, pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(tiles, kind),
                 ]
                 if picked
-                else [batch.column(0).slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)],
+                else [batch.column(0).slice(0, 0), pa.array([], item_type), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)],
                 names=["id", "item_id", "tiled_words", "item_words", "tiles"],
             )
 
