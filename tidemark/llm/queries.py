@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import chat, pieces
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.licenses import CUE, LEAST, TEMPLATES, scan_licenses
-from tidemark.llm.line_templates import dedup_lines
-from tidemark.llm.near_dups import near_duplicates
+from tidemark.llm.line_templates import CONSTANT_PERCENT, DEPTH, FIELD, MIN_TEXTS, dedup_lines
+from tidemark.llm.near_dups import PERCENT, near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
-from tidemark.llm.repeats import repeated_passages
+from tidemark.llm.repeats import MIN_WORDS, repeated_passages
 from tidemark.llm.shards import record_size, shard_rows
 from tidemark.llm.wrappers import main_text
 
@@ -191,3 +191,57 @@ SELECT doc_id, path, own_license, score, coalesce(own_license, inherited) AS lic
   CASE WHEN own_license IS NOT NULL THEN 'self' ELSE above END AS licensed_by
 FROM k LEFT JOIN near USING (directory)
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = "[x for x in regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+') if x <> '']"
+
+SQL["op5_minhash_near_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p+4], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)
+  UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM both_in t JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * t.k >= {PERCENT} * (x.k + y.k - t.k)),
+r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(c) AS component_id FROM r GROUP BY node)
+SELECT doc_id, coalesce(k, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+SQL["op8_suffix_array_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS ws FROM documents),
+v AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p + 1:p + {MIN_WORDS}], ' ')) AS k
+  FROM (SELECT *, unnest(range(0, len(ws) - {MIN_WORDS} + 1)) AS p FROM w WHERE len(ws) >= {MIN_WORDS})),
+hit AS (SELECT doc_id, p FROM v WHERE k IN (SELECT k FROM v GROUP BY k HAVING min(doc_id) < max(doc_id))),
+o AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hit),
+g AS (SELECT *, sum(CASE WHEN p <= before + {MIN_WORDS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS stretch FROM o)
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, max(p) + {MIN_WORDS} - min(p) AS n_words FROM g GROUP BY doc_id, stretch
+"""
+
+_BARE = "trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+SQL["op1_line_dedup"] = f"""
+WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS x FROM t),
+k AS (
+  SELECT text, i, [CASE WHEN regexp_matches(y, '[0-9]') THEN '{FIELD}' ELSE y END
+    for y in regexp_split_to_array({_BARE}, '[\\x20\\x09-\\x0D]+')] AS ws FROM l WHERE {_BARE} <> ''),
+f AS (SELECT text, i, ws, len(ws) || ' ' || array_to_string(ws[1:{DEPTH}], ' ') AS leaf FROM k),
+big AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_TEXTS}),
+d AS (SELECT leaf, ws, count(DISTINCT text) AS n FROM f JOIN big USING (leaf) GROUP BY leaf, ws),
+c AS (SELECT leaf, ws, n, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+z AS (SELECT leaf, ws, p, CASE WHEN word <> '{FIELD}' AND sum(n) OVER (PARTITION BY leaf, p, word) >= {MIN_TEXTS} THEN word END AS word FROM c),
+u AS (
+  SELECT leaf, ws, CASE WHEN 100 * count(word) < {CONSTANT_PERCENT} * count(*) THEN ws ELSE list(coalesce(word, '{FIELD}') ORDER BY p) END AS template
+  FROM z GROUP BY leaf, ws),
+hit AS (SELECT leaf, template FROM f JOIN u USING (leaf, ws) GROUP BY leaf, template HAVING count(DISTINCT text) >= {MIN_TEXTS}),
+gone AS (SELECT DISTINCT text, i FROM f JOIN u USING (leaf, ws) JOIN hit USING (leaf, template)),
+kept AS (
+  SELECT text, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE gone.i IS NULL), '') AS rest,
+    count(*) AS n_lines, count(gone.i) AS n_dropped
+  FROM l LEFT JOIN gone USING (text, i) GROUP BY text)
+SELECT doc_id, rest AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM documents LEFT JOIN kept USING (text)
+"""
