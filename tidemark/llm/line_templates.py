@@ -69,19 +69,14 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN
     distinct = found.select("leaf", "line", "c1", "c2").distinct().groupBy("leaf", "line").agg(F.count("*").alias("k"))
     cells = distinct.select("leaf", "line", "k", F.posexplode(F.split("line", " ")).alias("place", "word"))
     common = cells.groupBy("leaf", "place", "word").agg(F.sum("k").alias("n")).where(F.col("n") >= min_texts)
-    shape = (
-        cells.join(common, ["leaf", "place", "word"], "left")
-        .select("leaf", "line", "place", F.when(F.col("n").isNotNull() & (F.col("word") != FIELD), F.col("word")).alias("constant"))
-        .groupBy("leaf", "line")
-        .agg(
-            F.count("*").alias("n"),
-            F.count("constant").alias("constants"),
-            F.array_sort(F.collect_list(F.struct("place", F.coalesce("constant", F.lit(FIELD)).alias("word")))).alias("words"),
-        )
+    varying = cells.where(F.col("word") == FIELD).unionByName(cells.join(common, ["leaf", "place", "word"], "left_anti"))
+    fields = varying.groupBy("leaf", "line").agg(F.collect_set("place").alias("fields"))
+    words = F.split("line", " ")
+    template = F.transform(words, lambda w, i: F.when(F.array_contains("fields", i), F.lit(FIELD)).otherwise(w))
+    few = 100 * (F.size(words) - F.size("fields")) < CONSTANT_PERCENT * F.size(words)
+    shape = distinct.join(fields, ["leaf", "line"], "left").select(
+        "leaf", "line", F.when(F.col("fields").isNull() | few, F.col("line")).otherwise(F.array_join(template, " ")).alias("template")
     )
-    template = F.array_join(F.col("words.word"), " ")
-    own = 100 * F.col("constants") < CONSTANT_PERCENT * F.col("n")
-    shape = shape.select("leaf", "line", F.when(own, F.col("line")).otherwise(template).alias("template"))
     member = found.join(shape, ["leaf", "line"])
     recurring = (
         member.select("leaf", "template", "c1", "c2").distinct().groupBy("leaf", "template").agg(F.count("*").alias("k"))
