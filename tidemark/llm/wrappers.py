@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.dom import Node, blocks, match, own_texts, parse
+from tidemark.llm.frames import materialize
 
 REFERENCES = 6  # reference pages of a host, a documented bound: one per bucket of a hash of the page
 LEAST = 3  # references that must have a node before its text can be constant
 PAGES_PER_CHUNK = 500  # pages of a host that one stretch of rows holds; a large host has many
-COPY_SHARE = 0.5  # a page that shares more of its article with the wrapper is a copy of the reference, not a witness
+HOSTS_TO_BROADCAST = 50_000  # at most 253 bytes of name each; with more, pages and counts are joined by host
+COPY_SHARE = 0.8  # a page that shares more of its article with the wrapper is a copy of the reference, not a witness
 
 
 class Wrapper:
@@ -115,7 +117,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     A host's pages are dealt out in chunks, each with the host's references before its pages, so a host with a third
     of all pages is spread over many tasks, and a task holds one wrapper and one Arrow batch.
     """
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
+    host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]{0,253})", 1), F.lit("")))
     rows = pages.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"), host.alias("host")
     )
@@ -123,10 +125,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     sizes = rows.groupBy("host", F.pmod(mark, F.lit(REFERENCES)).alias("bucket")).agg(
         F.count("*").alias("n"), F.min_by(F.when(F.col("html") != "", F.col("html")), mark).alias("html")
     )
-    sizes = sizes.groupBy("host").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("html")).alias("pages"))
+    sizes = materialize(sizes.groupBy("host").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("html")).alias("pages")))
     chunks = F.ceil(F.col("n") / PAGES_PER_CHUNK).cast("int")
     references = sizes.select("host", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.posexplode("pages").alias("place", "html"))
-    dealt = rows.join(sizes.select("host", chunks.alias("chunks")), "host").select(
+    counts = sizes.select("host", chunks.alias("chunks"))
+    # a host and a number each: with few hosts the pages need not move to meet them
+    counts = F.broadcast(counts) if sizes.count() <= HOSTS_TO_BROADCAST else counts
+    dealt = rows.join(counts, "host").select(
         "host", F.pmod(mark, F.col("chunks")).cast("int").alias("chunk"), F.lit(None).cast("int").alias("place"), "html", "id", "url"
     )
     both = dealt.unionByName(references, allowMissingColumns=True)
