@@ -32,13 +32,14 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master may
-    fall back to a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``, a job may have set it with
+    ``setCheckpointDir``.  Only a local master may fall back to a folder of
+    its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
