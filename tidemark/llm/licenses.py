@@ -114,7 +114,10 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     distinct = noted.where("notice_text <> ''").groupBy(F.col(notice).alias("notice"), F.col("notice_text").alias("text")).agg(F.count("*").alias("n"))
     matched = match_notices(materialize(distinct), least)
     matched = matched.select(F.col("notice").alias(notice), F.col("license").alias(own), F.round("score", 6).alias(score))
-    known = materialize(noted.drop("notice_text").join(matched, notice, "left").drop(notice))
+    # most files have no notice: they need no join, and would meet in one task under a null key
+    noted = noted.drop("notice_text")
+    found = noted.where(F.col(notice).isNotNull()).join(matched, notice, "left")
+    known = materialize(found.unionByName(noted.where(F.col(notice).isNull()), allowMissingColumns=True).drop(notice))
     sources = (
         known.where(F.col(named) & F.col(own).isNotNull() & F.col(directory).isNotNull())
         .groupBy(F.col(directory).alias("above"))
