@@ -23,7 +23,8 @@ from tidemark.llm.frames import fresh
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 MODEL_LIMIT = 64 << 20  # bytes of a model file that a task may carry
-MEMORY = 300_000  # units whose ids, and pairs whose check, a worker keeps: about 100 MB
+ROWS_AT_ONCE = 200  # rows of an Arrow batch whose texts and ids are Python objects together
+MEMORY = 200_000  # units whose ids, and pairs whose check, a worker keeps: about 70 MB
 
 
 class PieceDecoder:
@@ -304,10 +305,12 @@ def _mapped(df: DataFrame, coder: type, model: bytes, column: str, out: str, kin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made_by = coder_of(coder, shared.value)
-        for batch in batches:
-            made = convert(made_by, batch.column(at))
-            names = [*batch.schema.names, out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                made = convert(made_by, batch.column(at))
+                names = [*batch.schema.names, out]
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=names)
 
     return df.mapInArrow(run, schema)
 
