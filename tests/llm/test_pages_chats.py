@@ -191,3 +191,13 @@ def test_near_copies_of_the_table(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.component_id for r in op5_minhash_near_dedup(spark, sf).collect()} == brute.near_components(rows)
+
+
+def test_license_files_with_prose(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    # documents with a notice are the licence files of a directory of twenty; their notice follows prose
+    path = F.expr(f"concat('r/', doc_id div 20, IF(coalesce(text rlike '{licenses.CUE}', false), '/LICENSE-', '/'), doc_id)")
+    out = licenses.scan_licenses(docs.select("doc_id", "text", path.alias("path"))).collect()
+    noted = {r.doc_id // 20 for r in out if "LICENSE" in r.path}
+    assert noted and all(r.licensed_by == "self" and r.score > 0.99 for r in out if "LICENSE" in r.path)
+    assert {r.doc_id for r in out if r.licensed_by not in (None, "self")} == {r.doc_id for r in out if r.doc_id // 20 in noted and "LICENSE" not in r.path}

@@ -92,14 +92,14 @@ def match_notices(notices: DataFrame, least: float = LEAST) -> DataFrame:
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``files`` without its text, with ``own_license``, ``score``, ``license`` and ``licensed_by``.
 
-    A file named like a licence is compared as a whole, any other by its lines that speak of licences or rights, wherever
-    they stand.  A file without a licence of its own takes that of the nearest directory above it with a licence file
+    A file is compared by its lines that speak of licences or rights, wherever they stand, and a file named like a licence
+    as a whole too; the better match counts.  A file without a licence of its own takes that of the nearest directory above it with a licence file
     (the best of several); ``licensed_by`` is "self", that directory, or null.  A null path has no directory, a null or
     empty text no notice; repeated rows stay.  New names that clash get a leading underscore.
 
     Equal notices are compared once, and directories rather than files are joined with the ones above them.
     """
-    notice, directory, named = fresh(files, "notice", "directory", "named")
+    notice, whole, directory, named = fresh(files, "notice", "whole", "directory", "named")
     own, score, license_, by = fresh(files, "own_license", "score", "license", "licensed_by")
     path, text = F.col(f"`{path_col}`"), F.col(f"`{text_col}`")
     base = F.element_at(F.split(path, "/"), -1)
@@ -109,15 +109,26 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         *passing,
         F.coalesce(base.rlike(LICENSE_NAME), F.lit(False)).alias(named),
         F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).alias(directory),
-        F.when(F.coalesce(base.rlike(LICENSE_NAME), F.lit(False)), text).otherwise(F.when(text.rlike(CUE), cut)).alias("notice_text"),
-    ).withColumn(notice, F.md5("notice_text"))
-    distinct = noted.where("notice_text <> ''").groupBy(F.col(notice).alias("notice"), F.col("notice_text").alias("text")).agg(F.count("*").alias("n"))
-    matched = match_notices(materialize(distinct), least)
-    matched = matched.select(F.col("notice").alias(notice), F.col("license").alias(own), F.round("score", 6).alias(score))
+        F.when(text.rlike(CUE), cut).alias("notice_text"),
+        F.when(base.rlike(LICENSE_NAME) & (text != ""), text).alias("whole_text"),
+    )
+    noted = noted.withColumn(notice, F.md5("notice_text")).withColumn(whole, F.md5("whole_text"))
+    # a licence file counts once among the files with a notice, whichever way it is compared
+    lines = noted.where("notice_text <> ''").select(F.col(notice).alias("notice"), F.col("notice_text").alias("text"), F.lit(1).alias("k"))
+    wholes = noted.where("whole_text <> ''").select(
+        F.col(whole).alias("notice"), F.col("whole_text").alias("text"), F.when(F.col("notice_text") != "", 0).otherwise(1).alias("k")
+    )
+    distinct = lines.unionByName(wholes).groupBy("notice", "text").agg(F.sum("k").alias("n"))
+    matched = materialize(match_notices(materialize(distinct), least).select("notice", F.struct(F.round("score", 6).alias("s"), "license").alias("hit")))
     # most files have no notice: they need no join, and would meet in one task under a null key
-    noted = noted.drop("notice_text")
-    found = noted.where(F.col(notice).isNotNull()).join(matched, notice, "left")
-    known = materialize(found.unionByName(noted.where(F.col(notice).isNull()), allowMissingColumns=True).drop(notice))
+    noted = noted.drop("notice_text", "whole_text")
+    bare = F.col(notice).isNull() & F.col(whole).isNull()
+    found = noted.where(F.col(notice).isNotNull() & F.col(whole).isNull()).join(matched.toDF(notice, "hit"), notice, "left")
+    files_found = noted.where(F.col(whole).isNotNull()).join(matched.toDF(whole, "hit"), whole, "left")
+    files_found = files_found.join(matched.toDF(notice, "other"), notice, "left").withColumn("hit", F.greatest("hit", "other")).drop("other")
+    found = found.unionByName(files_found).unionByName(noted.where(bare), allowMissingColumns=True)
+    found = found.withColumn(own, F.col("hit.license")).withColumn(score, F.col("hit.s")).drop("hit", notice, whole)
+    known = materialize(found)
     sources = (
         known.where(F.col(named) & F.col(own).isNotNull() & F.col(directory).isNotNull())
         .groupBy(F.col(directory).alias("above"))
