@@ -201,3 +201,13 @@ def test_license_files_with_prose(spark, sf):
     noted = {r.doc_id // 20 for r in out if "LICENSE" in r.path}
     assert noted and all(r.licensed_by == "self" and r.score > 0.99 for r in out if "LICENSE" in r.path)
     assert {r.doc_id for r in out if r.licensed_by not in (None, "self")} == {r.doc_id for r in out if r.doc_id // 20 in noted and "LICENSE" not in r.path}
+
+
+def test_whole_license_files(spark):
+    names = sorted(p.stem for p in licenses.TEXTS.glob("*.txt"))
+    assert {"Apache-2.0", "MIT", "BSD-3-Clause", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(names)
+    told = "Copyright (c) 2019 Ann Example and the authors of example\n\n"
+    rows = [(f"{n}/LICENSE", told + (licenses.TEXTS / f"{n}.txt").read_text()) for n in names] + [(f"{n}/sub/x.py", "code") for n in names]
+    got = {r.path: (r.license, r.licensed_by) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for n in names:
+        assert got[f"{n}/LICENSE"] == (n, "self") and got[f"{n}/sub/x.py"] == (n, n)

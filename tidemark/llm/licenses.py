@@ -5,6 +5,8 @@ DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ TEMPLATES = [
     ("CC0-1.0", "permissive", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "proprietary", "All rights reserved."),
 ]
+TEXTS = Path(__file__).with_name("license_texts")  # whole licence texts, one file by name of the licence
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|permission is hereby|redistribution and use|free software|public domain|spdx"
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)"
 TERM = "[a-z0-9]+"
@@ -73,9 +76,10 @@ def match_notices(notices: DataFrame, least: float = LEAST) -> DataFrame:
     weight = f"(1 + ln(tf)) * (1 + ln(({total} + 1D) / (coalesce(df, 0) + 1D)))"
     vectors = terms.join(idf, "term").selectExpr("notice", "term", f"{weight} as w")
     norms = vectors.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rows = [(k, name, text) for k, (name, _, text) in enumerate(TEMPLATES)]
+    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    rows = [(k, name, text) for k, (name, text) in enumerate([(name, text) for name, _, text in TEMPLATES] + whole)]
     templates = spark.createDataFrame(rows, "template int, license string, text string")
-    # a fixed list of templates: a few hundred terms, whatever the input
+    # a fixed list of templates: some thousand terms, whatever the input
     wanted = _terms(templates, "template", "text").join(idf, "term", "left").selectExpr("template", "term", f"{weight} as v")
     sizes = wanted.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
     dots = vectors.join(F.broadcast(wanted), "term").groupBy("notice", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
