@@ -45,6 +45,24 @@ def test_odd_pages():
     assert text("<main><h2>t</h2><div>d</div></main><div>other</div>") == "t\nd"
 
 
+def test_article_with_the_class_of_a_part():
+    words = "a long text of the page that is its article"
+    for page in (
+        f"<article class='post has-sidebar'><h1>t</h1><p>{words}</p><div class=sidebar>m</div></article>",
+        f"<div class='layout-sidebar-right'><article><h1>t</h1><p>{words}</p></article><div class=sidebar>m</div></div>",
+        f"<article><h1 class=entry-header>t</h1><div class='elementor-widget-container'><p>{words}</p></div></article><div class=menu>m</div>",
+        f"<div class='layout-sidebar-right'><h1>t</h1><p>{words}</p></div><div class=sidebar>m</div>",
+        f"<article><h1>t</h1><p>{words}</p></article><div class=comments><article class=comment>{'m ' * 200}</article></div>",
+    ):
+        assert text(page) == f"t\n{words}", page
+
+
+def test_blocks_beyond_the_depth():
+    assert text("<b>" * 300 + "<p>A</p><p>B</p>") == "A\nB"
+    assert text("<div>" * 300 + "<p>A</p><p>B</p>" + "</div>" * 300 + "<p>C</p>") == "A\nB\nC"
+    assert text("<article><h1>t</h1>" + "<div>" * 300 + "x" + "</div>" * 300 + "<p>y</p></article><p>z</p>") == "t\nx\ny"
+
+
 def site(k, body):
     return f"<body><div class=top>Site {k % 2}</div><div class=story><p>Share this story with a friend</p>{body}</div></body>"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 # fixed values: element names of the HTML standard by role
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes plaintext".split())
@@ -26,10 +27,12 @@ CHROME_WORDS = frozenset(
     "respond share sharing social related recommended recommendations widget widgets toolbar pagination pager search complementary "
     "contentinfo".split()
 )
+REPLY_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 CONTENT_WORDS = frozenset("article articlebody content post entry story main text body".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-MAX_DEPTH = 200  # deeper elements join their ancestor at this depth
+MAX_DEPTH = 200  # deeper block elements join their ancestor at this depth, as separate runs of text
+MAX_INLINE = 100  # open inline elements; more are read as text
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -37,7 +40,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "chrome", "content", "items", "nodes", "block", "linked")
+    __slots__ = ("tag", "key", "chrome", "named", "replies", "content", "items", "nodes", "block", "linked")
 
     def __init__(self, tag: str, attrs: dict[str, str], block: bool):
         words = set()
@@ -48,9 +51,11 @@ class Node:
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         self.tag = tag
         self.key = f"{tag}.{attrs.get('class', '')}" if tag != "body" else tag
-        # an element that carries the article keeps it, whatever else its class says
         self.content = tag in ("article", "main") or bool(words & CONTENT_WORDS) or attrs.get("itemprop", "").lower() == "articlebody"
-        self.chrome = tag in CHROME or hidden or (bool(words & CHROME_WORDS) and tag not in ("html", "body", "main"))
+        # only the class says so: an element that carries the article keeps it all the same, see _settle
+        self.named = tag not in CHROME and not hidden and bool(words & CHROME_WORDS) and tag not in ("html", "body", "main", "h1")
+        self.replies = bool(words & REPLY_WORDS)
+        self.chrome = tag in CHROME or hidden or self.named
         self.items: list = []  # pieces of text and elements, in page order
         self.nodes: list[Node] = []  # block elements below it
         self.block = block
@@ -61,11 +66,21 @@ def parse(page: str) -> Node:
     """The tree of a page; raw text, comments and declarations are left out."""
     root = Node("html", {}, True)
     stack = [root]
+    unopened: Counter = Counter()  # elements beyond the depth whose end tags are to come
+    opened = inline = 0  # open block and inline elements above the root
+    named = False
+
+    def cut(k: int) -> None:
+        nonlocal opened, inline
+        for x in stack[k:]:
+            opened, inline = opened - x.block, inline - (not x.block)
+        del stack[k:]
+        unopened.clear()
 
     def close(tags: set[str], within: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].tag in within:
                 return
@@ -85,6 +100,10 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].items.append(None)
+            elif unopened[tag]:
+                unopened[tag] -= 1
+                if tag in BLOCK:
+                    stack[-1].items.append(None)
             elif tag in BLOCK:
                 close({tag}, set())
             else:
@@ -93,7 +112,7 @@ def parse(page: str) -> Node:
                     if stack[k].block:
                         break
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        cut(k)
                         break
             continue
         if tag in VOID:
@@ -114,7 +133,10 @@ def parse(page: str) -> Node:
             close({"p"}, {"table", "td", "th", "button", "object", "body", "html"})
         if tag == "body":
             close({"head"}, set())
-        if len(stack) > MAX_DEPTH:
+        if (opened >= MAX_DEPTH) if tag in BLOCK else (inline >= MAX_INLINE):
+            unopened[tag] += 1
+            if tag in BLOCK:
+                stack[-1].items.append(None)
             continue
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip() else {}
         node = Node(tag, attrs, tag in BLOCK)
@@ -123,9 +145,54 @@ def parse(page: str) -> Node:
             parent = next(x for x in reversed(stack) if x.block)
             parent.nodes.append(node)
         stack.append(node)
+        opened, inline = opened + node.block, inline + (not node.block)
+        named = named or node.named
+    if named:
+        _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Elements that only their class calls chrome are none where they are or hold the article, or most of its text.
+
+    The largest article (else main) element below such an element counts if no other is free of them, or if it has more
+    than half of the page's text.  Parts for replies never count.
+    """
+    sizes: dict[int, int] = {}
+    articles: list[tuple[Node, list[Node]]] = []
+
+    def weigh(x: Node, above: list[Node]) -> int:
+        above = [*above, x] if x.named else above
+        if x.tag in ("article", "main") and not any(y.replies for y in above):
+            articles.append((x, above))
+        size = 0
+        for item in x.items:
+            if isinstance(item, str):
+                size += len(item.strip())
+            elif item is not None and (item.named or not item.chrome):
+                size += weigh(item, above)
+        sizes[id(x)] = size
+        return size
+
+    def large(x: Node, least: int) -> None:
+        for item in x.items:
+            if isinstance(item, Node) and (item.named or not item.chrome) and 2 * sizes[id(item)] > least:
+                if not item.replies:
+                    item.chrome = False
+                    large(item, least)
+
+    weigh(root, [])
+    found = [a for a in articles if a[0].tag == "article"] or articles
+    free = max((x for x, above in found if not above), key=lambda x: sizes[id(x)], default=None)
+    held, above = max((a for a in found if a[1]), key=lambda a: sizes[id(a[0])], default=(None, []))
+    if held is not None and (free is None or 2 * sizes[id(held)] > sizes[id(root)]):
+        for x in above:
+            x.chrome = False
+        free = held
+    scope = free or root
+    large(scope, sizes[id(scope)])
+
+
 def blocks(node: Node, owner: Node | None = None, out: list | None = None, skip_chrome: bool = True) -> list[tuple[Node, str, int]]:
     """(block element, text, characters in links) of each run of text below ``node``, in page order."""
     out = [] if out is None else out
