@@ -98,6 +98,17 @@ def test_main_text(spark, monkeypatch):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_wrapper_counts_all_pages_and_layouts(spark):
+    def page(k, layout):
+        extra = "<div class=edition>Edition of the day</div>" if k % 2 else ""
+        return f"<body><div class='{layout}'><p>Constant of {layout}</p>{extra}<p>own words {k} of the page {k} that differ {k}</p></div></body>"
+
+    rows = [(k, f"http://h.example/{k}", page(k, ("story", "post")[k % 20 == 0])) for k in range(200)]
+    got = {r.id: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(200):
+        assert got[k].text == f"own words {k} of the page {k} that differ {k}" and got[k].template_blocks == 1 + k % 2
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers

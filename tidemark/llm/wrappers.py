@@ -1,60 +1,84 @@
 """Main text of web pages by wrapper induction: what pages of a host share is its template, what varies is content.
 
-A wrapper is induced from up to ``REFERENCES`` pages of a host: one of them is aligned with each other by simple tree
-matching, and a text that most of them have at the same place is constant.  A page is aligned with the wrapper of its
-host; its constant nodes go, and of the varying slots those of the article stay.
+Each page is aligned with the reference of its host and layout by simple tree matching.  Matched elements are named by
+their place in the reference, others by the nearest matched element above and the way down from it, so nothing that the
+reference lacks is lost.  Texts are counted by host, layout and place over all pages; a text that most of the pages with
+the place have there is constant, and of the other slots those of the article stay.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.dom import Node, blocks, match, own_texts, parse
 from tidemark.llm.frames import materialize
 
-REFERENCES = 6  # reference pages of a host, a documented bound: one per bucket of a hash of the page
-LEAST = 3  # references that must have a node before its text can be constant
-PAGES_PER_CHUNK = 500  # pages of a host that one stretch of rows holds; a large host has many
+LEAST = 3  # pages that must have a place before its text can be constant
+PAGES_PER_CHUNK = 500  # pages of a layout that one stretch of rows holds; a large layout has many
 HOSTS_TO_BROADCAST = 50_000  # at most 253 bytes of name each; with more, pages and counts are joined by host
-COPY_SHARE = 0.8  # a page that shares more of its article with the wrapper is a copy of the reference, not a witness
+COPY_SHARE = 0.8  # a page with a larger constant share of its article is a copy, and keeps it
+# classes of the containers of a page, without digits, make its layout
+LAYOUT = r"""(?i)<(?:body|main|article|section|div|table)\b[^>]*?\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+class Reference:
+    """A page that the others of its layout are aligned with."""
+
+    def __init__(self, page: str):
+        self.tree = parse(page)
+        self.texts = own_texts(self.tree)
+        self.places: dict[int, str] = {}
+        stack = [self.tree]
+        while stack:
+            x = stack.pop()
+            self.places[id(x)] = str(len(self.places))
+            stack.extend(reversed(x.nodes))
+
+    def named(self, page: Node) -> dict[int, tuple[str, tuple[str, ...]]]:
+        """(place, own text) of each block element of ``page`` that has text."""
+        texts = own_texts(page)
+        matched = {id(y): self.places[id(x)] for x, y in match(self.tree, page, self.texts, texts)}
+        found = {}
+        stack = [(page, matched.get(id(page), ""))]
+        while stack:
+            x, place = stack.pop()
+            if id(x) in texts:
+                found[id(x)] = place, texts[id(x)]
+            for c in x.nodes:
+                stack.append((c, matched.get(id(c)) or f"{place}/{c.key}"))
+        return found
 
 
 class Wrapper:
-    """Texts that are constant at the nodes of a reference page."""
+    """The texts that are constant on some pages of one layout; the first page is the reference."""
 
-    def __init__(self, references: list[str]):
-        trees = [parse(x) for x in references]
-        self.tree = trees[0] if trees else None
-        self.constant: dict[int, set[tuple[str, ...]]] = {}
-        if len(trees) < LEAST:
+    def __init__(self, pages: list[str]):
+        self.constant: set[tuple[str, tuple[str, ...]]] = set()
+        if len(pages) < LEAST:
             return
-        self.texts = own_texts(self.tree)
-        seen: dict[int, Counter] = {}
-        for node, text in self.texts.items():
-            seen[node] = Counter([text])
-        for other in trees[1:]:
-            texts = own_texts(other)
-            for x, y in match(self.tree, other, self.texts, texts):
-                if id(y) in texts:
-                    seen.setdefault(id(x), Counter())[texts[id(y)]] += 1
-        for node, found in seen.items():
-            text, k = found.most_common(1)[0]
-            total = sum(found.values())
-            if total >= LEAST and 3 * k >= 2 * total:
-                self.constant[node] = text
+        self.reference = Reference(pages[0])
+        total, seen = Counter(), Counter()
+        for page in pages:
+            found = set(self.reference.named(parse(page)).values())
+            total.update({place for place, _ in found})
+            seen.update(found)
+        self.constant = {x for x, k in seen.items() if total[x[0]] >= LEAST and 3 * k >= 2 * total[x[0]]}
 
     def template(self, page: Node) -> set[int]:
         """The nodes of ``page`` whose text is constant."""
         if not self.constant:
             return set()
-        texts = own_texts(page)
-        pairs = match(self.tree, page, self.texts, texts)
-        return {id(y) for x, y in pairs if id(x) in self.constant and self.constant[id(x)] == texts.get(id(y))}
+        return {node for node, x in self.reference.named(page).items() if x in self.constant}
+
+
+def _hash(*parts: object) -> int:
+    return int.from_bytes(blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def _article(root: Node) -> Node:
@@ -91,14 +115,20 @@ def _article(root: Node) -> Node:
     return best or root
 
 
-def extract(page: str, wrapper: Wrapper) -> tuple[str, int]:
-    """The main text of a page, and the number of its blocks that were constant."""
-    root = parse(page)
+def _blocks(root: Node) -> list[tuple[Node, str, int]]:
+    """The blocks of the article of a page."""
     article = _article(root)
     found = blocks(article)
     if article is root:
         # nothing names the article: blocks that are mostly links are menus
         found = [b for b in found if 2 * b[2] <= len(b[1])]
+    return found
+
+
+def extract(page: str, wrapper: Wrapper) -> tuple[str, int]:
+    """The main text of a page, and the number of its blocks that were constant."""
+    root = parse(page)
+    found = _blocks(root)
     constant = wrapper.template(root) if found else set()
     shared = sum(len(t) for node, t, _ in found if id(node) in constant)
     if shared > COPY_SHARE * sum(len(t) for _, t, _ in found):
@@ -114,52 +144,100 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     share an empty host.  Repeated rows give repeated results.  Blocks are joined by one newline; white space inside a
     block is one space.
 
-    A host's pages are dealt out in chunks, each with the host's references before its pages, so a host with a third
-    of all pages is spread over many tasks, and a task holds one wrapper and one Arrow batch.
+    A layout with fewer than ``LEAST`` different pages joins the largest of its host.  Equal pages count once.  A layout's
+    pages are dealt out in chunks, each with the reference before its pages, so a host with a third of all pages is spread
+    over many tasks, and a task holds one reference and one Arrow batch.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]{0,253})", 1), F.lit("")))
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    classes = F.array_distinct(F.regexp_extract_all(html, F.lit(LAYOUT), F.lit(1)))
+    layout = F.xxhash64(F.regexp_replace(F.array_join(F.array_sort(classes), "\n"), "[0-9]+", ""))
     rows = pages.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"), host.alias("host")
-    )
-    mark = F.xxhash64("html")
-    sizes = rows.groupBy("host", F.pmod(mark, F.lit(REFERENCES)).alias("bucket")).agg(
-        F.count("*").alias("n"), F.min_by(F.when(F.col("html") != "", F.col("html")), mark).alias("html")
-    )
-    sizes = materialize(sizes.groupBy("host").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("html")).alias("pages")))
-    chunks = F.ceil(F.col("n") / PAGES_PER_CHUNK).cast("int")
-    references = sizes.select("host", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.posexplode("pages").alias("place", "html"))
-    counts = sizes.select("host", chunks.alias("chunks"))
-    # a host and a number each: with few hosts the pages need not move to meet them
-    counts = F.broadcast(counts) if sizes.count() <= HOSTS_TO_BROADCAST else counts
-    dealt = rows.join(counts, "host").select(
-        "host", F.pmod(mark, F.col("chunks")).cast("int").alias("chunk"), F.lit(None).cast("int").alias("place"), "html", "id", "url"
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), host.alias("host"),
+        F.xxhash64(html).alias("mark"), layout.alias("own_layout"),
+    )
+    # counted on hashes alone: one row per layout of a host, and its reference
+    filled = F.when(F.col("mark") != F.xxhash64(F.lit("")), F.col("mark"))
+    marks = rows.groupBy("host", "own_layout", "mark").agg(F.count("*").alias("n"))
+    sizes = materialize(marks.groupBy("host", "own_layout").agg(F.sum("n").alias("n"), F.count(filled).alias("k"), F.min(filled).alias("first")))
+    largest = sizes.groupBy("host").agg(F.max_by("own_layout", F.struct("k", "own_layout")).alias("largest"))
+    layouts = sizes.join(largest, "host").withColumn("layout", F.when(F.col("k") >= LEAST, F.col("own_layout")).otherwise(F.col("largest")))
+    totals = layouts.groupBy("host", "layout").agg(
+        F.ceil(F.sum("n") / PAGES_PER_CHUNK).cast("int").alias("chunks"), F.sum("k").alias("k"),
+        F.min_by("first", F.struct(F.col("first").isNull(), F.col("own_layout") != F.col("layout"), "first")).alias("first"),
+    )
+    groups = materialize(layouts.select("host", "own_layout", "layout").join(totals, ["host", "layout"]))
+    # with few layouts the pages need not move to meet them
+    near = F.broadcast if groups.count() <= HOSTS_TO_BROADCAST else lambda df: df
+    wanted = groups.where((F.col("k") >= LEAST) & F.col("first").isNotNull()).select("host", "layout", "chunks", F.col("first").alias("mark")).distinct()
+    references = rows.select("host", "mark", "html").join(near(wanted), ["host", "mark"]).groupBy("host", "layout", "chunks").agg(F.min("html").alias("html"))
+    references = references.select("host", "layout", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("reference"), "html")
+    dealt = rows.join(near(groups.select("host", "own_layout", "layout", "chunks")), ["host", "own_layout"]).select(
+        "host", "layout", F.pmod("mark", F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("reference"), "html", "mark", "id", "url"
     )
     both = dealt.unionByName(references, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, wrapper = None, [], None
+        current, held, before, group = None, None, None, 0
         for batch in batches:
-            picked, texts, template = [], [], []
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for i, (h, chunk, place, page) in enumerate(zip(*columns)):
-                if (h, chunk) != current:
-                    current, held, wrapper = (h, chunk), [], None
-                if place is not None:
-                    held.append(page)
+            picked, groups_, firsts, texts, saids, places, said = [], [], [], [], [], [], []
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for i, (h, layout, chunk, reference, page, mark) in enumerate(zip(*columns)):
+                if (h, layout, chunk) != current:
+                    current, held, before, group = (h, layout, chunk), None, None, _hash(h, layout)
+                if reference:
+                    held = Reference(page)
                     continue
-                wrapper = wrapper or Wrapper(held)
-                text, k = extract(page, wrapper)
+                root = parse(page)
+                found = _blocks(root)
+                named = {k: (_hash(x[0]), _hash(x)) for k, x in held.named(root).items()} if held else {}
+                pairs = sorted(set(named.values()))
                 picked.append(i)
-                texts.append(text)
-                template.append(k)
+                groups_.append(group)
+                texts.append([t for _, t, _ in found])
+                saids.append([named[id(x)][1] if id(x) in named else None for x, _, _ in found])
+                # a copy of the page before is no witness
+                places.append([] if mark == before else [a for a, _ in pairs])
+                said.append([] if mark == before else [b for _, b in pairs])
+                before = mark
             rest = batch.take(pa.array(picked, pa.int64()))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rest.column(4), rest.column(5), rest.column(0), pa.array(texts, pa.string()), pa.array(template, pa.int64())],
-                names=["id", "url", "host", "text", "template_blocks"],
-            )
+                [rest.column(6), rest.column(7), rest.column(0), rest.column(2), pa.array(groups_, pa.int64()), pa.array(texts, pa.list_(pa.string())),
+                 pa.array(saids, longs), pa.array(places, longs), pa.array(said, longs)],
+                names=["id", "url", "host", "chunk", "layout", "texts", "saids", "places", "said"],
+            )
 
     kind = dict(rows.dtypes)
-    ordered = both.repartition("host", "chunk").sortWithinPartitions("host", "chunk", F.col("place").asc_nulls_last())
-    return ordered.select("host", "chunk", "place", "html", "id", "url").mapInArrow(
-        run, f"id {kind['id']}, url {kind['url']}, host string, text string, template_blocks long"
+    ordered = both.repartition("host", "layout", "chunk").sortWithinPartitions("host", "layout", "chunk", F.col("reference").desc(), "mark")
+    aligned = materialize(
+        ordered.select("host", "layout", "chunk", "reference", "html", "mark", "id", "url").mapInArrow(
+            run,
+            f"id {kind['id']}, url {kind['url']}, host string, chunk int, layout long, texts array<string>, saids array<long>, "
+            "places array<long>, said array<long>",
+        )
     )
+    seen = aligned.select("layout", F.explode(F.arrays_zip("places", "said")).alias("x")).groupBy("layout", "x.places", "x.said").agg(F.count("*").alias("k"))
+    total = aligned.select("layout", F.explode(F.array_distinct("places")).alias("places")).groupBy("layout", "places").agg(F.count("*").alias("total"))
+    total = total.where(F.col("total") >= LEAST)
+    constant = seen.where(F.col("k") > 1).join(total, ["layout", "places"]).where(3 * F.col("k") >= 2 * F.col("total"))
+    constant = materialize(constant.groupBy("layout").agg(F.collect_set("said").alias("constant"), F.count("*").alias("n")))
+    if (constant.agg(F.sum("n")).first()[0] or 0) <= HOSTS_TO_BROADCAST:
+        joined = aligned.join(F.broadcast(constant), "layout", "left")
+    else:
+        chunks = aligned.groupBy("layout").agg(F.max("chunk").alias("last"))
+        spread = constant.join(chunks, "layout").select("layout", "constant", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
+        joined = aligned.join(spread, ["layout", "chunk"], "left")
+    at = F.transform("saids", lambda x: F.coalesce(F.array_contains("constant", x), F.lit(False)))
+    marked = joined.select("id", "url", "host", F.arrays_zip("texts", at.alias("gone")).alias("b"))
+
+    def chars(column: Column) -> Column:
+        return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + F.length(x["texts"]))
+
+    gone = F.filter("b", lambda x: x["gone"])
+    copy = chars(gone) > COPY_SHARE * chars(F.col("b"))
+    kept = F.when(copy, F.col("b")).otherwise(F.filter("b", lambda x: ~x["gone"]))
+    return marked.select(
+        "id", "url", "host", F.array_join(F.transform(kept, lambda x: x["texts"]), "\n").alias("text"),
+        (F.size("b") - F.size(kept)).cast("long").alias("template_blocks"),
+    )
