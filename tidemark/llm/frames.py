@@ -74,4 +74,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in drop])
 
 
-__all__ = ["arrow_map", "fresh", "materialize", "sorted_groups", "without"]
+HOT_SHARE = 1000  # a key with more than this part of the rows is hot, so there are fewer hot keys than this
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``unique``, which has a row per key, without gathering the rows of a hot key.
+
+    Keys are counted with map-side combining.  Those with more than a thousandth of the rows, so fewer than a thousand,
+    are broadcast with their row; only the others move.  ``rows`` should be a written table, as it is read three times.
+    """
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * HOT_SHARE > total).select(key)
+    hot = materialize(hot.join(unique, key))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return cold.join(unique, key).unionByName(rows.join(F.broadcast(hot), key))
+
+
+__all__ = ["arrow_map", "fresh", "join_hot", "materialize", "sorted_groups", "without"]

@@ -15,6 +15,7 @@ from tidemark.llm.near_dups import PERCENT, near_duplicates
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
 from tidemark.llm.repeats import MIN_WORDS, repeated_passages
 from tidemark.llm.shards import record_size, shard_rows
+from tidemark.llm.simhash import simhash_duplicates
 from tidemark.llm.wrappers import main_text
 
 
@@ -193,6 +194,13 @@ FROM k LEFT JOIN near USING (directory)
 """
 
 
+@_register
+def op13_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash_duplicates(table(spark, sf, "documents"))
+    bits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), "component_id", "kept")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPLIT = "[x for x in regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+') if x <> '']"
 
