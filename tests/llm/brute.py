@@ -162,3 +162,26 @@ def repeats(rows, least=50):
                 out.add((i, start, p - start))
                 start = None
     return out
+
+
+def periodic(w, least=6, times=4):
+    """Sorted runs (start, length, period) of a word list, looking along every diagonal."""
+    best = {}
+    for p in range(1, len(w) // times + 1):
+        i = p
+        while i < len(w):
+            if w[i] != w[i - p]:
+                i += 1
+                continue
+            begin = i
+            while i < len(w) and w[i] == w[i - p]:
+                i += 1
+            length = i - begin + p
+            if length >= max(least, times * p):
+                best.setdefault((begin - p, length), p)
+    return sorted((s, n, p) for (s, n), p in best.items())
+
+
+def without_repeats(w, runs):
+    gone = {i for s, n, p in runs for i in range(s + p, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)

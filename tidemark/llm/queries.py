@@ -12,6 +12,8 @@ from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.licenses import CUE, LEAST, TEMPLATES, scan_licenses
 from tidemark.llm.line_templates import CONSTANT_PERCENT, DEPTH, FIELD, MIN_TEXTS, dedup_lines
 from tidemark.llm.near_dups import PERCENT, near_duplicates
+from tidemark.llm.periodic import LEAST as LEAST_RUN
+from tidemark.llm.periodic import TIMES, periodic_runs, run_digests
 from tidemark.llm.quality import KEEP_PERCENT, LINE_LIMIT, quality_rules
 from tidemark.llm.repeats import MIN_WORDS, repeated_passages
 from tidemark.llm.shards import record_size, shard_rows
@@ -194,6 +196,25 @@ FROM k LEFT JOIN near USING (directory)
 """
 
 
+@_register
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of all documents; every tenth, by a hash of its id, first gets a period planted from some word on."""
+    docs = table(spark, sf, "documents").selectExpr(
+        "doc_id",
+        "coalesce(text, '') as text",
+        "crc32(cast(cast(doc_id as string) as binary)) as h",
+    )
+    words = docs.withColumn(
+        "ws", F.expr("case when h % 10 = 0 then filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> '') else array() end")
+    )
+    placed = words.selectExpr("*", "cast(size(ws) as long) as n", "h div 10 as g").selectExpr("*", "if(n > 0, g % n, 0) as a")
+    placed = placed.selectExpr("*", "1 + (n - a) div (3 + g % 8) as p")
+    # the words before the place, then the period over and over
+    tail = "slice(flatten(array_repeat(slice(ws, int(a + 1), int(p)), int((n - a) div p + 1))), 1, int(n - a))"
+    planted = f"case when n > 0 then array_join(concat(slice(ws, 1, int(a)), {tail}), ' ') else text end as text"
+    return run_digests(periodic_runs(placed.selectExpr("doc_id", planted)), "doc_id")
+
+
 @_register
 def op13_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash_duplicates(table(spark, sf, "documents"))
@@ -219,6 +240,45 @@ SELECT doc_id, coalesce(k, 0) AS n_shingles, component_id, doc_id = component_id
 FROM documents JOIN m ON node = doc_id LEFT JOIN n USING (doc_id)
 """
 
+# CRC-32 by its table of 256 values; then words, planted words, pairs of equal 5-word grams by lag, and their stretches
+_GRAM = 5
+SQL["op11_periodic_runs"] = f"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws,
+    xor(4294967295, list_reduce([ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')], lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]),
+      4294967295::BIGINT)) AS h
+  FROM documents, crc),
+g AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN [ws[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] for i in range(n)] ELSE ws END AS ws FROM p),
+k AS (
+  SELECT doc_id, n, i, array_to_string(ws[i + 1:i + {_GRAM}], ' ') AS gram
+  FROM (SELECT *, unnest(range(0, n - {_GRAM} + 1)) AS i FROM w WHERE n >= {LEAST_RUN})),
+r AS (SELECT doc_id, n, i, md5(gram) AS gram FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+m AS (SELECT y.doc_id, y.i, y.i - x.i AS lag FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i AND {TIMES} * (y.i - x.i) <= x.n),
+s AS (
+  SELECT doc_id, lag, min(i) - lag AS start, count(*) + {_GRAM} - 1 + lag AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS z FROM m) GROUP BY doc_id, lag, z),
+runs AS (
+  SELECT doc_id, start, length, min(lag) AS period FROM s WHERE length >= greatest({LEAST_RUN}, {TIMES} * lag) GROUP BY doc_id, start, length),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    min([-length, start, period]) AS longest
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+  FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(ws) AS word FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, longest[2] AS start, -longest[1] AS length, longest[3] AS period,
+  (-1000 * longest[1]) // longest[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 SQL["op8_suffix_array_dedup"] = f"""
 WITH w AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS ws FROM documents),
 v AS (
