@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, pieces
+from tidemark.llm import alignment, chat, pieces
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.licenses import CUE, LEAST, TEMPLATES, scan_licenses
+from tidemark.llm.frames import materialize
 from tidemark.llm.line_templates import CONSTANT_PERCENT, DEPTH, FIELD, MIN_TEXTS, dedup_lines
 from tidemark.llm.near_dups import PERCENT, near_duplicates
 from tidemark.llm.periodic import LEAST as LEAST_RUN
@@ -215,6 +216,16 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_digests(periodic_runs(placed.selectExpr("doc_id", planted)), "doc_id")
 
 
+@_register
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    models = public_tokenizers.path("byte_bpe_50k.json"), piece_model()
+    pairs = alignment.link_pairs(*models)
+    aligned = alignment.align_tokens(table(spark, sf, "documents").select("doc_id", "text"), *models)
+    return alignment.link_scores(materialize(alignment.group_digests(aligned, pairs, ["doc_id"])), pairs)
+
+
 @_register
 def op13_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash_duplicates(table(spark, sf, "documents"))
