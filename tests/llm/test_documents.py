@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import decontaminate, line_templates, near_dups, quality, repeats, shards
+from tidemark.llm import decontaminate, frames, line_templates, near_dups, quality, repeats, shards
 from tidemark.llm.decontaminate import contaminated, drop_contaminated, tile
 from tidemark.llm.words import seeded
 
@@ -192,9 +192,10 @@ def test_contaminated(spark, monkeypatch):
     assert sorted(r.doc_id or -1 for r in clean.collect()) == sorted(i or -1 for i, _, _ in rows if i not in leaked)
 
 
-@pytest.mark.parametrize("rows_of_key", [20_000, 4])
-def test_repeats(spark, monkeypatch, rows_of_key):
-    monkeypatch.setattr(repeats, "ROWS_OF_KEY", rows_of_key)
+@pytest.mark.parametrize("hot_share", [1000, 1])
+def test_repeats(spark, monkeypatch, hot_share):
+    """Every key counts as hot, or none does; a third of the texts share one passage, in one context or in different ones."""
+    monkeypatch.setattr(frames, "HOT_SHARE", hot_share)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(3000)]
     passages = [[rng.choice(vocabulary) for _ in range(90)] for _ in range(10)]
@@ -205,6 +206,8 @@ def test_repeats(spark, monkeypatch, rows_of_key):
             at, k = rng.randint(0, 60), rng.randint(0, len(w))
             w[k:k] = rng.choice(passages)[at : at + rng.randint(20, 90)]
         rows.append((i, rng.choice([" ", "\n"]).join(w), "s"))
+    common = " ".join(passages[0])
+    rows += [(300 + i, f"own{i} {common} end{i}", "s") for i in range(60)] + [(400 + i, f"a b c {common} d", "s") for i in range(40)]
     rows += odd_rows() + [(907, "w " * 60, "a")]
     got = {tuple(r) for r in repeats.repeated_passages(frame(spark, rows)).collect()}
     want = brute.repeats([(i, t) for i, t, _ in rows if i is not None])

@@ -2,21 +2,19 @@
 
 Only suffixes that start at a minimiser are kept: of every ``WINDOW`` places in a row, the one whose ``SEED`` words have
 the smallest hash.  Every run of ``WINDOW + SEED - 1`` words has one, and equal runs have it at the same place, so two equal
-passages of ``min_words`` words share a suffix whose first ``min_words - WINDOW + 1`` words are equal.  Suffixes that share
-so many words with another document are sorted, neighbours are compared, and matches are extended left and right.
+passages of ``min_words`` words share a suffix whose first ``min_words - WINDOW + 1`` words are equal.  Suffixes are sorted
+into groups by these words, and the matches of a group's neighbours are extended left and right.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import arrow_map, materialize
-from tidemark.llm.words import U, windows, word_batches
+from tidemark.llm.frames import arrow_map, join_hot, materialize
+from tidemark.llm.words import U, mix64, running_windows, seeded, windows, word_batches
 
 MIN_WORDS = 50
 SEED = 6
@@ -64,11 +62,10 @@ def _suffixes(docs: DataFrame, right: int) -> DataFrame:
     return arrow_map(docs, run, "id long, at int, key long")
 
 
-def _contexts(docs: DataFrame, right: int, before: int, after: int) -> DataFrame:
-    """The listed suffixes of ``docs`` (id, text, suffixes array<struct<at, key>>) with 16 bits of each word around them.
+def _listed(docs: DataFrame, right: int, fn, schema: str) -> DataFrame:
+    """Call ``fn`` for runs of texts of ``docs`` (id, text, suffixes array<struct<at, key>>) with the suffixes that they have.
 
-    ``before`` words are read leftwards from the suffix, ``after`` words rightwards from its first ``right``; places
-    outside the text are 0, and no word is 0.
+    It gets the ids, the word hashes of the texts, their offsets, and text and place of each listed suffix.
     """
 
     def run(batch: pa.RecordBatch):
@@ -78,136 +75,66 @@ def _contexts(docs: DataFrame, right: int, before: int, after: int) -> DataFrame
             flat = part.flatten()
             row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
             at, key = flat.field(0).to_numpy() + offsets[row], flat.field(1).to_numpy()
-            all_keys = windows(words, right).view(np.int64)
             fits = at + right <= offsets[row + 1]  # a repeated id may bring another text
             row, at, key = row[fits], at[fits], key[fits]
-            fits = all_keys[at] == key
-            row, at, key = row[fits], at[fits], key[fits]
-            short = (words >> U(48)).astype(np.uint16) | np.uint16(1)
-            columns = {}
-            for name, places in (("left", at[:, None] - 1 - np.arange(before)), ("right", at[:, None] + right + np.arange(after))):
-                inside = (places >= offsets[row][:, None]) & (places < offsets[row + 1][:, None])
-                values = np.where(inside, short[np.clip(places, 0, max(len(words) - 1, 0))] if len(words) else 0, 0).astype(">u2")
-                columns[name] = pa.array([v.tobytes() for v in values], pa.binary())
-            yield {
-                "key": pa.array(key),
-                "id": batch.column(0).take(pa.array(row + first)),
-                "at": pa.array(at - offsets[row], pa.int32()),
-                **columns,
-            }
-
-    return arrow_map(docs, run, "key long, id long, at int, left binary, right binary")
+            fits = windows(words, right).view(np.int64)[at] == key
+            yield from fn(batch.column(0).slice(first, len(part)), words, offsets, row[fits], at[fits], key[fits])
 
+    return arrow_map(docs, run, schema)
 
-def _known(context: bytes) -> int:
-    """Words of a context that are inside the text."""
-    end = context.find(b"\0\0")
-    return (len(context) if end < 0 else end) // 2
 
+def _around(docs: DataFrame, right: int, need: int) -> DataFrame:
+    """(key, whole, id, at, fewest, most) of the listed suffixes that some match can lie around.
 
-def _windows_of_key(contexts: dict, need: int) -> dict:
-    """(fewest, most) words to the left at which a whole match lies around the suffix, for each context that has one.
-
-    ``contexts`` has the smallest and largest id of each distinct (left, right).  Two suffixes match with ``t`` words on
-    the left if these and the first ``need - t`` on the right are equal.
-    """
-    found, shared = {}, {}
-    if len(contexts) == 1:
-        ((context, (low, high)),) = contexts.items()
-        left, right = map(_known, context)
-        fits = range(max(0, need - right), min(left, need) + 1)
-        return {context: (fits[0], fits[-1])} if low < high and fits else {}
-    for (left, right), (low, high) in contexts.items():
-        for t in range(max(0, need - _known(right)), min(_known(left), need) + 1):
-            cell = left[: 2 * t], right[: 2 * (need - t)]
-            old = shared.get(cell)
-            shared[cell] = (low, high) if old is None else (min(low, old[0]), max(high, old[1]))
-    for left, right in contexts:
-        fits = [
-            t
-            for t in range(max(0, need - _known(right)), min(_known(left), need) + 1)
-            if (pair := shared[left[: 2 * t], right[: 2 * (need - t)]])[0] < pair[1]
-        ]
-        if fits:
-            found[left, right] = fits[0], fits[-1]
-    return found
-
-
-_SCHEMA = pa.schema(
-    [("key", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("low", pa.int32()), ("high", pa.int32())]
-)
-_FIELDS = "key long, id long, at int, left binary, right binary, low int, high int"
-ROWS_OF_KEY = 20_000  # suffixes of one key that a task holds; keys with more are left to joins
-
-
-def _extended(dealt: DataFrame, need: int) -> DataFrame:
-    """``dealt`` sorted by key and context, with the matches around each suffix: ``low`` and ``high`` words to its left.
-
-    Equal neighbours match as far as their contexts go; different ones of the same key are compared at every place where
-    a whole match can lie.  Suffixes without a match go; those of a key with too many suffixes come back with null.
+    ``whole`` is a hash of the ``need`` words before the suffix and of those after its first ``right``, and of where the
+    text ends.  A match has at least ``fewest`` and at most ``most`` words to the left of the suffix.
     """
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        group: list[tuple] = []
-        large = None
-
-        def solve() -> None:
-            contexts: dict = {}
-            for _, i, _, left, right in group:
-                old = contexts.get((left, right))
-                contexts[left, right] = (i, i) if old is None else (min(i, old[0]), max(i, old[1]))
-            found = _windows_of_key(contexts, need)
-            for row in group:
-                hit = found.get(row[3:])
-                if hit:
-                    out.append((*row, *hit))
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] == large:
-                    out.append((*row, None, None))
-                    continue
-                if group and row[0] != group[0][0]:
-                    solve()
-                    group = []
-                group.append(row)
-                if len(group) > ROWS_OF_KEY:
-                    large = row[0]
-                    out += [(*x, None, None) for x in group]
-                    group = []
-            if len(out) >= ROWS_OF_KEY:
-                yield batch_of(out)
-                out.clear()
-        if group:
-            solve()
-        if out:
-            yield batch_of(out)
-
-    rows = dealt.select(*_SCHEMA.names[:5]).repartition("key").sortWithinPartitions("key", "right", "left")
-    return rows.mapInArrow(run, _FIELDS)
-
-
-def _by_joins(large: DataFrame, need: int) -> DataFrame:
-    """The matches around the suffixes of keys that too many documents share, each possible match as a row."""
-    left, right = F.octet_length("left"), F.octet_length("right")
-    known = [
-        F.when(F.locate("0000", F.hex(c)) == 0, n / 2).otherwise(
-            F.floor((F.length(F.regexp_replace(F.hex(c), "^((?:(?!0000).{4})*).*$", "$1"))) / 4)
-        )
-        for c, n in (("left", left), ("right", right))
-    ]
-    cells = (
-        large.select("key", "id", "at", "left", "right", *[k.cast("int").alias(n) for k, n in zip(known, ("nl", "nr"))])
-        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(need))))
-        .where(f"t <= nl and {need} - t <= nr")
-        .selectExpr("id", "at", "t", f"xxhash64(key, t, substring(left, 1, 2 * t), substring(right, 1, 2 * ({need} - t))) as cell")
-    )
-    shared = cells.groupBy("cell").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("cell")
-    return cells.join(shared, "cell", "left_semi").groupBy("id", "at").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    weight = seeded(2 * need, 53) | U(1)
+    step = np.arange(need)
+
+    def rows(ids, words, offsets, row, at, key):
+        whole = np.zeros(len(at), U)
+        begin, end = offsets[row], offsets[row + 1]
+        with np.errstate(over="ignore"):
+            for n, places in enumerate([*(at - 1 - k for k in step), *(at + right + k for k in step)]):
+                inside = (places >= begin) & (places < end)
+                whole += np.where(inside, words[np.where(inside, places, 0)], U(0)) * weight[n] if len(words) else U(0)
+        fewest = np.maximum(at + right + need - end, 0)
+        most = np.minimum(at - begin, need)
+        room = fewest <= most
+        yield {
+            "key": pa.array(key[room]),
+            "whole": pa.array(mix64(whole[room]).view(np.int64)),
+            "id": ids.take(pa.array(row[room])),
+            "at": pa.array((at - begin)[room], pa.int32()),
+            "fewest": pa.array(fewest[room], pa.int32()),
+            "most": pa.array(most[room], pa.int32()),
+        }
+
+    return _listed(docs, right, rows, "key long, whole long, id long, at int, fewest int, most int")
+
+
+def _matches_by_window(docs: DataFrame, right: int, need: int) -> DataFrame:
+    """(cell, id, start): the hash of each whole match that can lie around the listed suffixes, once per place."""
+    size = right + need
+
+    def rows(ids, words, offsets, row, at, key):
+        if len(words) < size or not len(at):
+            return
+        first, last = np.maximum(at - need, offsets[row]), np.minimum(at, offsets[row + 1] - size)
+        first, last = first[first <= last], last[first <= last]
+        mark = np.zeros(len(words) + 1, np.int64)  # suffixes of a text overlap: each start counts once
+        np.add.at(mark, first, 1)
+        np.add.at(mark, last + 1, -1)
+        start = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+        text = np.searchsorted(offsets, start, "right") - 1
+        yield {
+            "cell": pa.array(mix64(running_windows(words, size)[start]).view(np.int64)),
+            "id": ids.take(pa.array(text)),
+            "start": pa.array(start - offsets[text], pa.int32()),
+        }
+
+    return _listed(docs, right, rows, "cell long, id long, start int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -216,10 +143,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A stretch is a union of matches of ``min_words`` words or more with documents of another id; matches that overlap or
     touch are one stretch.  A-Z is read as a-z.  Null and empty texts and rows without an id have none; rows of one id
     are one document, whose repeats do not count among themselves.  ``min_words`` must leave room for a minimiser.
+    Words are compared by 64-bit hashes, runs of words by 64-bit hashes of these.  Other columns play no part.
 
     The suffixes move once as (id, place, 64-bit key); keys of one document are counted away with map-side combining, and
-    only suffixes whose key another document has fetch their words.  A key with more than ``ROWS_OF_KEY`` suffixes is not
-    held by a task: its possible matches are counted by joins, to the same result.
+    only suffixes whose key another document has read the words around them.  Most keys stand in one context everywhere
+    (inside copies and passages), and then every match that has room is one.  Where the contexts of a key differ (at the
+    ends of passages, next to edits), each whole match around the suffix is counted by its hash.  All counts are
+    combined before they move, and results go back without gathering the rows of a hot key.
     """
     right = min_words - WINDOW + 1
     if right < SEED:
@@ -228,18 +158,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
     )
+
+    def with_suffixes(found: DataFrame) -> DataFrame:
+        listed = found.groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("suffixes"))
+        return rows.join(listed, "id").select("id", "text", "suffixes")
+
+    between = [F.min("low").alias("low"), F.max("high").alias("high")]
     suffixes = _suffixes(rows, right)
     shared = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    listed = (
-        suffixes.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_set(F.struct("at", "key")).alias("suffixes"))
-    )
-    around = _contexts(rows.join(listed, "id").select("id", "text", "suffixes"), right, need, need)
-    solved = materialize(_extended(around, need))
-    matches = solved.where("low is not null").select("id", "at", "low", "high")
-    matches = matches.unionByName(_by_joins(solved.where("low is null"), need))
-    spans = matches.selectExpr("id", "at - high as start", f"at - low + {min_words} as end")
+    around = materialize(_around(with_suffixes(suffixes.join(shared, "key", "left_semi")), right, need))
+    contexts = around.groupBy("key", "whole").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    keys = contexts.groupBy("key").agg(*between, F.count("*").alias("contexts")).where("low < high")
+    known = materialize(join_hot(around, keys.select("key", "contexts"), "key"))
+    everywhere = known.where("contexts = 1").selectExpr("id", "at - most as start", f"at - fewest + {min_words} as end")
+    cells = materialize(_matches_by_window(with_suffixes(known.where("contexts > 1")), right, need))
+    twice = cells.groupBy("cell").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("cell")
+    counted = join_hot(cells, twice, "cell").selectExpr("id", "start", f"start + {min_words} as end")
     ordered = "partition by id order by start, end"
-    joined = spans.distinct().selectExpr(
+    joined = everywhere.union(counted).distinct().selectExpr(
         "*", f"max(end) over ({ordered} rows between unbounded preceding and 1 preceding) as reach"
     )
     numbered = joined.selectExpr("id", "start", "end", f"sum(if(start <= reach, 0, 1)) over ({ordered}) as stretch")
