@@ -164,9 +164,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return rows.join(listed, "id").select("id", "text", "suffixes")
 
     between = [F.min("low").alias("low"), F.max("high").alias("high")]
-    suffixes = _suffixes(rows, right)
+    suffixes = materialize(_suffixes(rows, right))
     shared = suffixes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    around = materialize(_around(with_suffixes(suffixes.join(shared, "key", "left_semi")), right, need))
+    around = materialize(_around(with_suffixes(join_hot(suffixes, shared, "key")), right, need))
     contexts = around.groupBy("key", "whole").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     keys = contexts.groupBy("key").agg(*between, F.count("*").alias("contexts")).where("low < high")
     known = materialize(join_hot(around, keys.select("key", "contexts"), "key"))
