@@ -6,13 +6,16 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from tidemark.llm import alignment
-from tidemark.llm.alignment import LinkPairs, align_tokens, cuts, group_digests, group_text, link_counts, link_pairs, link_scores
+from tidemark.llm.alignment import (
+    UNIT, ByteTokens, LinkPairs, PieceTokens, align_tokens, aligned_digests, cuts, group_text, id_strings, link_counts, link_pairs, link_scores,
+)
 
 MODELS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -25,7 +28,7 @@ def pairs():
 def test_cuts():
     """Any two rising lists with a common end: stretches of every length, irregular groups at each place."""
     rng = random.Random(2)
-    assert cuts([], []) == ([], [])
+    assert [x.tolist() for x in cuts([], [])] == [[], []]
     for k in range(3000):
         n = rng.randint(1, 200)
         share = rng.choice([0.02, 0.3, 0.9])
@@ -33,7 +36,7 @@ def test_cuts():
         b = sorted({*(x for x in a if rng.random() > share), *(x for x in range(1, n) if rng.random() < share / 4), n})
         both = sorted(set(a) & set(b))
         got = cuts(a, b) if k % 2 else cuts(b, a)[::-1]
-        assert got == ([a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both])
+        assert tuple(x.tolist() for x in got) == ([a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both])
 
 
 def test_one_to_one_is_skipped():
@@ -48,13 +51,13 @@ def test_one_to_one_is_skipped():
 
     ends = list(range(1, 1_000_001))
     a, b = cuts(Counted(ends), ends[:-2] + [1_000_000])
-    assert a == [*range(1, 999_999), 1_000_000] and b == list(range(1, 1_000_000))
+    assert a.tolist() == [*range(1, 999_999), 1_000_000] and b.tolist() == list(range(1, 1_000_000))
     assert Counted.reads < 60
 
 
 def test_group_text():
     def made(*lists):
-        return group_text(*[np.array(x) for x in lists], np.array([str(i) for i in range(10)], object))
+        return group_text(*[np.array(x) for x in lists], id_strings(10))
 
     assert made([1, 2, 3], [4, 5, 6], [2, 3], [1, 3]) == "1,2|4;3|5,6"
     assert made([7], [8], [1], [1]) == "7|8"
@@ -119,10 +122,12 @@ TEXTS = [
 def test_align(spark, pairs):
     rows = list(enumerate(TEXTS))
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, A_IDS string, links int")
+    want, count = expected(rows)
     aligned = align_tokens(frame, *MODELS)
     assert aligned.columns == ["doc_id", "text", "A_IDS", "links", "_a_ids", "b_ids", "a_cuts", "b_cuts"]
-    digests = group_digests(aligned, pairs, ["doc_id"], ("_a_ids", "b_ids", "a_cuts", "b_cuts"))
-    want, count = expected(rows)
+    digests = aligned_digests(frame, *MODELS, pairs, ["doc_id"])
+    for r in aligned.collect():
+        assert [len(x) for x in (r._a_ids, r.b_ids, r.a_cuts)] == [*want[r.doc_id][:3]] and (r.a_cuts or [0])[-1] == len(r._a_ids)
     got = link_scores(digests, pairs).collect()
     names = "n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
     assert {r.doc_id: tuple(r[n] for n in names) for r in got} == want
@@ -130,18 +135,34 @@ def test_align(spark, pairs):
     assert want[6][0] > 10 and want[7][0] == want[8][0] == 0 and want[4][0] > 0
 
 
-def test_slices_change_nothing(spark, pairs, monkeypatch):
-    monkeypatch.setattr(alignment, "TEXT_AT_ONCE", 10)
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if len(t or "") < 1000], "doc_id long, text string").coalesce(1)
-    batch = frame.toArrow().combine_chunks().to_batches()[0]
-    parts = list(alignment._slices(batch, np.array([len(t or "") for t in batch["text"].to_pylist()]), 10))
-    assert sum(p.num_rows for p in parts) == batch.num_rows and len(parts) > 5
-    assert [x for p in parts for x in p["doc_id"].to_pylist()] == batch["doc_id"].to_pylist()
+def test_units(monkeypatch):
+    """Units encoded one by one, and forgotten in between, give the ids of the whole text."""
+    monkeypatch.setattr(alignment, "MEMORY", 5)
+    byte, piece = (kind(alignment.load_model(m)) for kind, m in zip((ByteTokens, PieceTokens), MODELS))
+    sides = alignment._Side(byte), alignment._Side(piece)
+    rng = random.Random(5)
+    signs = ["a", "Z", "9", "é", "日", "。", ",", "'s", "'", "_", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "▁", "🦜", "\u0301", "١"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    for text in texts:
+        units = UNIT.split(" " + text)
+        for side in sides:
+            side.learn(set(units))
+        assert sides[0].ids(units).tolist() == byte.tokenizer.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        assert sides[1].ids(units).tolist() == piece.tokenizer.encode(text), repr(text)
+        for side in sides:
+            side.forget(set(units))
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(30))})
+    parts = list(alignment._slices(batch, np.array([3, 0, 50] * 10), 10))
+    assert [x for p in parts for x in p["n"].to_pylist()] == list(range(30)) and max(p.num_rows for p in parts) == 2
 
 
 def test_empty_table(spark, pairs):
     rows = spark.createDataFrame([], "doc_id long, text string")
-    assert link_scores(group_digests(align_tokens(rows, *MODELS), pairs, ["doc_id"]), pairs).count() == 0
+    assert align_tokens(rows, *MODELS).count() == 0
+    assert link_scores(aligned_digests(rows, *MODELS, pairs, ["doc_id"]), pairs).count() == 0
 
 
 def test_query_over_the_table(spark, sf):

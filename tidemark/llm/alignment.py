@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from tidemark.llm.frames import fresh
 from tidemark.llm.pieces import SPACE, load_model
 
-TEXT_AT_ONCE = 4 << 20  # characters of the texts whose tokens are Python objects together
+TEXT_AT_ONCE = 1 << 18  # characters of the texts that are aligned together
 PAIR_LIMIT = 1 << 23  # pairs that a table of counts may have: 16 bytes each
 
 
@@ -41,14 +43,25 @@ def _characters_of_bytes() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+#: A text is cut into units before each space that follows a printing ASCII character, a letter or a digit.
+UNIT = re.compile(r"(?<=[!-~\w])(?= )")
+MEMORY = 200_000  # units whose ids a worker keeps: about 70 MB
+LONG = 64  # characters; longer units are not kept
+
+
 class ByteTokens:
-    """A byte-level tokenizer, from the bytes of its JSON file."""
+    """A byte-level tokenizer, from the bytes of its JSON file.
+
+    Its words never have white space after another character, so the units of a text are encoded one by one.
+    """
 
     def __init__(self, model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores at work
         from tokenizers import Tokenizer
 
         spec = json.loads(model)
-        if (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
+        splits = spec.get("pre_tokenizer") or {}
+        if splits.get("type") != "ByteLevel" or not splits.get("use_regex") or splits.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("the tokenizer must be byte-level and must not rewrite its input")
         self.tokenizer = Tokenizer.from_str(model.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -61,18 +74,31 @@ class ByteTokens:
         for token, i in vocabulary.items():
             self.token_bytes[i] = token.encode() if i in special else bytes(byte[c] for c in token)
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+    def encode(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
 class PieceTokens:
-    """A sentencepiece tokenizer that puts a space before a text, from the bytes of its model file."""
+    """A sentencepiece tokenizer that puts a space before a text, from the bytes of its model file.
+
+    No piece has a space after another character, so the units of a text are encoded one by one, each without the space
+    that it begins with and that the library puts back.
+    """
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
-
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        spec = proto.ModelProto()
+        spec.ParseFromString(model)
+        norm = spec.normalizer_spec
+        if not norm.add_dummy_prefix or norm.precompiled_charsmap or norm.remove_extra_whitespaces:
+            raise ValueError("the model must put a space first and not rewrite its input otherwise")
+        if spec.trainer_spec.model_type != proto.TrainerSpec.BPE or any(SPACE in p.piece.lstrip(SPACE) for p in spec.pieces):
+            raise ValueError("the model must merge pairs and have spaces only at the start of its pieces")
         self.tokenizer = SentencePieceProcessor(model_proto=model)
         self.token_bytes = [self._bytes(i) for i in range(self.tokenizer.get_piece_size())]
+        self.space = [self.tokenizer.piece_to_id(SPACE)]
 
     def _bytes(self, i: int) -> bytes:
         piece = self.tokenizer.id_to_piece(i)
@@ -80,58 +106,94 @@ class PieceTokens:
             return bytes([int(piece[1:-1], 16)])
         return piece.replace(SPACE, " ").encode()
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, num_threads=1)
+    def encode(self, units: list[str]) -> list[list[int]]:
+        if not units:
+            return []
+        found = self.tokenizer.encode([u[1:] for u in units], num_threads=1)
+        return [ids or self.space for ids in found]  # the library puts no space before an empty text
+
+
+class _Side:
+    """A tokenizer with the ids of units that it has seen."""
+
+    def __init__(self, tokens: ByteTokens | PieceTokens):
+        self.tokens = tokens
+        self.sizes = np.array([len(x) for x in tokens.token_bytes], np.int64)
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, units: set[str]) -> None:
+        new = list(units - self.known.keys())
+        self.known.update(zip(new, (np.array(ids, np.int32).tobytes() for ids in self.tokens.encode(new))))
+
+    def forget(self, units: set[str]) -> None:
+        for u in units:
+            if len(u) > LONG:
+                del self.known[u]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+
+    def ids(self, units: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.token_bytes.__getitem__, ids.tolist()))
+
+
+_NOTHING = (np.zeros(0, np.int32),) * 4
 
 
 class _Aligner:
     def __init__(self, a: ByteTokens | PieceTokens, b: ByteTokens | PieceTokens):
-        self.sides = [(t, np.array([len(x) for x in t.token_bytes], np.int64)) for t in (a, b)]
-
-    def align(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        """(A ids, B ids, A tokens up to each cut, B tokens up to each cut); nothing unless both cover a space and the text."""
-        if not text:
-            return [], [], [], []
+        self.sides = _Side(a), _Side(b)
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(A ids, B ids, A tokens up to each cut, B tokens up to each cut) of each text.
+
+        Nothing unless both lists of tokens cover a space and the text.
+        """
+        split = [UNIT.split(" " + t) if t else [] for t in texts]
+        units = set().union(*split)
+        for side in self.sides:
+            side.learn(units)
+        for text, own in zip(texts, split):
+            yield self._align(text, own) if text else _NOTHING
+        for side in self.sides:
+            side.forget(units)
+
+    def _align(self, text: str, units: list[str]) -> tuple[np.ndarray, ...]:
         whole = (" " + text).encode()
-        ids, ends = [], []
-        for tokens, sizes in self.sides:
-            found = tokens.encode(text)
-            if b"".join(map(tokens.token_bytes.__getitem__, found)) != whole:
-                return [], [], [], []
-            ids.append(found)
-            ends.append(np.cumsum(sizes[found]).tolist())
-        return *ids, *cuts(*ends)
+        ids = [side.ids(units) for side in self.sides]
+        if any(side.text(i) != whole for side, i in zip(self.sides, ids)):
+            return _NOTHING
+        return *ids, *cuts(*(np.cumsum(side.sizes[i]).tolist() for side, i in zip(self.sides, ids)))
 
 
-def cuts(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of ``a`` and of ``b`` lie before each offset where both end.
+def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """The groups of two rising lists of end offsets with the same last one, as runs (first, last + 1, shift) over ``a``.
 
-    ``a`` and ``b`` are rising end offsets with the same last one.
+    The groups of a run end at the places ``first .. last`` of ``a`` and at these plus ``shift`` of ``b``: either a stretch of
+    one-to-one groups or a single irregular one.
     """
-    cut_a: list[int] = []
-    cut_b: list[int] = []
+    out: list[tuple[int, int, int]] = []
     i = j = 0
     n = len(a)
     while i < n:
         if a[i] == b[j]:
-            k = step = 1
-            while a[i + k : i + k + step] == b[j + k : j + k + step]:
-                k += step
+            first, shift, step = i, j - i, 1
+            i += 1
+            # probe twice as far each time, then halve the last probe; slices at the end are equal only if both lists end
+            while i < n and a[i : i + step] == b[i + shift : i + shift + step]:
+                i += step
                 step += step
-                if i + k >= n:
-                    k, step = n - i, 0
-                    break
-            step //= 2
-            while step:
-                if a[i + k : i + k + step] == b[j + k : j + k + step]:
-                    k += step
+            while i < n and step > 1:
                 step //= 2
-            cut_a.extend(range(i + 1, i + k + 1))
-            cut_b.extend(range(j + 1, j + k + 1))
-            i += k
-            j += k
-            if i >= n:
+                if a[i : i + step] == b[i + shift : i + shift + step]:
+                    i += step
+            i = min(i, n)
+            out.append((first, i, shift))
+            if i == n:
                 break
+            j = i + shift
         x, y = a[i], b[j]
         while x != y:
             if x < y:
@@ -140,11 +202,19 @@ def cuts(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = b[j]
+        out.append((i, i + 1, j - i))
         i += 1
         j += 1
-        cut_a.append(i)
-        cut_b.append(j)
-    return cut_a, cut_b
+    return out
+
+
+def cuts(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of ``a`` and of ``b`` lie before each offset where both end."""
+    runs = np.array(stretches(a, b), np.int32).reshape(-1, 3)
+    sizes = runs[:, 1] - runs[:, 0]
+    ends = np.cumsum(sizes, dtype=np.int32)
+    cut_a = np.arange(1, len(sizes) and ends[-1] + 1, dtype=np.int32) + np.repeat(runs[:, 1] - ends, sizes)
+    return cut_a, cut_a + np.repeat(runs[:, 2], sizes)
 
 
 _loaded: dict[type, tuple[bytes, ByteTokens | PieceTokens]] = {}  # of this worker process, the last model of each kind
@@ -167,10 +237,26 @@ def _slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa
         at = stop
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)])
-    flat = np.fromiter((x for row in rows for x in row), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([_NOTHING[0], *rows])))
+
+
+def _mapped(docs: DataFrame, byte_model: str, piece_model: str, text_col: str, keep: list[str], fields: list[T.StructField], make) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and those that ``make`` gives for the aligned rows of a part of a batch."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`"))
+    models = docs.sparkSession.sparkContext.broadcast((load_model(byte_model), load_model(piece_model)))
+    names = [*keep, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _Aligner(_tokens(ByteTokens, models.value[0]), _tokens(PieceTokens, models.value[1]))
+        for whole in batches:
+            sizes = pc.fill_null(pc.utf8_length(whole.column(len(keep))), 0).to_numpy(zero_copy_only=False)
+            for batch in _slices(whole, sizes, TEXT_AT_ONCE):
+                found = list(aligner.align(batch.column(len(keep)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *make(found)], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], *fields]))
 
 
 ALIGNED = ("a_ids", "b_ids", "a_cuts", "b_cuts")
@@ -183,41 +269,33 @@ def align_tokens(docs: DataFrame, byte_model: str, piece_model: str, text_col: s
     itself.  Special tokens are not added, and their strings inside texts are ordinary text.  Group ``g`` has the A tokens
     ``a_cuts[g - 1] .. a_cuts[g] - 1`` and the B tokens ``b_cuts[g - 1] .. b_cuts[g] - 1``, counted from 0.  A text that is
     null or empty, or whose joined A or B tokens are not the space and the text, has four empty lists.  Every row stands for
-    itself and repeated rows stay; all columns stay, and names that clash get an underscore.  A text is encoded as a whole,
+    itself and repeated rows stay; all columns stay, and names that clash get an underscore.  A text is read as a whole,
     so a very long one needs memory in proportion to its length.
     """
-    names = tuple(fresh(docs, *names))
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast((load_model(byte_model), load_model(piece_model)))
-    at = docs.columns.index(text_col)
-    made = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]
+    made = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in fresh(docs, *names)]
+
+    def make(rows: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+        return [_lists([r[k] for r in rows]) for k in range(4)]
+
+    return _mapped(docs, byte_model, piece_model, text_col, docs.columns, made, make)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(_tokens(ByteTokens, models.value[0]), _tokens(PieceTokens, models.value[1]))
-        for whole in batches:
-            sizes = pc.fill_null(pc.utf8_length(whole.column(at)), 0).to_numpy(zero_copy_only=False)
-            for batch in _slices(whole, sizes, TEXT_AT_ONCE):
-                rows = [aligner.align(t) for t in batch.column(at).to_pylist()]
-                columns = [_lists([r[k] for r in rows]) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *made]))
+def id_strings(n: int) -> np.ndarray:
+    """The decimal string of each id below ``n`` with the sign that follows it: ``,`` in a group, ``|`` after A, ``;`` after B."""
+    return np.array([[f"{i}{c}" for i in range(n)] for c in ",|;"], object)
 
 
-def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, digits: np.ndarray) -> str:
-    """The groups as ``a1,a2|b1;a3|b2``; ``digits`` has the decimal string of each id."""
+def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, strings: np.ndarray) -> str:
+    """The groups as ``a1,a2|b1;a3|b2``."""
     n, m = len(a_ids), len(b_ids)
     a_mark, b_mark = np.zeros(n, np.int8), np.zeros(m, np.int8)
     a_mark[a_cuts - 1] = 1
     b_mark[b_cuts - 1] = 2
     # an A token follows the B tokens of earlier groups, a B token the A tokens up to its own group
-    a_at = np.arange(n) + np.repeat(np.append(0, b_cuts[:-1]), np.diff(a_cuts, prepend=0))
-    b_at = np.arange(m) + np.repeat(a_cuts, np.diff(b_cuts, prepend=0))
-    out = np.empty((n + m, 2), object)
-    out[a_at, 0], out[b_at, 0] = digits[a_ids], digits[b_ids]
-    marks = np.array([",", "|", ";"], object)
-    out[a_at, 1], out[b_at, 1] = marks[a_mark], marks[b_mark]
-    return "".join(out.ravel()[:-1].tolist())
+    out = np.empty(n + m, object)
+    out[np.arange(n) + np.repeat(np.append(0, b_cuts[:-1]), np.diff(a_cuts, prepend=0))] = strings[a_mark, a_ids]
+    out[np.arange(m) + np.repeat(a_cuts, np.diff(b_cuts, prepend=0))] = strings[b_mark, b_ids]
+    return "".join(out.tolist())[:-1]
 
 
 class LinkPairs:
@@ -236,6 +314,7 @@ class LinkPairs:
         if len(found) > PAIR_LIMIT:
             raise ValueError(f"the vocabularies allow more than {PAIR_LIMIT} pairs")
         self.width = max(len(b), 1)
+        self.ids_below = max(len(a), len(b))
         self.keys = np.unique(np.array([i * self.width + j for i, j in found], np.int64))
 
     def places(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
@@ -249,39 +328,28 @@ def link_pairs(byte_model: str, piece_model: str) -> LinkPairs:
     return LinkPairs(ByteTokens(load_model(byte_model)).token_bytes, PieceTokens(load_model(piece_model)).token_bytes)
 
 
-def group_digests(aligned: DataFrame, pairs: LinkPairs, keep: list[str], names: tuple[str, ...] = ALIGNED) -> DataFrame:
-    """(``keep``, n_a, n_b, n_groups, groups_sha256, links) of aligned rows.
+def aligned_digests(
+    docs: DataFrame, byte_model: str, piece_model: str, pairs: LinkPairs, keep: list[str], text_col: str = "text"
+) -> DataFrame:
+    """(``keep``, n_a, n_b, n_groups, groups_sha256, links) of the rows of ``docs``, aligned as ``align_tokens`` does.
 
     The digest is of ``group_text``, and an empty text where there are no tokens.  ``links`` has for each cut the place in
-    ``pairs`` of the two tokens that end there.
+    ``pairs`` of the two tokens that end there.  The new names must be none of ``keep``.
     """
-    shared = aligned.sparkSession.sparkContext.broadcast(pairs)
-    rows = aligned.select(*[F.col(f"`{c}`") for c in (*keep, *names)])
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
     made = [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups")]
     made += [T.StructField("groups_sha256", T.StringType()), T.StructField("links", T.ArrayType(T.IntegerType()))]
+    held: list[np.ndarray] = []  # of a worker, once it has begun
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        digits = np.array([str(i) for i in range(max(known.width, int(known.keys[-1]) // known.width + 1))], object)
-        for whole in batches:
-            sizes = whole.column(len(keep)).value_lengths().to_numpy()
-            for batch in _slices(whole, sizes, TEXT_AT_ONCE):
-                lists = [(c.flatten().to_numpy(), np.append(0, np.cumsum(c.value_lengths().to_numpy()))) for c in batch.columns[len(keep) :]]
-                numbers = np.array([np.diff(lists[k][1]) for k in (0, 1, 2)])
-                digests, links = [], []
-                for r in range(batch.num_rows):
-                    a, b, ca, cb = (flat[ends[r] : ends[r + 1]] for flat, ends in lists)
-                    if not len(ca):
-                        digests.append("")
-                        continue
-                    digests.append(hashlib.sha256(group_text(a, b, ca, cb, digits).encode()).hexdigest())
-                    links.append(known.places(a[ca - 1], b[cb - 1]).astype(np.int32))
-                flat = np.concatenate(links) if links else np.zeros(0, np.int32)
-                of_row = pa.ListArray.from_arrays(pa.array(lists[2][1], pa.int32()), pa.array(flat))
-                columns = [*batch.columns[: len(keep)], *map(pa.array, numbers), pa.array(digests), of_row]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in made)])
-
-    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema.fields if f.name in keep], *made]))
+    def make(rows: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+        if not held:
+            held.append(id_strings(shared.value.ids_below))
+        counts = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in range(3)]
+        digests = [hashlib.sha256(group_text(*r, held[0]).encode()).hexdigest() if len(r[2]) else "" for r in rows]
+        links = [shared.value.places(a[ca - 1], b[cb - 1]).astype(np.int32) for a, b, ca, cb in rows]
+        return [*counts, pa.array(digests, pa.string()), _lists(links)]
+
+    return _mapped(docs, byte_model, piece_model, text_col, keep, made, make)
 
 
 def link_counts(linked: DataFrame, pairs: LinkPairs, links: str = "links") -> DataFrame:

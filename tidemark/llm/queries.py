@@ -222,8 +222,8 @@ def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
     models = public_tokenizers.path("byte_bpe_50k.json"), piece_model()
     pairs = alignment.link_pairs(*models)
-    aligned = alignment.align_tokens(table(spark, sf, "documents").select("doc_id", "text"), *models)
-    return alignment.link_scores(materialize(alignment.group_digests(aligned, pairs, ["doc_id"])), pairs)
+    digests = alignment.aligned_digests(table(spark, sf, "documents"), *models, pairs, ["doc_id"])
+    return alignment.link_scores(materialize(digests), pairs)
 
 
 @_register
