@@ -145,12 +145,12 @@ def test_units(monkeypatch):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
     for text in texts:
         units = UNIT.split(" " + text)
-        for side in sides:
-            side.learn(set(units))
+        new = [side.learn(set(units)) for side in sides]
         assert sides[0].ids(units).tolist() == byte.tokenizer.encode(" " + text, add_special_tokens=False).ids, repr(text)
-        assert sides[1].ids(units).tolist() == piece.tokenizer.encode(text), repr(text)
-        for side in sides:
-            side.forget(set(units))
+        got = sides[1].ids(units)
+        assert (got is None) == ("▁" in text) and (got is None or got.tolist() == piece.tokenizer.encode(text)), repr(text)
+        for side, own in zip(sides, new):
+            side.forget(own)
 
 
 def test_slices():

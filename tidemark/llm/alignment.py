@@ -16,6 +16,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -114,29 +115,36 @@ class PieceTokens:
 
 
 class _Side:
-    """A tokenizer with the ids of units that it has seen."""
+    """A tokenizer with the ids of units that it has seen more than once."""
 
     def __init__(self, tokens: ByteTokens | PieceTokens):
         self.tokens = tokens
         self.sizes = np.array([len(x) for x in tokens.token_bytes], np.int64)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, units: set[str]) -> None:
-        new = list(units - self.known.keys())
-        self.known.update(zip(new, (np.array(ids, np.int32).tobytes() for ids in self.tokens.encode(new))))
-
-    def forget(self, units: set[str]) -> None:
-        for u in units:
-            if len(u) > LONG:
+        self.known: dict[str, bytes | None] = {}  # None: the tokens of a unit are not its bytes
+        self.seen: set[int] = set()
+
+    def learn(self, units: set[str]) -> list[str]:
+        """Encode the units that are not known; returns them."""
+        new, token_bytes, known = list(units - self.known.keys()), self.tokens.token_bytes, self.known
+        for u, ids in zip(new, self.tokens.encode(new)):
+            known[u] = array("i", ids).tobytes() if b"".join([token_bytes[i] for i in ids]) == u.encode() else None
+        return new
+
+    def forget(self, new: list[str]) -> None:
+        """Keep of new units those that come a second time; most come once."""
+        for u in new:
+            h = hash(u)
+            if len(u) > LONG or h not in self.seen:
                 del self.known[u]
+                self.seen.add(h)
         if len(self.known) > MEMORY:
             self.known.clear()
+        if len(self.seen) > 2 * MEMORY:
+            self.seen.clear()
 
-    def ids(self, units: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.int32)
-
-    def text(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.token_bytes.__getitem__, ids.tolist()))
+    def ids(self, units: list[str]) -> np.ndarray | None:
+        parts = list(map(self.known.__getitem__, units))
+        return None if None in parts else np.frombuffer(b"".join(parts), np.int32)
 
 
 _NOTHING = (np.zeros(0, np.int32),) * 4
@@ -153,19 +161,15 @@ class _Aligner:
         """
         split = [UNIT.split(" " + t) if t else [] for t in texts]
         units = set().union(*split)
-        for side in self.sides:
-            side.learn(units)
-        for text, own in zip(texts, split):
-            yield self._align(text, own) if text else _NOTHING
-        for side in self.sides:
-            side.forget(units)
-
-    def _align(self, text: str, units: list[str]) -> tuple[np.ndarray, ...]:
-        whole = (" " + text).encode()
-        ids = [side.ids(units) for side in self.sides]
-        if any(side.text(i) != whole for side, i in zip(self.sides, ids)):
-            return _NOTHING
-        return *ids, *cuts(*(np.cumsum(side.sizes[i]).tolist() for side, i in zip(self.sides, ids)))
+        new = [side.learn(units) for side in self.sides]
+        for own in split:
+            ids = [side.ids(own) for side in self.sides]
+            if not own or any(i is None for i in ids):
+                yield _NOTHING
+            else:
+                yield *ids, *cuts(*(np.cumsum(side.sizes[i]).tolist() for side, i in zip(self.sides, ids)))
+        for side, own in zip(self.sides, new):
+            side.forget(own)
 
 
 def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
