@@ -10,6 +10,7 @@ import traceback
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,7 +30,7 @@ def canonical(pdf):
     for r in pdf.itertuples(index=False):
         row = []
         for v in r:
-            if v is None or v != v or str(v) == "NaT":
+            if v is None or v is pd.NA or v != v or str(v) == "NaT":
                 row.append("~")
             elif isinstance(v, (bool, np.bool_)):
                 row.append(str(bool(v)))

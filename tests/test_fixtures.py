@@ -310,17 +310,3 @@ def test_sources(spark, prices, tmp_path):
     assert "price" in load_reference(spark, str(tmp_path / "t.csv")).columns
     with pytest.raises(ValueError):
         load_reference(spark, "t.json")
-
-
-def test_shared_folder():
-    from types import SimpleNamespace as Fake
-
-    from tidemark.session import shared_folder
-
-    def session(master, named=None):
-        return Fake(conf=Fake(get=lambda key, default: named), sparkContext=Fake(master=master, applicationId="app"))
-
-    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
-    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
-    with pytest.raises(RuntimeError):
-        shared_folder(session("yarn"))

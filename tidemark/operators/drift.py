@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import mmd
@@ -38,12 +38,15 @@ def drift_matrix(df: DataFrame, numeric: Sequence[str], vocabulary: dict[str, li
 
 @dataclass(frozen=True)
 class Baseline:
-    """What later checks need of the reference: value counts per feature, the category vocabulary, and its rows for MMD."""
+    """What later checks need of the reference: value counts per feature, the category vocabulary, and for MMD its summed
+    Fourier features or its rows.
+    """
 
     counts: DataFrame
     numeric: tuple[str, ...]
     vocabulary: dict[str, list[str]]
     rows: DataFrame | None = None  # (key, v): the reference rows as vectors, which MMD compares
+    fourier: mmd.FourierSums | None = None  # of a fixed size, so that a check reads its batch only
 
     @property
     def features(self) -> list[str]:
@@ -53,9 +56,9 @@ class Baseline:
     def matrix(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return drift_matrix(df, self.numeric, self.vocabulary, keep)
 
-    def vectors(self, df: DataFrame, key: str) -> DataFrame:
+    def vectors(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """(key, v) of the rows whose features are all present."""
-        matrix = self.matrix(df, [F.col(key).cast("string").alias("__key")])
+        matrix = self.matrix(df, [(F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("__key")])
         cells = [c for c in matrix.columns if c != "__key"]
         whole = matrix.select(F.col("__key").alias("key"), F.array(*cells).alias("v"))
         return whole.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
@@ -67,11 +70,17 @@ class Baseline:
 
 
 def fit_baseline(
-    reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), key: str | None = None
+    reference: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str] = (),
+    key: str | None = None,
+    fourier_features: int = 0,
+    sigma: float = 1.0,
 ) -> Baseline:
-    """The counts are written once, so that later checks do not scan the reference again.
+    """What checks need is computed and written here, so that none of them scans the reference again.
 
-    ``key`` names a row; with it the baseline also holds the rows that MMD needs.
+    ``fourier_features`` is the number of random features that MMD checks are to have; their sums have a fixed size.
+    ``key`` names a row; with it the baseline also holds the reference rows, for MMD by blocks.
     """
     present = [c for c in categorical if c in reference.columns]
     vocabulary = vocabularies(reference, present)
@@ -79,7 +88,13 @@ def fit_baseline(
     values = long_form(matrix, matrix.columns).where("value IS NOT NULL AND NOT isnan(value)")
     counts = materialize(values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
     fitted = Baseline(counts, tuple(c for c in numeric if c in reference.columns), vocabulary)
-    return replace(fitted, rows=fitted.vectors(reference, key)) if key else fitted
+    if key:
+        fitted = replace(fitted, rows=materialize(fitted.vectors(reference, key)))
+    if fourier_features:
+        features = mmd.FourierMap(len(fitted.features), fourier_features, sigma)
+        whole = fitted.rows if key else fitted.vectors(reference)
+        fitted = replace(fitted, fourier=mmd.fourier_sums(whole, "v", features))
+    return fitted
 
 
 def kolmogorov_sf(x: Column) -> Column:
@@ -226,19 +241,26 @@ def check_batch(
 ) -> DataFrame:
     """Drift result rows of one batch: one row per method for the batch, one per numeric feature.
 
-    ``ks`` tests each feature and corrects the verdict of the batch.  ``mmd`` compares whole rows; it needs a baseline
-    fitted with a key, and ``key`` for the current rows.  ``wasserstein`` gives distances in standard deviations of the
-    reference; a feature has drifted when that is above ``distance``.  A method that cannot run gives a row whose
-    ``status`` says why.
+    ``ks`` tests each feature and corrects the verdict of the batch.  ``mmd`` compares whole rows, with the summed Fourier
+    features of the baseline where it has them, else by blocks with its rows and ``key`` for the current ones; fewer than
+    two whole rows have no statistic.  ``wasserstein`` gives distances in standard deviations of the reference; a feature
+    has drifted when that is above ``distance``.  A method that cannot run gives a row whose ``status`` says why.
     """
     outs = []
     for method in methods:
-        if method == "mmd" and baseline.rows is not None and key:
-            both = baseline.rows.withColumn("ref", F.lit(True)).unionByName(
-                baseline.vectors(current, key).withColumn("ref", F.lit(False))
-            )
-            found = mmd.blocked(both, "v", F.col("ref"), "key", threshold=threshold, **(mmd_options or {}))
-            outs.append(_result(found, "is_drift", "mmd2", "p_value", method, None, threshold, at))
+        by_blocks = baseline.rows is not None and key
+        if method == "mmd" and (baseline.fourier or by_blocks):
+            try:
+                if baseline.fourier:
+                    found = mmd.fourier_test(baseline.fourier, baseline.vectors(current), "v", threshold, **(mmd_options or {}))
+                else:
+                    both = baseline.rows.withColumn("ref", F.lit(True)).unionByName(
+                        baseline.vectors(current, key).withColumn("ref", F.lit(False))
+                    )
+                    found = mmd.blocked(both, "v", F.col("ref"), "key", threshold=threshold, **(mmd_options or {}))
+                outs.append(_result(found, "is_drift", "mmd2", "p_value", method, None, threshold, at))
+            except mmd.TooFewRows:
+                outs.append(no_result(current.sparkSession, method, threshold, at, "too few rows"))
             continue
         if method == "wasserstein":
             spread = baseline.counts.groupBy("feature").agg(
@@ -255,13 +277,8 @@ def check_batch(
                 outs.append(_result(single, "drift", "score", "p", method, "feature", distance, at))
             continue
         if method != "ks":
-            row = current.sparkSession.range(1).select(
-                F.lit(None).cast("boolean").alias("is_drift"), F.lit(None).cast("double").alias("drift_score"),
-                F.lit(None).cast("double").alias("p_value"), F.lit(method).alias("method"),
-                F.lit(None).cast("string").alias("feature_name"), F.lit(threshold).alias("threshold"),
-                at.alias("timestamp"), F.lit("no reference rows" if method == "mmd" else "unknown method").alias("status"),
-            )
-            outs.append(row)
+            status = "no reference rows" if method == "mmd" else "unknown method"
+            outs.append(no_result(current.sparkSession, method, threshold, at, status))
             continue
         tests = ks_test(baseline, current, **limits)
         batch = tests.agg(F.max("statistic").alias("statistic"), F.min("p_value").alias("p_value")).select(
@@ -285,6 +302,16 @@ def check_batch(
     return result
 
 
+def no_result(spark: SparkSession, method: str, threshold: float, at: Column, status: str) -> DataFrame:
+    """The row of a method that could not run."""
+    return spark.range(1).select(
+        F.lit(None).cast("boolean").alias("is_drift"), F.lit(None).cast("double").alias("drift_score"),
+        F.lit(None).cast("double").alias("p_value"), F.lit(method).alias("method"),
+        F.lit(None).cast("string").alias("feature_name"), F.lit(threshold).alias("threshold"),
+        at.alias("timestamp"), F.lit(status).alias("status"),
+    )
+
+
 def _result(
     found: DataFrame, drift: str, score: str, p: str, method: str, feature: str | None, threshold: float, at: Column
 ) -> DataFrame:

@@ -7,11 +7,17 @@ averaged (the B-test of Zaremba et al., 2013).
 ``random_features``: means of random Fourier features (Rahimi and Recht,
 2007) per sample, from partial sums per partition.
 
-p-values come from relabelling the rows.
+p-values of these two come from relabelling the rows.
+
+``FourierSums``: the same features summed once over a reference, in a table of
+fixed size that can be added to and stored; a later check reads only its batch.
+Its p-values come from the reference's covariance of the features.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,6 +29,11 @@ from tidemark.operators.ordering import GroupShape, positions
 
 BLOCK_ROWS = 128
 FEATURES = 2_048
+STORED_FEATURES = 256  # features of a stored baseline: 256 x 256 numbers
+
+
+class TooFewRows(ValueError):
+    """A sample without two rows has no unbiased statistic."""
 
 
 def _samples(df: DataFrame, vector: str, is_reference: Column, key: str) -> tuple[DataFrame, int, int]:
@@ -64,7 +75,7 @@ def blocked(
     """
     rows, n, m = _samples(df, vector, is_reference, key)
     if min(n, m) < 2:
-        raise ValueError("each sample needs at least two rows")
+        raise TooFewRows("each sample needs at least two rows")
     half = max(block_rows // 2, 2)
     parts = [max(1, n // half), max(1, m // half)]
     shuffled = rows.withColumn("h", F.md5(F.col("key").cast("string").cast("binary")))
@@ -152,3 +163,108 @@ def random_features(
     gaps = F.zip_with("a", "b", lambda x, y: x / na - y / nb)
     stats = sums.select("perm", F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g).alias("stat"))
     return _finish(stats, n, m, threshold)
+
+
+@dataclass(frozen=True)
+class FourierMap:
+    """Random Fourier features of a Gaussian kernel: a pure function of these four numbers."""
+
+    width: int
+    features: int = STORED_FEATURES
+    sigma: float = 1.0
+    seed: int = 7
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(self.seed)
+        return rng.normal(0, 1 / self.sigma, (self.width, self.features)), rng.uniform(0, 2 * np.pi, self.features)
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        weights, phase = self.weights()
+        return np.sqrt(2 / self.features) * np.cos(x @ weights + phase)
+
+
+@dataclass(frozen=True)
+class FourierSums:
+    """What a check needs of a reference: rows, the sum of their features and the sum of the features' products.
+
+    Sums of two parts of a reference can be added.
+    """
+
+    map: FourierMap
+    rows: int
+    total: np.ndarray
+    second: np.ndarray
+
+    def __add__(self, other: FourierSums) -> FourierSums:
+        if self.map != other.map:
+            raise ValueError("sums of different features cannot be added")
+        return FourierSums(self.map, self.rows + other.rows, self.total + other.total, self.second + other.second)
+
+
+def fourier_sums(df: DataFrame, vector: str, map: FourierMap) -> FourierSums:
+    """Sum up the vectors of ``df`` in one pass.
+
+    Every partition gives a row per feature, and these are added by feature, so no task gathers the tables of all
+    partitions.  The driver gets the added table, whose size depends on the number of features alone.
+    """
+
+    def partial(batches):
+        total, second, rows = np.zeros(map.features), np.zeros((map.features, map.features)), 0
+        for batch in batches:
+            if len(batch):
+                z = map.apply(np.stack(batch["v"].to_numpy()))
+                total += z.sum(0)
+                second += z.T @ z
+                rows += len(z)
+        if rows:
+            yield pd.DataFrame({"feature": np.arange(map.features), "n": rows, "total": total, "second": list(second)})
+
+    whole = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    parts = whole.mapInPandas(partial, "feature int, n long, total double, second array<double>")
+    added = parts.groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), vector_to_array(Summarizer.sum(array_to_vector("second"))).alias("second")
+    )
+    found = sorted(added.collect(), key=lambda r: r["feature"])
+    if not found:
+        return FourierSums(map, 0, np.zeros(map.features), np.zeros((map.features, map.features)))
+    return FourierSums(map, found[0]["n"], np.array([r["total"] for r in found]), np.array([r["second"] for r in found]))
+
+
+def fourier_test(reference: FourierSums, df: DataFrame, vector: str, threshold: float = 0.05, draws: int = 1_000) -> DataFrame:
+    """One row (ref_rows, cur_rows, mmd2, p_value, is_drift): a batch against stored sums.
+
+    ``mmd2`` is the unbiased statistic of the kernel that the features define.  If nothing has changed, the difference of
+    the means is about normal with the reference's covariance, so the p-value is the share of ``draws`` from there with a
+    statistic as large.  The batch is read once and gives a row per partition.
+    """
+    map = reference.map
+
+    def partial(batches):
+        total, square, rows = np.zeros(map.features), 0.0, 0
+        for batch in batches:
+            if len(batch):
+                z = map.apply(np.stack(batch["v"].to_numpy()))
+                total += z.sum(0)
+                square += float((z * z).sum())
+                rows += len(z)
+        if rows:
+            yield pd.DataFrame({"n": [rows], "square": [square], "total": [total]})
+
+    whole = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    parts = whole.mapInPandas(partial, "n long, square double, total array<double>")
+    row = parts.agg(F.sum("n"), F.sum("square"), vector_to_array(Summarizer.sum(array_to_vector("total")))).first()
+    n, m = reference.rows, row[0] or 0
+    if min(n, m) < 2:
+        raise TooFewRows("each sample needs at least two rows")
+    a, b = reference.total, np.array(row[2])
+    within_a = (a @ a - np.trace(reference.second)) / (n * (n - 1))
+    within_b = (b @ b - row[1]) / (m * (m - 1))
+    mmd2 = float(within_a + within_b - 2 * (a @ b) / (n * m))
+    covariance = reference.second / n - np.outer(a / n, a / n)
+    values, vectors = np.linalg.eigh(covariance)
+    values = np.maximum(values, 0)
+    normal = np.random.default_rng(map.seed + 1).normal(size=(draws, map.features))
+    null = (1 / n + 1 / m) * ((normal * normal) @ values - values.sum())
+    p = float((null >= mmd2).mean())
+    found = [(n, m, mmd2, p, p < threshold)]
+    return df.sparkSession.createDataFrame(found, "ref_rows long, cur_rows long, mmd2 double, p_value double, is_drift boolean")

@@ -16,6 +16,8 @@ from tidemark.plans.registry import query
 from tidemark.plans.series import (
     DRIFT_START, EVENTS_FORECAST_SQL, EVENTS_SQL, ORDER_KEYS, events_forecast, events_series, orders_forecast, read,
 )
+from tidemark.session import new_folder
+from tidemark.sources.stores import load_baseline, save_baseline
 
 NUMERIC, CATEGORICAL = ["price", "feature1"], ["event_type"]
 def cut():
@@ -332,6 +334,60 @@ def batch_check(spark, sf):
     return found.select("method", F.coalesce("feature_name", F.lit("batch")).alias("scope"), "drift_score", verdict.alias("verdict"))
 
 
+FOURIER = 64
+
+
+def fourier_sql(samples: str, features: K.FourierMap) -> str:
+    """The unbiased statistic of (batch, v) rows by random Fourier features; a NULL batch is the reference."""
+    weights, phase = features.weights()
+    rows = ", ".join(f"({k}, {weights[:, k].tolist()}::DOUBLE[], {float(phase[k])!r}::DOUBLE)" for k in range(features.features))
+    return f"""q AS (SELECT batch, row_number() OVER () AS i, v FROM ({samples})),
+ f(k, w, b) AS (VALUES {rows}),
+ z AS (SELECT batch, k, sqrt(2.0::DOUBLE / {features.features}) * cos(list_dot_product(v, w) + b) AS z FROM q, f),
+ m AS (SELECT batch, k, count(*) AS n, sum(z) AS s, sum(z * z) AS q FROM z GROUP BY batch, k),
+ fourier AS (SELECT c.batch, CAST(any_value(r.n) AS BIGINT) AS ref_rows, CAST(any_value(c.n) AS BIGINT) AS cur_rows,
+   (sum(r.s * r.s) - sum(r.q)) / (any_value(r.n) * (any_value(r.n) - 1)) + (sum(c.s * c.s) - sum(c.q)) / (any_value(c.n) * (any_value(c.n) - 1))
+    - 2 * sum(r.s * c.s) / (any_value(r.n) * any_value(c.n)) AS mmd2
+  FROM m r JOIN m c ON r.batch IS NULL AND c.batch IS NOT NULL AND r.k = c.k GROUP BY c.batch HAVING any_value(c.n) > 1)"""
+
+
+def matrix_sql(batch: str) -> str:
+    return f"""SELECT {batch} AS batch, [price, feature1, {', '.join(f"CAST(event_type = '{v}' AS DOUBLE)" for v in KINDS)}, 0.0::DOUBLE] AS v
+  FROM s WHERE price IS NOT NULL AND feature1 IS NOT NULL"""
+
+
+EVENT_FEATURES = K.FourierMap(len(NUMERIC) + len(KINDS) + 1, FOURIER, 50.0)
+
+
+@query(
+    "mmd_stored_sums",
+    f"""WITH s AS ({EVENTS_SQL}), {fourier_sql(matrix_sql(f"CASE WHEN timestamp >= {CUT_SQL} THEN event_id % 4 END"), EVENT_FEATURES)}
+ SELECT CAST(batch AS INTEGER) AS batch, ref_rows, cur_rows, mmd2 FROM fourier""",
+    digits={"mmd2": 9},
+)
+def mmd_stored_sums(spark, sf):
+    """Four batches against the stored sums of a reference that is not read again."""
+    reference, current = drift_windows(spark, sf)
+    folder = new_folder(spark, "baseline")
+    save_baseline(D.fit_baseline(reference, NUMERIC, CATEGORICAL, fourier_features=FOURIER, sigma=EVENT_FEATURES.sigma), folder)
+    baseline = load_baseline(spark, folder)
+    out = None
+    for k in range(4):
+        batch = baseline.vectors(current.where(F.col("event_id") % 4 == k))
+        found = K.fourier_test(baseline.fourier, batch, "v").select(F.lit(k).alias("batch"), "ref_rows", "cur_rows", "mmd2")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("stored_baseline", f"SELECT feature, ref_rows, cur_rows, statistic FROM ({KS_SQL})", digits={"statistic": 9})
+def stored_baseline(spark, sf):
+    """A baseline that was saved and loaded tests like the fitted one."""
+    baseline, current = _baseline(spark, sf, CATEGORICAL)
+    folder = new_folder(spark, "baseline")
+    save_baseline(baseline, folder)
+    return D.ks_test(load_baseline(spark, folder), current).drop("p_value")
+
+
 @query(
     "asof_price",
     """WITH l AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase'),

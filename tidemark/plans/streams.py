@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from tidemark.operators.drift import fit_baseline
 from tidemark.operators.forest import fit_forest
 from tidemark.operators.preprocess import fit_columns
-from tidemark.plans.drifts import CUT_SQL, NUMERIC, cut, drift_windows, gaps_sql
+from tidemark.plans.drifts import (
+    CATEGORICAL, CUT_SQL, EVENT_FEATURES, FOURIER, LONG_SQL, NUMERIC, cut, drift_windows, fourier_sql, gaps_sql, matrix_sql,
+)
 from tidemark.plans.models import SMALL
 from tidemark.plans.registry import query
 from tidemark.plans.series import EVENTS_SQL, events_series, read
 from tidemark.session import new_folder
 from tidemark.streaming import jobs as J
+from tidemark.streaming import monitoring as M
 
 
 def arriving_events(spark, sf):
     schema = read(spark, sf, "events").schema
-    raw = J.read_stream(spark, sf, schema, "events.parquet")
+    return event_fields(J.read_stream(spark, sf, schema, "events.parquet"))
+
+
+def event_fields(raw):
     return raw.select(
         "event_id", F.col("ts").alias("timestamp"), F.col("value").alias("price"), "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("double").alias("feature1"),
@@ -78,14 +84,51 @@ def stream_late(spark, sf):
     out = new_folder(spark, "stream-late")
     events = read(spark, sf, "events").select("event_id", F.col("ts").alias("timestamp"))
     for rest in (0, 1):
-        # one file is one batch; files arrive in the order they were written
-        events.where(F.col("event_id") % 2 == rest).coalesce(1).write.mode("append").parquet(f"{out}/arrived")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived")
-    J.count_late(stream, f"{out}/late", f"{out}/checkpoint").awaitTermination()
+        # each arrival is a batch: the job takes what is there and ends
+        events.where(F.col("event_id") % 2 == rest).write.mode("append").parquet(f"{out}/arrived")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/arrived")
+        J.count_late(stream, f"{out}/late", f"{out}/checkpoint").awaitTermination()
     late = spark.read.parquet(f"{out}/late")
     return late.agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
 
 
+# Six arrivals: the current events by id, and the one with the largest id alone; every second one is checked.
+SLOT_SQL = f"CASE WHEN timestamp >= {CUT_SQL} THEN CASE WHEN event_id = (SELECT max(event_id) FROM s WHERE timestamp >= {CUT_SQL}) THEN 5 ELSE event_id % 5 END END"
+SLOTS_SQL = f"SELECT timestamp, {SLOT_SQL} AS slot, feature, value FROM ({LONG_SQL.replace('SELECT timestamp,', 'SELECT timestamp, event_id,')})"
+
+
+@query(
+    "stream_batch_report",
+    f"""WITH s AS ({EVENTS_SQL}), {gaps_sql(SLOTS_SQL, 'slot')}, {fourier_sql(matrix_sql(SLOT_SQL), EVENT_FEATURES)},
+ b AS (SELECT {SLOT_SQL} AS slot, count(*) AS batch_size FROM s WHERE timestamp >= {CUT_SQL} GROUP BY 1),
+ k AS (SELECT slot, feature, max(abs(gap)) AS statistic FROM g WHERE slot % 2 = 1 GROUP BY slot, feature),
+ r AS (
+  SELECT slot, 'ks' AS method, 'batch' AS scope, max(statistic) AS drift_score, 'ok' AS status FROM k GROUP BY slot
+  UNION ALL SELECT slot, 'ks', feature, statistic, 'ok' FROM k WHERE feature IN ('price', 'feature1')
+  UNION ALL SELECT slot, 'mmd', 'batch', mmd2, CASE WHEN mmd2 IS NULL THEN 'too few rows' ELSE 'ok' END FROM b LEFT JOIN fourier ON batch = slot WHERE slot % 2 = 1
+  UNION ALL SELECT slot, 'nothing', 'batch', NULL, 'unknown method' FROM b WHERE slot % 2 = 1)
+ SELECT CAST(slot + 1 AS BIGINT) AS call, batch_size, slot % 2 = 0 AS check_skipped, method, scope, drift_score, status
+ FROM b LEFT JOIN r USING (slot)""",
+    digits={"drift_score": 9},
+)
+def stream_batch_report(spark, sf):
+    """Reports of arriving batches, one run of the job each, so the counter of the gate outlives the runs."""
+    reference, _ = drift_windows(spark, sf)
+    baseline = fit_baseline(reference, NUMERIC, CATEGORICAL, fourier_features=FOURIER, sigma=EVENT_FEATURES.sigma)
+    events = read(spark, sf, "events")
+    last = events.where(F.col("ts") >= cut()).agg(F.max("event_id")).first()[0]
+    slot = F.when(F.col("event_id") == last, 5).otherwise(F.col("event_id") % 5)
+    out = new_folder(spark, "stream-report")
+    for k in range(6):
+        events.where((F.col("ts") >= cut()) & (slot == k)).write.mode("append").parquet(f"{out}/arrived")
+        arrived = event_fields(J.read_stream(spark, f"{out}/arrived", events.schema))
+        methods = ("ks", "mmd", "nothing")
+        M.monitor_batches(arrived, baseline, f"{out}/reports", f"{out}/checkpoint", every=2, methods=methods).awaitTermination()
+    reports = M.read_reports(spark, f"{out}/reports").select("call", "batch_size", "check_skipped", F.explode_outer("results").alias("r"))
+    scope = F.when(F.col("r").isNotNull(), F.coalesce("r.feature_name", F.lit("batch"))).alias("scope")
+    return reports.select("call", "batch_size", "check_skipped", "r.method", scope, "r.drift_score", "r.status")
+
+
 @query("stream_scoring", "SELECT event_id, '1' AS model_version, TRUE AS inside FROM events")
 def stream_scoring(spark, sf):
     history = events_series(spark, sf)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.drift import Baseline, drift_summary
+from tidemark.operators.mmd import FourierMap, FourierSums
 
 
 VALUE_FILES = 4  # files of one feature at most
@@ -19,10 +21,13 @@ def save_baseline(baseline: Baseline, path: str) -> None:
     dealt.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/counts")
     if baseline.rows is not None:
         baseline.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    if baseline.fourier is not None:
+        _save_sums(spark, baseline.fourier, f"{path}/fourier")
     rows = [("numeric", c, i, None) for i, c in enumerate(baseline.numeric)]
     rows += [("category", c, i, v) for c, vs in baseline.vocabulary.items() for i, v in enumerate(vs)]
     rows += [("categorical", c, i, None) for i, c in enumerate(baseline.vocabulary)]
     rows += [("rows", None, 0, None)] if baseline.rows is not None else []
+    rows += [("fourier", None, 0, None)] if baseline.fourier is not None else []
     spark.createDataFrame(rows, "kind string, feature string, position int, value string").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/columns")
@@ -34,9 +39,29 @@ def load_baseline(spark: SparkSession, path: str) -> Baseline:
     names = sorted((r["position"], r["feature"]) for r in columns if r["kind"] == "categorical")
     vocabulary = {c: [r["value"] for r in columns if r["kind"] == "category" and r["feature"] == c] for _, c in names}
     counts = spark.read.schema("value double, n long, feature string").parquet(f"{path}/counts").select("feature", "value", "n")
-    held = any(r["kind"] == "rows" for r in columns)
-    vectors = spark.read.schema("key string, v array<double>").parquet(f"{path}/rows") if held else None
-    return Baseline(counts, tuple(numeric), vocabulary, vectors)
+    held = {r["kind"] for r in columns}
+    vectors = spark.read.schema("key string, v array<double>").parquet(f"{path}/rows") if "rows" in held else None
+    sums = _load_sums(spark, f"{path}/fourier") if "fourier" in held else None
+    return Baseline(counts, tuple(numeric), vocabulary, vectors, sums)
+
+
+_SUMS = "feature int, n long, total double, second array<double>, width int, features int, sigma double, seed long"
+
+
+def _save_sums(spark: SparkSession, sums: FourierSums, path: str) -> None:
+    """A row per feature; each has the few numbers that define the features."""
+    m = sums.map
+    rows = [
+        (i, sums.rows, float(t), second.tolist(), m.width, m.features, float(m.sigma), m.seed)
+        for i, (t, second) in enumerate(zip(sums.total, sums.second))
+    ]
+    spark.createDataFrame(rows, _SUMS).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _load_sums(spark: SparkSession, path: str) -> FourierSums:
+    rows = sorted(spark.read.schema(_SUMS).parquet(path).collect(), key=lambda r: r["feature"])
+    features = FourierMap(rows[0]["width"], rows[0]["features"], rows[0]["sigma"], rows[0]["seed"])
+    return FourierSums(features, rows[0]["n"], np.array([r["total"] for r in rows]), np.array([r["second"] for r in rows]))
 
 
 def append_results(results: DataFrame, path: str) -> None:

@@ -42,9 +42,9 @@ def _prepare(spark: SparkSession, out: str, schema: str) -> None:
     spark.createDataFrame([], schema).write.mode("ignore").parquet(_batch_folder(out, -1))
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame:
-    """Output of the batches before this one."""
-    return spark.read.schema(f"{schema}, batch_id long").parquet(out).where(F.col("batch_id") < batch_id)
+def _previous(spark: SparkSession, out: str, batch_id: int, schema: str) -> DataFrame:
+    """Output of the batch before this one, the only earlier one that is read."""
+    return spark.read.schema(schema).parquet(_batch_folder(out, batch_id - 1))
 
 
 def _start(frame: DataFrame, work, checkpoint: str, mode: str, **trigger) -> StreamingQuery:
@@ -100,8 +100,11 @@ def monitor_every(
 ) -> StreamingQuery:
     """KS drift of every full group of ``every`` rows, in order of arrival batch, then ``order``.
 
-    The group counter and the rows of the unfinished group are tables keyed
-    by batch id, so a restart goes on where it stopped.
+    The number of groups so far and the rows of the unfinished group are
+    written with each batch, so a restart goes on where it stopped.  A batch
+    reads those of the batch before it and empties the waiting rows of the
+    one before that: what is kept and read has less than ``every`` rows,
+    however many batches there were.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     pending, counters, results = f"{out}/pending", f"{out}/counters", f"{out}/results"
@@ -118,10 +121,9 @@ def monitor_every(
 
     def _check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _earlier(spark, counters, batch_id, "done long")
-        done = before.agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
-        last = before.agg(F.max("batch_id")).first()[0]
-        waiting = _earlier(spark, pending, batch_id, fields).where(F.col("batch_id") == F.lit(last))
+        before = _previous(spark, counters, batch_id, "done long").first()
+        done = before["done"] if before else 0
+        waiting = _previous(spark, pending, batch_id, fields)
         rows = waiting.select(F.lit(0).alias("__late"), *stream.columns).unionByName(
             batch.select(F.lit(1).alias("__late"), *stream.columns)
         )
@@ -135,7 +137,9 @@ def monitor_every(
             values = feature_values(baseline, gated, ["gate"]).withColumn(WEIGHT, F.lit(1))
             tests = ks_from_counts(baseline, values, ["gate"]).withColumn("is_drift", F.col("p_value") < threshold)
             tests.write.mode("overwrite").parquet(_batch_folder(results, batch_id))
-        spark.createDataFrame([(full,)], "done long").coalesce(1).write.mode("overwrite").parquet(
+        if batch_id > 1:  # batch - 1 stays, so that the table can be read
+            spark.createDataFrame([], fields).write.mode("overwrite").parquet(_batch_folder(pending, batch_id - 2))
+        spark.createDataFrame([(done + full,)], "done long").coalesce(1).write.mode("overwrite").parquet(
             _batch_folder(counters, batch_id)
         )
 
@@ -145,17 +149,20 @@ def monitor_every(
 def count_late(
     stream: DataFrame, out: str, checkpoint: str, time: str = "timestamp", delay: str = "1 hour", **trigger
 ) -> StreamingQuery:
-    """Side table of late rows: per batch, the rows older than the newest earlier row minus ``delay``."""
+    """Side table of late rows: per batch, the rows older than the newest earlier row minus ``delay``.
+
+    ``newest`` is the newest time up to the batch, so a batch reads the row of the one before it only.
+    """
     schema = "rows long, late long, newest timestamp"
     _prepare(stream.sparkSession, out, schema)
 
     def count(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(batch.sparkSession, out, batch_id, schema)
-        newest = seen.agg(F.max("newest")).first()[0]
+        before = _previous(batch.sparkSession, out, batch_id, schema).first()
+        newest = before["newest"] if before else None
         ts = F.col(time).cast("timestamp")
         edge = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         late = F.count_if(ts < edge) if newest is not None else F.lit(0).cast("long")
-        row = batch.agg(F.count(F.lit(1)).alias("rows"), late.alias("late"), F.max(ts).alias("newest"))
+        row = batch.agg(F.count(F.lit(1)).alias("rows"), late.alias("late"), F.greatest(F.max(ts), F.lit(newest).cast("timestamp")).alias("newest"))
         row.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return _start(stream, count, checkpoint, "append", **trigger)
