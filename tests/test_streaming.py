@@ -45,7 +45,7 @@ def test_windows_and_restart(spark, source, tmp_path):
     for i, rows in enumerate(files):
         write(spark, folder, f"f{i}", rows)
         J.monitor_windows(stream(spark, folder), base, out, check).awaitTermination()
-    got = {r.window_start.date(): r for r in spark.read.parquet(out).collect()}
+    got = {r.window_start.date(): r for r in spark.read.parquet(f"{out}/results").collect()}
     # 150 hours of data; the watermark closes six whole days
     assert sorted(d.day for d in got) == [1, 2, 3, 4, 5, 6]
     assert all(r.cur_rows == 48 for r in got.values())
@@ -54,6 +54,24 @@ def test_windows_and_restart(spark, source, tmp_path):
     assert np.isclose(got[dt.date(2024, 3, 3)].statistic, want.statistic)
 
 
+def test_window_state_is_the_open_windows(spark, source, tmp_path):
+    """What a batch leaves for the next is its newest time and the open windows; late rows are counted, not tested."""
+    folder, files = source
+    ref = spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).normal(size=200)], "x double")
+    base, out = D.fit_baseline(ref, ["x"]), str(tmp_path / "out")
+    for i, rows in enumerate(files):
+        write(spark, folder, f"f{i}", rows)
+        J.monitor_windows(stream(spark, folder), base, out, str(tmp_path / "check")).awaitTermination()
+    state = {r.batch_id: r for r in spark.read.parquet(f"{out}/windows").where("batch_id >= 0").collect()}
+    days = {k: [(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=w)).day for w in r.open] for k, r in state.items()}
+    assert days == {0: [3], 1: [5], 2: [7]} and [state[k].late for k in range(3)] == [0, 0, 2]
+    # the log holds counts of values by window and batch, each batch once even if it runs again
+    log = spark.read.parquet(f"{out}/log")
+    assert log.agg(F.sum(D.WEIGHT)).first()[0] == 300
+    results = spark.read.parquet(f"{out}/results")
+    assert results.count() == results.select("window_start", "feature").distinct().count() == 6
+
+
 def test_every_n_over_batches(spark, source, tmp_path):
     folder, files = source
     ref = spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).normal(size=200)], "x double")

@@ -47,7 +47,7 @@ def stream_drift(spark, sf):
     baseline = fit_baseline(reference, NUMERIC)
     out = new_folder(spark, "stream-drift")
     current = arriving_events(spark, sf).where(F.col("timestamp") >= cut())
-    J.monitor_windows(current, baseline, f"{out}/results", f"{out}/checkpoint").awaitTermination()
+    J.monitor_windows(current, baseline, out, f"{out}/checkpoint").awaitTermination()
     results = spark.read.parquet(f"{out}/results")
     return results.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "feature", "cur_rows", "statistic")
 

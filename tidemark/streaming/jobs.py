@@ -52,6 +52,9 @@ def _start(frame: DataFrame, work, checkpoint: str, mode: str, **trigger) -> Str
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+_OPEN = "newest timestamp, open array<long>, late long"
+
+
 def monitor_windows(
     stream: DataFrame,
     baseline: Baseline,
@@ -63,29 +66,57 @@ def monitor_windows(
     threshold: float = 0.05,
     **trigger,
 ) -> StreamingQuery:
-    """KS drift per closed event-time window and feature.
+    """KS drift per closed event-time window and feature, in ``{out}/results``.
 
-    The state holds value counts per open window; a window is tested once,
-    when the watermark passes its end.  Rows later than ``delay`` are not
-    counted (see ``count_late``).
+    Every batch counts its values by window and adds the counts to a log that is partitioned by window; the log is in
+    files, so no state store holds values.  A window is tested once, from its part of the log, in the batch whose newest
+    time less ``delay`` passes its end.  What a batch needs of earlier ones is the row of the batch before it: the newest
+    time and the windows that are open.  Rows of windows that were closed before the batch are late; they are counted in
+    ``{out}/windows`` and not tested.  A batch that runs again replaces its part of the log and its results.
     """
-    _prepare(stream.sparkSession, out, f"window_start timestamp, {TESTS}")
-    timed = stream.withColumn("__ts", F.col(time).cast("timestamp")).withWatermark("__ts", delay)
-    counts = feature_values(baseline, timed, ["__ts"]).groupBy(F.window("__ts", window), "feature", "value").agg(
-        F.count(F.lit(1)).alias(WEIGHT)
-    )
-    closed = counts.select(F.col("window.start").alias("window_start"), "feature", "value", WEIGHT)
-
-    def test(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    log, results, windows = f"{out}/log", f"{out}/results", f"{out}/windows"
+    _prepare(stream.sparkSession, results, f"window_start timestamp, {TESTS}")
+    _prepare(stream.sparkSession, windows, _OPEN)
+    begin = F.window("__ts", window)["start"]
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _previous(spark, windows, batch_id, _OPEN).first()
+        newest, opened = (before["newest"], before["open"]) if before else (None, [])
+        timed = batch.withColumn("__ts", F.col(time).cast("timestamp")).where(F.col("__ts").isNotNull())
+        timed = timed.withColumn("__end", F.window("__ts", window)["end"]).persist()
         try:
-            tests = ks_from_counts(baseline, batch, ["window_start"])
-            verdict = tests.withColumn("is_drift", F.col("p_value") < threshold)
-            verdict.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+            last = F.lit(newest).cast("timestamp")
+            closed_before = F.coalesce(F.col("__end") <= last - F.expr(f"INTERVAL {delay}"), F.lit(False))
+            seen = timed.agg(
+                F.greatest(F.max("__ts"), last).alias("newest"),
+                F.count_if(closed_before).alias("late"),
+                F.collect_set(F.when(~closed_before, F.unix_micros(begin))).alias("windows"),
+            ).first()
+            part = feature_values(baseline, timed.where(~closed_before).withColumn("window_start", F.unix_micros(begin)), ["window_start"])
+            counts = part.groupBy("window_start", "feature", "value").agg(F.count(F.lit(1)).alias(WEIGHT))
+            logged = counts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            logged.partitionBy("window_start", "batch_id").parquet(log)
         finally:
-            batch.unpersist()
-
-    return _start(closed, test, checkpoint, "append", **trigger)
+            timed.unpersist()
+        every = spark.createDataFrame([(w,) for w in sorted({*opened, *seen["windows"]})], "w long")
+        ends = F.window(F.timestamp_micros("w"), window)["end"]
+        done = F.coalesce(ends <= F.lit(seen["newest"]).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        split = [(r["w"], r["done"]) for r in every.select("w", done.alias("done")).collect()]
+        over, still = [w for w, d in split if d], [w for w, d in split if not d]
+        if over:
+            parts = spark.read.schema(f"feature string, value double, {WEIGHT} long, window_start long, batch_id long").option("basePath", log)
+            mine = parts.parquet(*[f"{log}/window_start={w}" for w in over]).where(F.col("batch_id") <= batch_id)
+            summed = mine.groupBy("window_start", "feature", "value").agg(F.sum(WEIGHT).alias(WEIGHT))
+            closed = summed.withColumn("window_start", F.timestamp_micros("window_start"))
+            tests = ks_from_counts(baseline, closed, ["window_start"]).withColumn("is_drift", F.col("p_value") < threshold)
+        else:
+            tests = spark.createDataFrame([], f"window_start timestamp, {TESTS}")
+        tests.write.mode("overwrite").parquet(_batch_folder(results, batch_id))
+        state = spark.createDataFrame([(seen["newest"], still, seen["late"])], _OPEN)
+        state.coalesce(1).write.mode("overwrite").parquet(_batch_folder(windows, batch_id))
+
+    return _start(stream, work, checkpoint, "append", **trigger)
 
 
 def monitor_every(
