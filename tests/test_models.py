@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import forest as R
 from tidemark.operators.preprocess import fit_columns
+from tidemark.operators import quantile_forest as Q
 from tidemark.operators.quantile_forest import fit_quantile_forest
 from tidemark.operators.scoring import score_table
 from tidemark.plans.training import train
@@ -89,7 +90,10 @@ def test_forest_backtest(table):
     assert all((r.lo, r.hi) == (200 + 50 * (r.period - 1), 249 + 50 * (r.period - 1)) for r in spans)
 
 
-def test_quantile_forest_is_the_weighted_quantile(table):
+@pytest.mark.parametrize("cells", [64, 4])
+def test_quantile_forest_is_the_weighted_quantile(table, monkeypatch, cells):
+    """In one or two levels of digits, and in several."""
+    monkeypatch.setattr(Q, "CELLS", cells)
     df, columns = table
     qs = (0.1, 0.5, 0.9)
     forest = fit_quantile_forest(df.where("id < 300"), columns, "price", qs, R.ForestParams(6, 4, 2, 5))
@@ -111,6 +115,28 @@ def test_quantile_forest_is_the_weighted_quantile(table):
         forest.predict_quantile(df, "id", 0.3)
 
 
+def test_quantile_work_does_not_grow_with_the_training_rows(spark):
+    """One leaf that holds ten times the rows: a level still looks at CELLS weights for each row, tree and quantile."""
+    rng = np.random.default_rng(3)
+    scored = spark.createDataFrame([(i, float(i)) for i in range(5)], "id long, a double")
+    looked = {}
+    for n in (2_000, 20_000):
+        train = spark.createDataFrame([(i, float(i % 7), float(v)) for i, v in enumerate(rng.normal(size=n))], "id long, a double, y double")
+        forest = fit_quantile_forest(train, fit_columns(train, ["a"]), "y", (0.5,), R.ForestParams(2, 1, 2, 5))
+        leaves = Q._leaves(forest.model, scored, ["id"])
+        chosen = scored.select("id", F.lit(0.5).alias("q"), F.lit(0).cast("long").alias("parent"), F.lit(0.0).alias("before"))
+        sizes = []
+        for level in range(forest.depth):
+            seen = forest.candidates(leaves, chosen.drop("y"), "id", level)
+            sizes.append(seen.count())
+            chosen = forest.choose(seen, "id")
+        looked[n] = sizes
+        assert max(sizes) <= 5 * 2 * Q.CELLS
+        direct = {r.id: r.quantiles[0.5] for r in forest.predict(scored, "id").collect()}
+        assert direct == {r.id: r.y for r in chosen.collect()}
+    assert len(looked[2_000]) == 2 and len(looked[20_000]) == 3
+
+
 def test_training_job(spark, table, tmp_path):
     df, _ = table
     done = train(

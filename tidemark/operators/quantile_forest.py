@@ -1,11 +1,13 @@
 """Quantiles from a random forest (Meinshausen, 2006).
 
 The forest is an ordinary one; a scored row's quantile is the weighted
-quantile of the training targets that share its leaves.  Leaves are
-summarised by counts per target value.  Scoring first finds the target
-*cell* (one of ``CELLS`` target intervals) that holds the quantile from
-per-cell weights, then looks only at the values inside that cell, so a large
-leaf is never expanded for each scored row; the result is still exact.
+quantile of the training targets that share its leaves.  The distinct targets
+are numbered in order, and every leaf holds its weights by number, once for
+each level of digits to the base ``CELLS``.  Scoring selects digit by digit:
+at a level a row adds up at most ``CELLS`` weights of each of its leaves, those
+below the digits it has chosen so far, and goes down into the one cell that
+holds the quantile.  So a row never meets the values of a large leaf, however
+many training rows there are, and the result is still exact.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.forest import ForestParams, fit_forest
+from tidemark.operators.ordering import GroupShape, positions
 from tidemark.operators.preprocess import FittedColumns
 from tidemark.session import materialize
 
@@ -36,7 +39,8 @@ def _leaves(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFra
 class QuantileForest:
     model: PipelineModel
     quantiles: tuple[float, ...]
-    leaf_values: DataFrame  # tree, leaf, cell, y, w
+    weights: DataFrame  # level, tree, leaf, parent, cell, y, w: the digits above a level and at it; y is exact at the last
+    depth: int
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         """(key, quantiles) with a map quantile -> value."""
@@ -49,25 +53,27 @@ class QuantileForest:
             raise ValueError(f"quantile {quantile} was not fitted")
         return self._values(df, key, (quantile,)).select(key, F.col("y").alias("y_pred"))
 
+    def candidates(self, leaves: DataFrame, chosen: DataFrame, key: str, level: int) -> DataFrame:
+        """The weights that a level looks at: at most ``CELLS`` for each leaf of a row and quantile."""
+        here = self.weights.where(F.col("level") == level).drop("level")
+        return leaves.join(chosen, key).join(here, ["tree", "leaf", "parent"])
+
+    def choose(self, candidates: DataFrame, key: str) -> DataFrame:
+        """(key, q, parent, before, y): the first cell that reaches the quantile, as the parent of the next level."""
+        summed = candidates.groupBy(key, "q", "before", "cell").agg(F.sum("w").alias("w"), F.min("y").alias("y"))
+        upto = Window.partitionBy(key, "q").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        reached = summed.withColumn("cum", F.col("before") + F.sum("w").over(upto)).where(F.col("cum") >= F.col("q") - EPSILON)
+        first = reached.groupBy(key, "q").agg(F.min_by(F.struct("cell", (F.col("cum") - F.col("w")).alias("before"), "y"), "cell").alias("s"))
+        return first.select(key, "q", F.col("s.cell").alias("parent"), "s.before", "s.y")
+
     def _values(self, df: DataFrame, key: str, quantiles: Sequence[float]) -> DataFrame:
-        leaves = _leaves(self.model, df, [key])
-        cells = self.leaf_values.groupBy("tree", "leaf", "cell").agg(F.sum("w").alias("w"))
-        mass = leaves.join(cells, ["tree", "leaf"]).groupBy(key, "cell").agg(F.sum("w").alias("w"))
-        upto = Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        leaves = materialize(_leaves(self.model, df, [key]))
         qs = F.array(*[F.lit(float(q)) for q in quantiles])
-        at = (
-            mass.withColumn("cum", F.sum("w").over(upto))
-            .select(key, "cell", (F.col("cum") - F.col("w")).alias("before"), "cum", F.explode(qs).alias("q"))
-            .where((F.col("cum") >= F.col("q") - EPSILON))
-            .groupBy(key, "q")
-            .agg(F.min_by(F.struct("cell", "before"), "cell").alias("s"))
-            .select(key, "q", "s.cell", "s.before")
-        )
-        inside = leaves.join(at, key).join(self.leaf_values, ["tree", "leaf", "cell"])
-        weights = inside.groupBy(key, "q", "before", "y").agg(F.sum("w").alias("w"))
-        running = Window.partitionBy(key, "q").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-        reached = weights.withColumn("cum", F.col("before") + F.sum("w").over(running))
-        return reached.where(F.col("cum") >= F.col("q") - EPSILON).groupBy(key, "q").agg(F.min("y").alias("y"))
+        start = F.lit(0).cast("long").alias("parent"), F.lit(0.0).alias("before")
+        chosen = leaves.where("tree = 0").select(key, F.explode(qs).alias("q"), *start)
+        for level in range(self.depth):
+            chosen = self.choose(self.candidates(leaves, chosen.drop("y"), key, level), key)
+        return chosen.select(key, "q", "y")
 
 
 def fit_quantile_forest(
@@ -78,18 +84,27 @@ def fit_quantile_forest(
     params: ForestParams = ForestParams(),
 ) -> QuantileForest:
     model = fit_forest(train, columns, target, params, leaf="leaf")
-    y = F.col(target).cast("double")
-    rows = train.where(F.col(target).isNotNull())
-    # any cut points do: they only decide how finely the search is split
-    cuts = rows.agg(F.percentile_approx(y, [i / CELLS for i in range(1, CELLS)])).first()[0]
-    cut_array = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-    with_cell = rows.withColumn("__y", y).withColumn("__cell", F.size(F.filter(cut_array, lambda c: c < F.col("__y"))))
-    counts = (
-        _leaves(model, with_cell, [F.col("__y").alias("y"), F.col("__cell").alias("cell")])
-        .groupBy("tree", "leaf", "cell", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rows = train.where(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("double"))
+    counts = _leaves(model, rows, [F.col("__y").alias("y")]).groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts)
+    values = materialize(counts.select("y").distinct())
+    n = values.count()
+    numbered = positions(values, ["y"], name="cell", shape=GroupShape(n, 1, n))
     totals = counts.groupBy("tree", "leaf").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total") / F.lit(float(params.n_estimators))
-    leaf_values = counts.join(totals, ["tree", "leaf"]).select("tree", "leaf", "cell", "y", share.alias("w"))
-    return QuantileForest(model, tuple(quantiles), materialize(leaf_values))
+    lowest = materialize(
+        counts.join(totals, ["tree", "leaf"]).join(numbered, "y").select("tree", "leaf", "cell", "y", share.alias("w"))
+    )
+    depth = 1
+    while CELLS**depth < n:
+        depth += 1
+    levels = None
+    for level in range(depth):
+        below = CELLS ** (depth - 1 - level)  # numbers in a cell of this level
+        cell = F.floor(F.col("cell") / F.lit(below)).cast("long")
+        one = lowest.groupBy("tree", "leaf", cell.alias("cell")).agg(F.min("y").alias("y"), F.sum("w").alias("w"))
+        one = one.select(
+            F.lit(level).alias("level"), "tree", "leaf", F.floor(F.col("cell") / F.lit(CELLS)).cast("long").alias("parent"), "cell", "y", "w"
+        )
+        levels = one if levels is None else levels.unionByName(one)
+    return QuantileForest(model, tuple(quantiles), materialize(levels), depth)
