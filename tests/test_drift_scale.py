@@ -111,3 +111,42 @@ def test_mmd_without_drift(spark):
     assert not K.random_features(df, "v", F.col("ref"), "id").first().is_drift
     with pytest.raises(ValueError):
         K.blocked(df.where("ref OR id = 80"), "v", F.col("ref"), "id")
+
+
+def test_many_categories(spark, tmp_path):
+    """Fifty thousand categories, some unknown to the reference and some missing: counts alone decide."""
+    from tidemark.sources.stores import load_baseline, save_baseline
+
+    rng = np.random.default_rng(6)
+    kinds = 50_000
+    ref = np.concatenate([np.arange(kinds), rng.integers(0, 40, 30_000)])
+    cur = np.concatenate([rng.integers(0, 60, 20_000), np.arange(kinds, kinds + 500)])
+    frame = lambda values: spark.createDataFrame(
+        pd.DataFrame({"c": [None if v % 1000 == 999 else f"k{v}" for v in values], "x": 1.0})
+    )
+    fitted = D.fit_baseline(frame(ref), ["x"], ["c"])
+    assert fitted.vocabulary is None and fitted.n_features == 1 + (kinds - 50) + 1
+    save_baseline(fitted, str(tmp_path))
+    got = {r.feature: r for r in D.ks_test(load_baseline(spark, str(tmp_path)), frame(cur)).collect()}
+    assert len(got) == fitted.n_features
+    share = lambda values, k: np.mean((values == k) & (values % 1000 != 999))
+    for k in [*range(60), 998, 1000, 49_998]:
+        assert np.isclose(got[f"c_k{k}"].statistic, abs(share(ref, k) - share(cur, k)))
+        assert (got[f"c_k{k}"].ref_rows, got[f"c_k{k}"].cur_rows) == (len(ref), len(cur))
+    unknown = np.mean((cur >= kinds) & (cur % 1000 != 999))
+    assert np.isclose(got["c_unknown"].statistic, unknown) and unknown > 0
+    with pytest.raises(ValueError):
+        fitted.matrix(frame(cur))
+
+
+def test_categories_by_window(spark):
+    """Counts by window agree with tests of each window alone, also where a window lacks a category."""
+    rng = np.random.default_rng(7)
+    make = lambda n, kinds: [(int(rng.integers(0, 4)), str(rng.choice(kinds)), float(rng.normal())) for _ in range(n)]
+    base = D.fit_baseline(spark.createDataFrame(make(300, ["a", "b", "z"]), "w int, c string, x double"), ["x"], ["c"])
+    cur = spark.createDataFrame(make(200, ["a", "b", "new"]) + [(9, None, 0.5)], "w int, c string, x double")
+    by = {(r.w, r.feature): (r.statistic, r.cur_rows) for r in D.ks_test(base, cur, ["w"]).collect()}
+    for w in (0, 9):
+        for r in D.ks_test(base, cur.where(f"w = {w}")).collect():
+            assert np.isclose(by[w, r.feature][0], r.statistic) and by[w, r.feature][1] == r.cur_rows
+    assert len(by) == 5 * 5

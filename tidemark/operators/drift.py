@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import mmd
 from tidemark.operators.clean import long_form
 from tidemark.operators.ordering import ROWS_PER_RANGE, cumulative_counts, group_shape, over_order
-from tidemark.operators.preprocess import vocabularies
+from tidemark.operators.preprocess import MAX_CATEGORIES
 from tidemark.session import materialize
 
 KOLMOGOROV_TERMS = 100
@@ -38,23 +38,30 @@ def drift_matrix(df: DataFrame, numeric: Sequence[str], vocabulary: dict[str, li
 
 @dataclass(frozen=True)
 class Baseline:
-    """What later checks need of the reference: value counts per feature, the category vocabulary, and for MMD its summed
+    """What later checks need of the reference: value counts per feature, the known categories, and for MMD its summed
     Fourier features or its rows.
     """
 
     counts: DataFrame
     numeric: tuple[str, ...]
-    vocabulary: dict[str, list[str]]
+    vocabulary: dict[str, list[str]] | None  # None for more than ``MAX_CATEGORIES``, which a matrix cannot have
     rows: DataFrame | None = None  # (key, v): the reference rows as vectors, which MMD compares
     fourier: mmd.FourierSums | None = None  # of a fixed size, so that a check reads its batch only
+    categorical: tuple[str, ...] = ()
+    known: DataFrame | None = None  # (feature, value): the categories of the reference
+    n_features: int = 0
 
     @property
     def features(self) -> list[str]:
-        known = [f"{c}_{v}" for c, vs in self.vocabulary.items() for v in [*vs, "unknown"]]
-        return [*self.numeric, *known]
+        return [*self.numeric, *[f"{c}_{v}" for c, vs in self._vocabulary().items() for v in [*vs, "unknown"]]]
+
+    def _vocabulary(self) -> dict[str, list[str]]:
+        if self.vocabulary is None:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories have no matrix")
+        return self.vocabulary
 
     def matrix(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return drift_matrix(df, self.numeric, self.vocabulary, keep)
+        return drift_matrix(df, self.numeric, self._vocabulary(), keep)
 
     def vectors(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """(key, v) of the rows whose features are all present."""
@@ -82,16 +89,18 @@ def fit_baseline(
     ``fourier_features`` is the number of random features that MMD checks are to have; their sums have a fixed size.
     ``key`` names a row; with it the baseline also holds the reference rows, for MMD by blocks.
     """
-    present = [c for c in categorical if c in reference.columns]
-    vocabulary = vocabularies(reference, present)
-    matrix = drift_matrix(reference, numeric, vocabulary)
-    values = long_form(matrix, matrix.columns).where("value IS NOT NULL AND NOT isnan(value)")
-    counts = materialize(values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    fitted = Baseline(counts, tuple(c for c in numeric if c in reference.columns), vocabulary)
+    present = tuple(c for c in categorical if c in reference.columns)
+    present_numeric = tuple(c for c in numeric if c in reference.columns)
+    by_category = materialize(_category_counts(reference, present))
+    known = by_category.where("value IS NOT NULL").select("feature", "value")
+    counts = materialize(
+        _numeric_counts(reference, present_numeric).unionByName(_indicator_counts(by_category, known)).withColumnRenamed(WEIGHT, "n")
+    )
+    fitted = known_categories(Baseline(counts, present_numeric, None, categorical=present, known=known))
     if key:
         fitted = replace(fitted, rows=materialize(fitted.vectors(reference, key)))
     if fourier_features:
-        features = mmd.FourierMap(len(fitted.features), fourier_features, sigma)
+        features = mmd.FourierMap(fitted.n_features, fourier_features, sigma)
         whole = fitted.rows if key else fitted.vectors(reference)
         fitted = replace(fitted, fourier=mmd.fourier_sums(whole, "v", features))
     return fitted
@@ -117,17 +126,61 @@ def _distribution_gap(pairs: DataFrame, by: Sequence[str], rows_per_range: int |
     )
 
 
-def feature_values(baseline: Baseline, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., feature, value) rows of the drift matrix; also works on a stream."""
-    matrix = baseline.matrix(current, by)
-    values = long_form(matrix, [c for c in matrix.columns if c not in by], keep=by)
-    return values.where("value IS NOT NULL AND NOT isnan(value)")
+def known_categories(baseline: Baseline) -> Baseline:
+    """The baseline with the number of its features, and with its categories as lists where they are few."""
+    found = baseline.known.limit(MAX_CATEGORIES + 1).collect()
+    n = len(found) if len(found) <= MAX_CATEGORIES else baseline.known.count()
+    few = {c: sorted(r["value"] for r in found if r["feature"] == c) for c in baseline.categorical} if n == len(found) else None
+    return replace(baseline, vocabulary=few, n_features=len(baseline.numeric) + n + len(baseline.categorical))
+
+
+def _numeric_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    schema_keys = [*by, "feature", "value"]
+    if not columns:
+        return long_form(df.limit(0).withColumn("__none", F.lit(0.0)), ["__none"], keep=by).withColumn(WEIGHT, F.lit(0).cast("long"))
+    values = long_form(df, columns, keep=by).where("value IS NOT NULL AND NOT isnan(value)")
+    return values.groupBy(*schema_keys).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def _category_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, value, weight): rows by category, NULL among them."""
+    if not columns:
+        return long_form(df.limit(0).withColumn("__none", F.lit("")), ["__none"], "string", by).withColumn(WEIGHT, F.lit(0).cast("long"))
+    return long_form(df, columns, "string", by).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def _indicator_counts(counts: DataFrame, known: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Value counts of the 0/1 columns of the known categories and of ``<c>_unknown``, from rows by category.
+
+    Of ``rows`` rows ``n`` have the category, so the column is 1 in ``n`` and 0 in the others; the columns are never made.
+    """
+    keys = [*by, "feature"]
+    total = counts.groupBy(*keys).agg(F.sum(WEIGHT).alias("rows"))
+    present = counts.where("value IS NOT NULL")
+    own = total.join(known, "feature").join(present, [*keys, "value"], "left")
+    own = own.select(*by, F.concat_ws("_", "feature", "value").alias("name"), "rows", F.coalesce(WEIGHT, F.lit(0)).alias("n"))
+    strange = present.join(known, ["feature", "value"], "left_anti").groupBy(*keys).agg(F.sum(WEIGHT).alias("n"))
+    strange = total.join(strange, keys, "left")
+    strange = strange.select(*by, F.concat_ws("_", "feature", F.lit("unknown")).alias("name"), "rows", F.coalesce("n", F.lit(0)).alias("n"))
+    cells = [F.struct(F.lit(1.0).alias("value"), F.col("n").alias(WEIGHT)), F.struct(F.lit(0.0).alias("value"), (F.col("rows") - F.col("n")).alias(WEIGHT))]
+    both = own.unionByName(strange).select(*by, F.col("name").alias("feature"), F.inline(F.array(*cells)))
+    return both.where(F.col(WEIGHT) > 0)
+
+
+def feature_counts(baseline: Baseline, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, value, ``WEIGHT``): the drift matrix of ``current`` as value counts.
+
+    Rows are counted by value or category before anything moves; counts of parts of the rows can be added.
+    """
+    numeric = _numeric_counts(current, [c for c in baseline.numeric if c in current.columns], by)
+    present = [c for c in baseline.categorical if c in current.columns]
+    return numeric.unionByName(_indicator_counts(_category_counts(current, present, by), baseline.known, by)) if present else numeric
 
 
 def sample_pairs(baseline: Baseline, current: DataFrame) -> DataFrame:
     """Weighted (feature, value) rows of both samples."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    cur = feature_values(baseline, current).select("feature", "value", zero.alias("w_ref"), one.alias("w_cur"))
+    zero = F.lit(0).cast("long")
+    cur = feature_counts(baseline, current).select("feature", "value", zero.alias("w_ref"), F.col(WEIGHT).alias("w_cur"))
     ref = baseline.counts.select("feature", "value", F.col("n").alias("w_ref"), zero.alias("w_cur"))
     return ref.unionByName(cur)
 
@@ -166,8 +219,7 @@ def ks_test(
         raise ValueError(f"alternative must be one of {ALTERNATIVES}")
     keys = [*by, "feature"]
     if by:
-        weighted = feature_values(baseline, current, by).withColumn(WEIGHT, F.lit(1))
-        gaps = _window_gaps(baseline, weighted, by, rows_per_range)
+        gaps = _window_gaps(baseline, feature_counts(baseline, current, by), by, rows_per_range)
     else:
         gaps = _distribution_gap(sample_pairs(baseline, current), keys, rows_per_range)
     return _ks_result(gaps, keys, alternative)
@@ -283,7 +335,7 @@ def check_batch(
         tests = ks_test(baseline, current, **limits)
         batch = tests.agg(F.max("statistic").alias("statistic"), F.min("p_value").alias("p_value")).select(
             F.lit(None).cast("string").alias("feature"), "statistic", "p_value",
-            F.lit(threshold / max(len(baseline.features), 1)).alias("level"),
+            F.lit(threshold / max(baseline.n_features, 1)).alias("level"),
         )
         rows = batch
         if per_feature:

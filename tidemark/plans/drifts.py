@@ -108,7 +108,7 @@ def ks_one_sided(spark, sf):
 )
 def feature_drift(spark, sf):
     baseline, current = _baseline(spark, sf, CATEGORICAL)
-    tests = D.with_verdict(D.ks_test(baseline, current), len(baseline.features))
+    tests = D.with_verdict(D.ks_test(baseline, current), baseline.n_features)
     return tests.drop("ref_rows", "cur_rows")
 
 

@@ -7,25 +7,25 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.drift import Baseline, drift_summary
+from tidemark.operators.drift import Baseline, drift_summary, known_categories
 from tidemark.operators.mmd import FourierMap, FourierSums
 
 
-VALUE_FILES = 4  # files of one feature at most
+VALUE_PARTS = 4  # tasks that share the values of one feature at most
 
 
 def save_baseline(baseline: Baseline, path: str) -> None:
     spark = baseline.counts.sparkSession
-    # one task writes a feature's file, but for features with very many values
-    dealt = baseline.counts.repartition("feature", F.pmod(F.xxhash64("value"), F.lit(VALUE_FILES)))
-    dealt.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/counts")
+    # sorted by feature, so a reader of some features skips row groups; a folder per feature would not do for many categories
+    dealt = baseline.counts.repartition("feature", F.pmod(F.xxhash64("value"), F.lit(VALUE_PARTS)))
+    dealt.sortWithinPartitions("feature", "value").write.mode("overwrite").parquet(f"{path}/counts")
     if baseline.rows is not None:
         baseline.rows.write.mode("overwrite").parquet(f"{path}/rows")
     if baseline.fourier is not None:
         _save_sums(spark, baseline.fourier, f"{path}/fourier")
+    baseline.known.write.mode("overwrite").parquet(f"{path}/categories")
     rows = [("numeric", c, i, None) for i, c in enumerate(baseline.numeric)]
-    rows += [("category", c, i, v) for c, vs in baseline.vocabulary.items() for i, v in enumerate(vs)]
-    rows += [("categorical", c, i, None) for i, c in enumerate(baseline.vocabulary)]
+    rows += [("categorical", c, i, None) for i, c in enumerate(baseline.categorical)]
     rows += [("rows", None, 0, None)] if baseline.rows is not None else []
     rows += [("fourier", None, 0, None)] if baseline.fourier is not None else []
     spark.createDataFrame(rows, "kind string, feature string, position int, value string").coalesce(1).write.mode(
@@ -37,12 +37,12 @@ def load_baseline(spark: SparkSession, path: str) -> Baseline:
     columns = spark.read.parquet(f"{path}/columns").orderBy("kind", "feature", "position").collect()
     numeric = [r["feature"] for r in sorted((r for r in columns if r["kind"] == "numeric"), key=lambda r: r["position"])]
     names = sorted((r["position"], r["feature"]) for r in columns if r["kind"] == "categorical")
-    vocabulary = {c: [r["value"] for r in columns if r["kind"] == "category" and r["feature"] == c] for _, c in names}
+    known = spark.read.schema("feature string, value string").parquet(f"{path}/categories")
     counts = spark.read.schema("value double, n long, feature string").parquet(f"{path}/counts").select("feature", "value", "n")
     held = {r["kind"] for r in columns}
     vectors = spark.read.schema("key string, v array<double>").parquet(f"{path}/rows") if "rows" in held else None
     sums = _load_sums(spark, f"{path}/fourier") if "fourier" in held else None
-    return Baseline(counts, tuple(numeric), vocabulary, vectors, sums)
+    return known_categories(Baseline(counts, tuple(numeric), None, vectors, sums, tuple(c for _, c in names), known))
 
 
 _SUMS = "feature int, n long, total double, second array<double>, width int, features int, sigma double, seed long"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.drift import WEIGHT, Baseline, feature_values, ks_from_counts
+from tidemark.operators.drift import WEIGHT, Baseline, feature_counts, ks_from_counts
 from tidemark.operators.ordering import GroupShape, positions
 from tidemark.operators.preprocess import FittedColumns
 from tidemark.operators.scoring import score_table
@@ -93,8 +93,7 @@ def monitor_windows(
                 F.count_if(closed_before).alias("late"),
                 F.collect_set(F.when(~closed_before, F.unix_micros(begin))).alias("windows"),
             ).first()
-            part = feature_values(baseline, timed.where(~closed_before).withColumn("window_start", F.unix_micros(begin)), ["window_start"])
-            counts = part.groupBy("window_start", "feature", "value").agg(F.count(F.lit(1)).alias(WEIGHT))
+            counts = feature_counts(baseline, timed.where(~closed_before).withColumn("window_start", F.unix_micros(begin)), ["window_start"])
             logged = counts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             logged.partitionBy("window_start", "batch_id").parquet(log)
         finally:
@@ -165,7 +164,7 @@ def monitor_every(
         rest.write.mode("overwrite").parquet(_batch_folder(pending, batch_id))
         gated = placed.where(F.col("__p") < full * every).withColumn("gate", F.floor(F.col("__p") / every) + done)
         if full:
-            values = feature_values(baseline, gated, ["gate"]).withColumn(WEIGHT, F.lit(1))
+            values = feature_counts(baseline, gated, ["gate"])
             tests = ks_from_counts(baseline, values, ["gate"]).withColumn("is_drift", F.col("p_value") < threshold)
             tests.write.mode("overwrite").parquet(_batch_folder(results, batch_id))
         if batch_id > 1:  # batch - 1 stays, so that the table can be read
