@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numeric import FLOATS, pearson
+from tidemark.functions.numeric import FLOATS, nan_to_null, pearson
 from tidemark.operators.clean import long_form
+from tidemark.operators.gram import gram_correlation
 
-# beyond this many column pairs the correlation runs in long form
+# beyond this many column pairs the correlation runs on matrix products
 WIDE_PAIRS = 66
 
 # bytes per value of fixed-width types
@@ -115,21 +116,16 @@ def bad_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each unordered column pair, pairwise complete; NULL for a constant."""
+    """Pearson correlation of each unordered column pair, pairwise complete; NULL for a constant, NaN is missing."""
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if len(pairs) <= WIDE_PAIRS:
-        wide = rows.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)
-        ]
-        return wide.select(F.inline(F.array(*cells)))
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs
-    ]
-    return rows.select(F.inline(F.array(*cells))).groupBy("a", "b").agg(pearson(F.col("x"), F.col("y")).alias("corr"))
+    if len(pairs) > WIDE_PAIRS:
+        return gram_correlation(df, columns)
+    rows = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    wide = rows.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
+    return wide.select(F.inline(F.array(*cells)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as X
 from tidemark.operators.preprocess import fit_columns, target_encode
+from tidemark.operators.profile import correlation_pairs
 from tidemark.operators.splits import ratio_split
 from tidemark.plans.registry import query
 from tidemark.plans.series import (
@@ -95,6 +96,31 @@ def all_features(spark, sf):
     return X.create_all_features(rows, EVENT_TYPES).drop("timestamp", "price", "event_type")
 
 
+FEATURE_NAMES = (
+    ["year", "month", "day", "dayofweek", "dayofyear", "week", "quarter", *WAVES, "timestamp_numeric"]
+    + [f"price_lag_{k}" for k in X.LAGS]
+    + [f"price_rolling_{s}_{k}" for k in X.WINDOWS for s in ("mean", "std", "min", "max")]
+    + change_names()
+)
+CORR_CELLS = ", ".join(
+    f"{{'a': '{a}', 'b': '{b}', 'corr': CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 THEN NULL ELSE corr({a}, {b}) END}}"
+    for i, a in enumerate(FEATURE_NAMES)
+    for b in FEATURE_NAMES[i + 1 :]
+)
+
+
+@query(
+    "feature_correlation",
+    f"""WITH f AS MATERIALIZED (
+  SELECT {CALENDAR_SQL}, {lag_sql(BY_TYPE)}, {rolling_sql(BY_TYPE)}, {change_sql(BY_TYPE)} FROM ({EVENTS_SQL}))
+ SELECT unnest([{CORR_CELLS}], recursive := true) FROM f""",
+    six=["corr"],
+)
+def feature_correlation(spark, sf):
+    rows = events_series(spark, sf).select("event_id", "timestamp", "price", "event_type")
+    return correlation_pairs(X.create_all_features(rows, EVENT_TYPES), FEATURE_NAMES)
+
+
 @query("safe_rolling", f"SELECT event_id, {rolling_sql(BY_USER, safe=True)} FROM ({EVENTS_SQL})", six=rolling_names())
 def safe_rolling(spark, sf):
     rows = events_series(spark, sf).select("event_id", "timestamp", "price", "user_id")
