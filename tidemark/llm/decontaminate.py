@@ -25,45 +25,80 @@ BLOCK_BYTES = 8 << 20  # test text that a task holds at once; a larger benchmark
 def tile(a: np.ndarray, b: np.ndarray, shortest: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two word sequences: (place in a, place in b, words) of each tile.
 
-    Each round hashes runs of the search length (half of the last one, or the longest match when that was longer),
-    extends what meets, and marks matches from the longest down; of equal ones the first in ``b``, then in ``a``.
+    Each round looks for runs of the search length or longer (half of the last one, or the longest match when that was much longer),
+    and marks them from the longest down; of equal ones the first in ``b``, then in ``a``.
     """
     used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     tiles: list[tuple[int, int, int]] = []
     length = max(shortest, min(len(a), len(b), 64))
     while True:
-        matches, longest = [], 0
-        free_a, free_b = _free(used_a, length), _free(used_b, length)
-        if free_a.any() and free_b.any():
-            ha, hb = running_windows(a, length), running_windows(b, length)
-            places: dict[int, list[int]] = {}
-            for i in np.flatnonzero(free_a & np.isin(ha, hb[free_b])).tolist():
-                places.setdefault(int(ha[i]), []).append(i)
-            for j in np.flatnonzero(free_b).tolist():
-                for i in places.get(int(hb[j]), ()):
-                    k = 0
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
-                        k += 1
-                    if k > 2 * length:
-                        longest = max(longest, k)
-                    if k >= length:
-                        matches.append((-k, j, i))
+        matches = _matches(a, b, used_a, used_b, length)
+        longest = max((k for k, _ in matches), default=0)
         if longest > 2 * length:
             length = longest  # a run much longer than the search length: look for those first
             continue
-        for k, j, i in sorted(matches):
-            k = -k
-            # what an earlier tile covered may leave a shorter run, which a later round finds
-            if not used_a[i : i + k].any() and not used_b[j : j + k].any():
-                used_a[i : i + k] = True
-                used_b[j : j + k] = True
-                tiles.append((i, j, k))
-        if length == shortest:
-            # covered parts can hide runs of the shortest length until nothing more is found
-            if not any(not used_b[j : j + shortest].any() and not used_a[i : i + shortest].any() for _, j, i in matches):
+        shortened, level = False, 0
+        for k, j in sorted(matches, key=lambda m: (-m[0], m[1])):
+            if shortened and k < level:
+                break  # what is left of a longer match may be longer than this one
+            level = k
+            if used_b[j]:
+                continue
+            starts = matches[k, j].tolist()
+            i = None if used_b[j : j + k].any() else next((i for i in starts if not used_a[i : i + k].any()), None)
+            if i is None:
+                shortened |= any(not used_a[i : i + length].any() for i in starts) and not used_b[j : j + length].any()
+                continue
+            used_a[i : i + k] = True
+            used_b[j : j + k] = True
+            tiles.append((i, j, k))
+        if not shortened:
+            if length == shortest:
                 return sorted(tiles)
-            continue
-        length = max(shortest, length // 2)
+            length = max(shortest, length // 2)
+
+
+def _matches(a: np.ndarray, b: np.ndarray, used_a: np.ndarray, used_b: np.ndarray, length: int) -> dict[tuple[int, int], np.ndarray]:
+    """{(words, place in b): places in a} of the uncovered common runs of ``length`` words or more.
+
+    Running hashes give the parts of both sides that can match; there, the length of the run from each pair of places follows
+    from that of the next pair, a vector over ``a`` for each place in ``b``.  A place in ``b`` is covered once, and what a round
+    covers in ``a`` is no longer than ``b``, so of the places in ``a`` with one length and place in ``b`` only the first 5 |b| + 1 can matter:
+    a tile of m words blocks at most m + k runs of k words, k is at most twice the search length, and tiles are at least as long.
+    """
+    free_a, free_b = _free(used_a, length), _free(used_b, length)
+    if not free_a.any() or not free_b.any():
+        return {}
+    ha, hb = running_windows(a, length), running_windows(b, length)
+    at_a = _covered(np.flatnonzero(free_a & np.isin(ha, hb[free_b])), length, len(a))
+    if not len(at_a):
+        return {}
+    at_b = _covered(np.flatnonzero(free_b & np.isin(hb, ha[free_a])), length, len(b))
+    words, follows = a[at_a], np.append(np.diff(at_a) == 1, False)
+    most = 5 * len(b) + 1
+    found: dict[tuple[int, int], np.ndarray] = {}
+    run, last = np.zeros(len(at_a), np.int64), -1
+    for j in at_b[::-1].tolist():
+        longer = np.zeros_like(run)
+        if j + 1 == last:
+            longer[:-1] = run[1:] * follows[:-1]
+        run, last = np.where(words == b[j], longer + 1, 0), j
+        starts = np.flatnonzero(run >= length)
+        if len(starts):
+            sizes = run[starts]
+            order = np.argsort(sizes, kind="stable")
+            kinds, first = np.unique(sizes[order], return_index=True)
+            for k, part in zip(kinds.tolist(), np.split(order, first[1:])):
+                found[k, j] = at_a[starts[part[:most]]]
+    return found
+
+
+def _covered(starts: np.ndarray, length: int, size: int) -> np.ndarray:
+    """The places that lie in a run of ``length`` words from one of ``starts``."""
+    edge = np.zeros(size + 1, np.int64)
+    edge[starts] += 1
+    edge[starts + length] -= 1
+    return np.flatnonzero(np.cumsum(edge)[:size] > 0)
 
 
 def _free(used: np.ndarray, k: int) -> np.ndarray:
@@ -114,7 +149,9 @@ def contaminated(
     """(id, item_id, tiled_words, item_words, tiles array<struct<at, item_at, words>>) of each document row and test item
     whose words are covered to ``percent`` or more by tiles.
 
-    A-Z is read as a-z.  Null and empty texts, on either side, match nothing.  Repeated rows give repeated results.
+    A-Z is read as a-z.  Null and empty texts, on either side, match nothing; a null id stays null.  Repeated rows give repeated
+    results.  Other columns of either side are not looked at, so their names do not matter.  A document's words are in
+    memory as one 64-bit hash each, and a long or repetitive text takes time with its matching words times the item's.
     The test items are cut into blocks of about ``BLOCK_BYTES`` of text; every block is broadcast to one pass over the
     documents, so the memory a task needs does not grow with either side.
     """
