@@ -103,7 +103,8 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
 
     Equal notices are compared once, and directories rather than files are joined with the ones above them.
     """
-    notice, whole, directory, named = fresh(files, "notice", "whole", "directory", "named")
+    notice, whole, directory, named, lines_of, text_of = fresh(files, "notice", "whole", "directory", "named", "lines_of", "text_of")
+    hit, other, above_, inherited = fresh(files, "hit", "other", "above", "inherited")
     own, score, license_, by = fresh(files, "own_license", "score", "license", "licensed_by")
     path, text = F.col(f"`{path_col}`"), F.col(f"`{text_col}`")
     base = F.element_at(F.split(path, "/"), -1)
@@ -113,25 +114,25 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         *passing,
         F.coalesce(base.rlike(LICENSE_NAME), F.lit(False)).alias(named),
         F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).alias(directory),
-        F.when(text.rlike(CUE), cut).alias("notice_text"),
-        F.when(base.rlike(LICENSE_NAME) & (text != ""), text).alias("whole_text"),
+        F.when(text.rlike(CUE), cut).alias(lines_of),
+        F.when(base.rlike(LICENSE_NAME) & (text != ""), text).alias(text_of),
     )
-    noted = noted.withColumn(notice, F.md5("notice_text")).withColumn(whole, F.md5("whole_text"))
+    noted = noted.withColumn(notice, F.md5(lines_of)).withColumn(whole, F.md5(text_of))
     # a licence file counts once among the files with a notice, whichever way it is compared
-    lines = noted.where("notice_text <> ''").select(F.col(notice).alias("notice"), F.col("notice_text").alias("text"), F.lit(1).alias("k"))
-    wholes = noted.where("whole_text <> ''").select(
-        F.col(whole).alias("notice"), F.col("whole_text").alias("text"), F.when(F.col("notice_text") != "", 0).otherwise(1).alias("k")
+    lines = noted.where(F.col(lines_of) != "").select(F.col(notice).alias("notice"), F.col(lines_of).alias("text"), F.lit(1).alias("k"))
+    wholes = noted.where(F.col(text_of) != "").select(
+        F.col(whole).alias("notice"), F.col(text_of).alias("text"), F.when(F.col(lines_of) != "", 0).otherwise(1).alias("k")
     )
     distinct = lines.unionByName(wholes).groupBy("notice", "text").agg(F.sum("k").alias("n"))
     matched = materialize(match_notices(materialize(distinct), least).select("notice", F.struct(F.round("score", 6).alias("s"), "license").alias("hit")))
     # most files have no notice: they need no join, and would meet in one task under a null key
-    noted = noted.drop("notice_text", "whole_text")
+    noted = noted.drop(lines_of, text_of)
     bare = F.col(notice).isNull() & F.col(whole).isNull()
-    found = noted.where(F.col(notice).isNotNull() & F.col(whole).isNull()).join(matched.toDF(notice, "hit"), notice, "left")
-    files_found = noted.where(F.col(whole).isNotNull()).join(matched.toDF(whole, "hit"), whole, "left")
-    files_found = files_found.join(matched.toDF(notice, "other"), notice, "left").withColumn("hit", F.greatest("hit", "other")).drop("other")
+    found = noted.where(F.col(notice).isNotNull() & F.col(whole).isNull()).join(matched.toDF(notice, hit), notice, "left")
+    files_found = noted.where(F.col(whole).isNotNull()).join(matched.toDF(whole, hit), whole, "left")
+    files_found = files_found.join(matched.toDF(notice, other), notice, "left").withColumn(hit, F.greatest(hit, other)).drop(other)
     found = found.unionByName(files_found).unionByName(noted.where(bare), allowMissingColumns=True)
-    found = found.withColumn(own, F.col("hit.license")).withColumn(score, F.col("hit.s")).drop("hit", notice, whole)
+    found = found.withColumn(own, F.col(hit)["license"]).withColumn(score, F.col(hit)["s"]).drop(hit, notice, whole)
     known = materialize(found)
     sources = (
         known.where(F.col(named) & F.col(own).isNotNull() & F.col(directory).isNotNull())
@@ -148,11 +149,11 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         .withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     )
     nearest = above.join(sources, "above").groupBy("below").agg(F.max(F.struct("depth", "above", "inherited")).alias("from"))
-    nearest = nearest.select(F.col("below").alias(directory), F.col("from.above").alias("above"), F.col("from.inherited").alias("inherited"))
+    nearest = nearest.select(F.col("below").alias(directory), F.col("from.above").alias(above_), F.col("from.inherited").alias(inherited))
     return known.join(nearest, directory, "left").select(
         *passing,
         own,
         score,
-        F.coalesce(F.col(own), F.col("inherited")).alias(license_),
-        F.when(F.col(own).isNotNull(), F.lit("self")).otherwise(F.col("above")).alias(by),
+        F.coalesce(F.col(own), F.col(inherited)).alias(license_),
+        F.when(F.col(own).isNotNull(), F.lit("self")).otherwise(F.col(above_)).alias(by),
     )
