@@ -15,6 +15,7 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 LINE_LIMIT = 50  # distinct texts of a host that may share a line
+COUNTS = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 KEEP_PERCENT = 50  # share of its words that a document must keep
 
 
@@ -83,25 +84,25 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
     A null text has no words.  A document fails with fewer than 50 words or with more than half of them in repeated
-    windows.  The new names must be free.
+    windows.  New names that clash get a leading underscore.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    (counts,) = fresh(docs, "counts")
+    counts, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed = fresh(docs, "counts", *COUNTS, "base_failed")
     full = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(" \t\n\x0b\f\r")) != "")
     # one expression of the text, bound inside: a filter on its fields may be worked out again, but never per word
     value = let(
         words(text),
         lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            repeated_words(w).alias("n_repeat_words"),
+            F.size(w).cast("long").alias(n_words),
+            F.length(F.array_join(w, "")).cast("long").alias(word_chars),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias(n_symbols),
+            let(full, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias(n_dup_lines),
+            repeated_words(w).alias(n_repeat_words),
         ),
     )
     out = docs.withColumn(counts, value).select(*[f"`{c}`" for c in docs.columns], f"`{counts}`.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    failed = (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat_words) > REPEAT_PERCENT * F.col(n_words))
+    return out.withColumn(base_failed, failed)
 
 
 def line_rules(
@@ -151,16 +152,17 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     """``docs`` with the base counts, ``base_failed`` and ``kept``: not failed and not depleted of frequent lines.
 
     Empty and null texts fail the base rules.  Repeated rows are judged alike.  With ``cut`` the frequent lines are removed
-    from the texts, after the counts.
+    from the texts, after the counts.  New names that clash get a leading underscore; columns of these names stay as they were.
     """
     based = base_rules(docs, text_col)
+    base_failed, kept = fresh(docs, "base_failed", "kept")
     c1, c2, drop, depleted = fresh(based, "c1", "c2", "drop", "depleted")
     rules = line_rules(docs, text_col, host_col).select(
         F.col("c1").alias(c1), F.col("c2").alias(c2), F.col("drop").alias(drop), F.col("depleted").alias(depleted)
     )
     keys = [k.alias(n) for k, n in zip(text_keys(docs, text_col, host_col), (c1, c2))]
     out = based.select("*", *keys).join(rules, [c1, c2], "left")
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col(depleted), F.lit(False)))
+    out = out.withColumn(kept, ~F.col(base_failed) & ~F.coalesce(F.col(depleted), F.lit(False)))
     if cut:
         text = F.col(f"`{text_col}`")
         left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(drop), i)), "\n")

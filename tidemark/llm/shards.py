@@ -24,7 +24,8 @@ def shard_rows(docs: DataFrame, shards: int, text_col: str = "text", seed: int =
     """``docs`` with ``shard`` and ``slot``: a random order of all rows, dealt out in turn.
 
     The law is "rows": shard sizes differ by one row at most.  Slots count from 0 without gaps in each shard, and are
-    the order in which the shard is to be written.  All rows stay, repeated and null ones too; the new columns must be free.
+    the order in which the shard is to be written.  All rows stay, repeated and null ones too.  New names that
+    clash get a leading underscore.
 
     First pass: a seeded hash of the row's place scatters rows evenly over buckets, whatever their keys, so copies and
     hot keys spread.  ``docs`` should be a read table: its places do not change when a task is repeated.
@@ -33,7 +34,7 @@ def shard_rows(docs: DataFrame, shards: int, text_col: str = "text", seed: int =
     counts, plus its place in the bucket; shard and slot are that number modulo and divided by ``shards``.
     """
     names = docs.columns
-    place, bucket, row, at, start = fresh(docs, "place", "bucket", "row", "at", "start")
+    place, bucket, row, at, start, shard, slot = fresh(docs, "place", "bucket", "row", "at", "start", "shard", "slot")
     size = docs.agg(F.count("*"), F.sum(record_size(F.col(f"`{text_col}`")))).first()
     n, total = size[0], size[1] or 0
     buckets = max(shards, -(-n // BUCKET_ROWS), -(-total // BUCKET_BYTES))
@@ -54,8 +55,8 @@ def shard_rows(docs: DataFrame, shards: int, text_col: str = "text", seed: int =
     order = F.col(f"`{start}`") + F.col(f"`{at}`")
     return joined.select(
         *[F.col(f"`{row}`.`{c}`") for c in names],
-        F.pmod(order, F.lit(shards)).cast("int").alias("shard"),
-        F.floor(order / F.lit(shards)).cast("long").alias("slot"),
+        F.pmod(order, F.lit(shards)).cast("int").alias(shard),
+        F.floor(order / F.lit(shards)).cast("long").alias(slot),
     )
 
 
@@ -63,10 +64,10 @@ def _by(place: str):
     return lambda x, y: F.when(x[place] < y[place], -1).when(x[place] > y[place], 1).otherwise(0)
 
 
-def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
-    """Write each shard to its own folder ``shard=n``, as files of consecutive slots in order; no task holds a whole shard."""
+def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 100_000, shard: str = "shard", slot: str = "slot") -> None:
+    """Write each shard to its own folder, such as ``shard=n``, as files of consecutive slots in order; no task holds a whole shard."""
     (stretch,) = fresh(sharded, "stretch")
-    cut = sharded.withColumn(stretch, F.expr(f"slot div {rows_per_file}"))
-    files = cut.select("shard", stretch).distinct().count()
-    ordered = cut.repartition(max(1, files), "shard", stretch).sortWithinPartitions("shard", "slot")
-    without(ordered, stretch).write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    cut = sharded.withColumn(stretch, F.expr(f"`{slot}` div {rows_per_file}"))
+    files = cut.select(shard, stretch).distinct().count()
+    ordered = cut.repartition(max(1, files), shard, stretch).sortWithinPartitions(shard, slot)
+    without(ordered, stretch).write.partitionBy(shard).option("maxRecordsPerFile", rows_per_file).parquet(path)
