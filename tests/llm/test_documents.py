@@ -167,6 +167,40 @@ def test_tiling():
         assert tile(codes[np.array(a)], codes[np.array(b)], 3) == brute.tiles(a, b, 3)
 
 
+def test_tiling_of_few_words():
+    """Two or three different words: runs overlap, and what is left of a covered run can be longer than the next one."""
+    rng, codes = np.random.default_rng(8), seeded(5, 99)
+    for _ in range(1500):
+        n = rng.integers(1, 4)
+        a, b = rng.integers(0, n, rng.integers(0, 50)), rng.integers(0, n, rng.integers(1, 25))
+        assert tile(codes[a], codes[b], 3) == brute.tiles(a.tolist(), b.tolist(), 3)
+
+
+def test_tiling_of_one_word():
+    """200,000 equal words take a moment."""
+    codes = seeded(5, 99)
+    assert tile(np.repeat(codes[:1], 200_000), np.repeat(codes[:1], 100)) == [(0, 0, 100)]
+
+
+CLASHING = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept counts c1 c2 drop depleted host line shard slot place bucket row at start k"
+).split()
+
+
+def test_clashing_names(spark):
+    """Columns of the names that rules and shards use come back as they were."""
+    rows = [(i, f"word {i} " * (i % 40), "s", *[f"{c}{i}" for c in CLASHING]) for i in range(60)] + [(60, None, None, *CLASHING)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    bare = quality.quality_rules(df.select("doc_id", "text", "source")).orderBy("doc_id").collect()
+    judged = quality.quality_rules(df).orderBy("doc_id")
+    assert judged.columns[-7:] == [*(f"_{c}" for c in quality.COUNTS), "_base_failed", "_kept"]
+    for r, want, have in zip(judged.collect(), bare, rows):
+        assert tuple(r)[: len(have)] == have and tuple(r)[len(have) :] == tuple(want)[3:]
+    dealt = shards.shard_rows(df, 4)
+    assert dealt.columns == [*df.columns, "_shard", "_slot"]
+    assert sorted(tuple(r)[: len(df.columns)] for r in dealt.collect()) == sorted(rows)
+
+
 def test_contaminated(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(60)]

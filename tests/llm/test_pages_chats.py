@@ -232,6 +232,29 @@ def test_license_files_with_prose(spark, sf):
     assert {r.doc_id for r in out if r.licensed_by not in (None, "self")} == {r.doc_id for r in out if r.doc_id // 20 in noted and "LICENSE" not in r.path}
 
 
+def test_license_query_inherits(spark, sf):
+    """In the given tables some documents are licence files, and others below them have their licence from there."""
+    from tidemark.llm.queries import op10_license_scan
+
+    out = op10_license_scan(spark, sf.replace("sf0.001", "sf0.1")).collect()
+    held = {(r.path.rsplit("/", 1)[0], r.own_license) for r in out if "LICENSE" in r.path and r.own_license}
+    heirs = [r for r in out if r.licensed_by not in (None, "self")]
+    assert held and heirs and all((r.licensed_by, r.license) in held for r in heirs)
+    assert all(r.path.startswith(f"{r.licensed_by}/") and r.own_license is None for r in heirs)
+
+
+def test_license_clashing_names(spark):
+    names = "notice whole directory named lines_of text_of hit other above inherited own_license score license licensed_by below depth best".split()
+    rows = [("a/LICENSE", licenses.TEMPLATES[3][2]), ("a/x.py", "code"), ("a/b/y.py", None), ("z.py", "")]
+    plain = spark.createDataFrame(rows, "path string, text string")
+    wide = plain.select("*", *[F.concat(F.lit(c), "path").alias(c) for c in names])
+    want = {tuple(r) for r in licenses.scan_licenses(plain).collect()}
+    out = licenses.scan_licenses(wide)
+    assert out.columns == ["path", *names, "_own_license", "_score", "_license", "_licensed_by"]
+    assert {(r.path, *tuple(r)[-4:]) for r in out.collect()} == want and len(want) == 4
+    assert all(r[c] == f"{c}{r.path}" for r in out.collect() for c in names)
+
+
 def test_whole_license_files(spark):
     names = sorted(p.stem for p in licenses.TEXTS.glob("*.txt"))
     assert {"Apache-2.0", "MIT", "BSD-3-Clause", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(names)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import alignment, chat, pieces
 from tidemark.llm.decontaminate import contaminated
-from tidemark.llm.licenses import CUE, LEAST, TEMPLATES, scan_licenses
+from tidemark.llm.licenses import CUE, LEAST, TEMPLATES, TEXTS, scan_licenses
 from tidemark.llm.frames import materialize
 from tidemark.llm.line_templates import CONSTANT_PERCENT, DEPTH, FIELD, MIN_TEXTS, dedup_lines
 from tidemark.llm.near_dups import PERCENT, near_duplicates
@@ -140,34 +140,36 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-# The documents have no path: one is made from source and id, three directories deep; round numbers lie higher up, and a
-# document that opens with a notice is the licence file of its directory.
+# The documents have no path: one is made from source and id, three directories deep; round numbers lie higher up, and
+# every tenth document, if it has a line that speaks of licences, is a licence file of its directory.
 _PATH = """concat_ws('/', coalesce(source, 'unknown'),
   CASE WHEN doc_id % 1000 <> 0 THEN CAST(doc_id {div} 1000 AS {text}) END,
   CASE WHEN doc_id % 100 <> 0 THEN CAST((doc_id {div} 100) % 10 AS {text}) END,
-  concat(CASE WHEN {opens} THEN 'LICENSE-' ELSE '' END, CAST(doc_id AS {text}), '.txt'))"""
+  concat(CASE WHEN doc_id % 10 = 0 AND {notes} THEN 'LICENSE-' ELSE '' END, CAST(doc_id AS {text}), '.txt'))"""
 
 
 @_register
 def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = _PATH.format(div="div", text="string", opens=f"coalesce(split_part(text, '\n', 1) rlike '{CUE}', false)")
+    path = _PATH.format(div="div", text="string", notes=f"text rlike '{CUE}'")
     files = table(spark, sf, "documents").selectExpr("doc_id", "text", f"{path} as path")
     return scan_licenses(files)
 
 
-_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, _, t) in enumerate(TEMPLATES))
+_TEMPLATE_TEXTS = [(n, t) for n, _, t in TEMPLATES] + [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(_TEMPLATE_TEXTS))
 _WEIGHT = "(1 + ln(tf)) * (1 + ln(((SELECT sum(n) FROM nt) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)))"
 SQL["op10_license_scan"] = f"""
 WITH f AS (
-  SELECT doc_id, text, {_PATH.format(div="//", text="VARCHAR", opens=f"coalesce(regexp_matches(split_part(text, chr(10), 1), '{CUE}'), false)")} AS path
+  SELECT doc_id, text, {_PATH.format(div="//", text="VARCHAR", notes=f"regexp_matches(text, '{CUE}')")} AS path
   FROM documents),
 n AS (
-  SELECT doc_id, path, regexp_matches(string_split(path, '/')[-1], '(?i)^(licen[cs]e|copying|notice)') AS named,
-    CASE WHEN position('/' IN path) > 0 THEN regexp_replace(path, '/[^/]*$', '') END AS directory,
-    CASE WHEN regexp_matches(string_split(path, '/')[-1], '(?i)^(licen[cs]e|copying|notice)') THEN text
-      ELSE array_to_string([x for x in string_split(text, chr(10)) if regexp_matches(x, '{CUE}')], chr(10)) END AS notice
-  FROM f),
-nt AS (SELECT notice, count(*) AS n FROM n WHERE notice <> '' GROUP BY notice),
+  SELECT doc_id, path, named, CASE WHEN position('/' IN path) > 0 THEN regexp_replace(path, '/[^/]*$', '') END AS directory,
+    array_to_string([x for x in string_split(text, chr(10)) if regexp_matches(x, '{CUE}')], chr(10)) AS notice,
+    CASE WHEN named THEN text END AS whole
+  FROM (SELECT *, regexp_matches(string_split(path, '/')[-1], '(?i)^(licen[cs]e|copying|notice)') AS named FROM f)),
+nt AS (
+  SELECT notice, sum(k) AS n
+  FROM (SELECT notice, 1 AS k FROM n UNION ALL SELECT whole, CASE WHEN notice <> '' THEN 0 ELSE 1 END FROM n) WHERE notice <> '' GROUP BY notice),
 tk AS (SELECT notice, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM nt),
 tm AS (SELECT notice, term, count(*) AS tf FROM tk GROUP BY notice, term),
 idf AS (SELECT term, sum(n) AS df FROM tm JOIN nt USING (notice) GROUP BY term),
@@ -181,7 +183,12 @@ sc AS (
   JOIN (SELECT notice, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1) USING (notice)
   JOIN (SELECT template, sqrt(sum(v * v)) AS size FROM tw GROUP BY 1) USING (template) JOIN tp USING (template)),
 hit AS (SELECT * FROM sc WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY notice ORDER BY score DESC, license DESC) = 1),
-k AS (SELECT doc_id, path, named, directory, license AS own_license, round(score, 6) AS score FROM n LEFT JOIN hit USING (notice)),
+k AS (
+  SELECT doc_id, path, named, directory, license AS own_license, score
+  FROM (
+    SELECT n.*, license, round(score, 6) AS score FROM n LEFT JOIN hit ON n.notice = hit.notice
+    UNION ALL SELECT n.*, license, round(score, 6) FROM n JOIN hit ON n.whole = hit.notice)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC NULLS LAST, license DESC NULLS LAST) = 1),
 src AS (
   SELECT directory AS above, own_license AS inherited FROM k WHERE named AND own_license IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY directory ORDER BY score DESC, own_license DESC) = 1),
