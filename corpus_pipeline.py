@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
 from tidemark.llm.decontaminate import drop_contaminated
+from tidemark.llm.frames import fresh
 from tidemark.llm.line_templates import dedup_lines
 from tidemark.llm.near_dups import drop_near_duplicates
 from tidemark.llm.quality import quality_rules
@@ -26,7 +27,8 @@ def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; frequent lines of a host are cut from the others."""
-    return _same_columns(quality_rules(docs, cut=True).where("kept"), docs)
+    (kept,) = fresh(docs, "kept")
+    return _same_columns(quality_rules(docs, cut=True).where(F.col(kept)), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
