@@ -135,22 +135,26 @@ def test_align(spark, pairs):
     assert want[6][0] > 10 and want[7][0] == want[8][0] == 0 and want[4][0] > 0
 
 
-def test_units(monkeypatch):
-    """Units encoded one by one, and forgotten in between, give the ids of the whole text."""
-    monkeypatch.setattr(alignment, "MEMORY", 5)
+@pytest.mark.parametrize("joined", [1, 30, 1 << 14])
+def test_units(monkeypatch, joined):
+    """Units encoded in joined texts, and forgotten in between, give the ids of the whole text."""
+    monkeypatch.setattr(alignment, "MEMORY", 50)
+    monkeypatch.setattr(alignment, "JOINED", joined)
     byte, piece = (kind(alignment.load_model(m)) for kind, m in zip((ByteTokens, PieceTokens), MODELS))
-    sides = alignment._Side(byte), alignment._Side(piece)
+    aligner = alignment._Aligner(byte, piece)
     rng = random.Random(5)
-    signs = ["a", "Z", "9", "é", "日", "。", ",", "'s", "'", "_", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "▁", "🦜", "\u0301", "١"]
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
-    for text in texts:
-        units = UNIT.split(" " + text)
-        new = [side.learn(set(units)) for side in sides]
-        assert sides[0].ids(units).tolist() == byte.tokenizer.encode(" " + text, add_special_tokens=False).ids, repr(text)
-        got = sides[1].ids(units)
-        assert (got is None) == ("▁" in text) and (got is None or got.tolist() == piece.tokenizer.encode(text)), repr(text)
-        for side, own in zip(sides, new):
-            side.forget(own)
+    signs = ["a", "Z", "9", "é", "日", "。", ",", "'s", "'", "_", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "🦜", "\u0301", "١"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 40))) + rng.choice([*[""] * 9, "▁", "▁ a"]) for _ in range(4000)]
+    at = 0
+    while at < len(texts):
+        part = texts[at : at + rng.choice([1, 7, 300])]
+        at += len(part)
+        for text, (a, b, *_) in zip(part, aligner.align(part), strict=True):
+            if "▁" in text:
+                assert not len(a) and not len(b)
+            else:
+                assert a.tolist() == byte.tokenizer.encode(" " + text, add_special_tokens=False).ids, repr(text)
+                assert b.tolist() == piece.tokenizer.encode(text), repr(text)
 
 
 def test_slices():

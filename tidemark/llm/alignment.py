@@ -16,7 +16,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,6 +45,8 @@ def _characters_of_bytes() -> list[str]:
 
 #: A text is cut into units before each space that follows a printing ASCII character, a letter or a digit.
 UNIT = re.compile(r"(?<=[!-~\w])(?= )")
+INNER = re.compile(r"[!-~\w]")  # how a unit that another one follows ends
+JOINED = 1 << 14  # characters of units that are encoded as one text
 MEMORY = 200_000  # units whose ids a worker keeps: about 70 MB
 LONG = 64  # characters; longer units are not kept
 
@@ -53,7 +54,7 @@ LONG = 64  # characters; longer units are not kept
 class ByteTokens:
     """A byte-level tokenizer, from the bytes of its JSON file.
 
-    Its words never have white space after another character, so the units of a text are encoded one by one.
+    Its words never have white space after another character, so a text has the tokens of its units.
     """
 
     def __init__(self, model: bytes):
@@ -82,8 +83,8 @@ class ByteTokens:
 class PieceTokens:
     """A sentencepiece tokenizer that puts a space before a text, from the bytes of its model file.
 
-    No piece has a space after another character, so the units of a text are encoded one by one, each without the space
-    that it begins with and that the library puts back.
+    No piece has a space after another character, so a text has the tokens of its units.  Texts are encoded without the
+    space that they begin with and that the library puts back.
     """
 
     def __init__(self, model: bytes):
@@ -114,45 +115,60 @@ class PieceTokens:
         return [ids or self.space for ids in found]  # the library puts no space before an empty text
 
 
+def _joined(units: list[str], limit: int) -> list[list[str]]:
+    """``units`` in lists that make texts of about ``limit`` characters; a unit that none may follow is the last of its list."""
+    parts: list[list[str]] = []
+    size = limit + 1
+    for u in units:
+        size += len(u)
+        if size > limit:
+            parts.append([])
+            size = len(u)
+        parts[-1].append(u)
+        if not INNER.match(u, len(u) - 1):
+            size = limit + 1
+    return parts
+
+
 class _Side:
-    """A tokenizer with the ids of units that it has seen more than once."""
+    """A tokenizer that gives the ids of units as bytes."""
 
     def __init__(self, tokens: ByteTokens | PieceTokens):
         self.tokens = tokens
         self.sizes = np.array([len(x) for x in tokens.token_bytes], np.int64)
-        self.known: dict[str, bytes | None] = {}  # None: the tokens of a unit are not its bytes
-        self.seen: set[int] = set()
 
-    def learn(self, units: set[str]) -> list[str]:
-        """Encode the units that are not known; returns them."""
-        new, token_bytes, known = list(units - self.known.keys()), self.tokens.token_bytes, self.known
-        for u, ids in zip(new, self.tokens.encode(new)):
-            known[u] = array("i", ids).tobytes() if b"".join([token_bytes[i] for i in ids]) == u.encode() else None
-        return new
+    def encode(self, parts: list[list[str]], limit: int) -> list[bytes | None]:
+        """The ids of each unit of ``parts``, whose texts are encoded as wholes; None where a unit's tokens are not its bytes.
 
-    def forget(self, new: list[str]) -> None:
-        """Keep of new units those that come a second time; most come once."""
-        for u in new:
-            h = hash(u)
-            if len(u) > LONG or h not in self.seen:
-                del self.known[u]
-                self.seen.add(h)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if len(self.seen) > 2 * MEMORY:
-            self.seen.clear()
-
-    def ids(self, units: list[str]) -> np.ndarray | None:
-        parts = list(map(self.known.__getitem__, units))
-        return None if None in parts else np.frombuffer(b"".join(parts), np.int32)
+        If the tokens of a text are not its bytes, its units are encoded in shorter texts, at last one by one.
+        """
+        token_bytes = self.tokens.token_bytes
+        texts = ["".join(p) for p in parts]
+        out: list[bytes | None] = []
+        for part, text, ids in zip(parts, texts, self.tokens.encode(texts)):
+            if b"".join([token_bytes[i] for i in ids]) == text.encode():
+                found = np.array(ids, np.int32)
+                ends = np.cumsum([len(u.encode()) for u in part])
+                stops = (4 * np.searchsorted(np.cumsum(self.sizes[found]), ends) + 4).tolist()
+                raw = found.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *stops], stops)]
+            elif len(part) == 1:
+                out.append(None)
+            else:
+                out += self.encode(_joined(part, limit // 16), limit // 16)
+        return out
 
 
 _NOTHING = (np.zeros(0, np.int32),) * 4
 
 
 class _Aligner:
+    """Aligns texts, with the ids of the units that it has seen more than once."""
+
     def __init__(self, a: ByteTokens | PieceTokens, b: ByteTokens | PieceTokens):
         self.sides = _Side(a), _Side(b)
+        self.known: dict[str, tuple[bytes | None, bytes | None]] = {}
+        self.seen: set[int] = set()
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
         """(A ids, B ids, A tokens up to each cut, B tokens up to each cut) of each text.
@@ -160,16 +176,29 @@ class _Aligner:
         Nothing unless both lists of tokens cover a space and the text.
         """
         split = [UNIT.split(" " + t) if t else [] for t in texts]
-        units = set().union(*split)
-        new = [side.learn(units) for side in self.sides]
+        new = list(set().union(*split).difference(self.known))
+        parts = _joined(new, JOINED)
+        self.known.update(zip(new, zip(*(side.encode(parts, JOINED) for side in self.sides))))
         for own in split:
-            ids = [side.ids(own) for side in self.sides]
-            if not own or any(i is None for i in ids):
+            both = list(zip(*map(self.known.__getitem__, own)))
+            if not own or any(None in x for x in both):
                 yield _NOTHING
             else:
+                ids = [np.frombuffer(b"".join(x), np.int32) for x in both]
                 yield *ids, *cuts(*(np.cumsum(side.sizes[i]).tolist() for side, i in zip(self.sides, ids)))
-        for side, own in zip(self.sides, new):
-            side.forget(own)
+        self._forget(new)
+
+    def _forget(self, new: list[str]) -> None:
+        """Keep of new units those that come a second time; most come once."""
+        for u in new:
+            h = hash(u)
+            if len(u) > LONG or h not in self.seen:
+                del self.known[u]
+                self.seen.add(h)
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        if len(self.seen) > 2 * MEMORY:
+            self.seen.clear()
 
 
 def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
