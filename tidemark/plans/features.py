@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tidemark.operators import features as X
 from tidemark.operators.preprocess import fit_columns, target_encode
 from tidemark.operators.profile import correlation_pairs
+from tidemark.operators.sparse import fit_sparse, nonzero, vector_size
 from tidemark.operators.splits import ratio_split
 from tidemark.plans.registry import query
 from tidemark.plans.series import (
     EVENT_TYPES, EVENTS, EVENTS_SQL, ORDER_KEYS, ORDERS, ORDERS_PRICE_SQL, ORDERS_SQL, events_series, orders_price,
-    orders_series,
+    orders_series, read,
 )
 
 PI2 = "2 * pi()"
@@ -170,6 +171,33 @@ def one_hot(spark, sf):
     return fit_columns(rows, [], ["event_type"]).apply(rows, ["event_id"])
 
 
+@query(
+    "one_hot_sparse",
+    """WITH t AS (SELECT *, o_orderdate < DATE '1997-01-01' AS train FROM orders),
+ k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM t WHERE train)),
+ p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT o_orderpriority AS v FROM t WHERE train)),
+ m AS (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM t WHERE train),
+ z AS (SELECT (SELECT count(*) FROM k) AS nk, (SELECT count(*) FROM p) AS np)
+ SELECT o_orderkey, CAST(1 + nk + np AS INTEGER) AS size, (o_totalprice - mean) / std AS num__o_totalprice,
+  concat_ws(',', CAST(1 + k.i AS VARCHAR), CAST(1 + nk + p.i AS VARCHAR)) AS places
+ FROM t LEFT JOIN k ON k.v = CAST(o_custkey AS VARCHAR) LEFT JOIN p ON p.v = o_orderpriority, m, z""",
+    six=["num__o_totalprice"],
+)
+def one_hot_sparse(spark, sf):
+    """Customers as categories, fitted on the orders before 1997; customers that first order later have no place."""
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_custkey", "o_orderpriority")
+    before = rows.where(F.col("o_orderdate") < F.lit("1997-01-01").cast("date"))
+    fitted = fit_sparse(before, ["o_totalprice"], ["o_custkey", "o_orderpriority"])
+    cells = F.filter("cells", lambda p: p["place"] > 0)
+    made = fitted.apply(rows, ["o_orderkey"])
+    made = made.select("o_orderkey", vector_size("features").alias("size"), nonzero("features").alias("cells"))
+    return made.select(
+        "o_orderkey", "size",
+        F.coalesce(F.filter("cells", lambda p: p["place"] == 0)[0]["value"], F.lit(0.0)).alias("num__o_totalprice"),
+        F.array_join(F.transform(cells, lambda p: p["place"].cast("string")), ",").alias("places"),
+    )
+
+
 @query(
     "fit_on_train",
     f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY timestamp, o_orderkey) - 1 AS pos, count(*) OVER () AS n
