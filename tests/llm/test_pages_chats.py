@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tidemark.llm import chat, licenses, wrappers
 from tidemark.llm.dom import blocks, match, own_texts, parse
+from tidemark.llm.frames import materialize
 from tidemark.llm.wrappers import Wrapper, extract, main_text
 
 NONE = Wrapper([])
@@ -109,6 +110,27 @@ def test_wrapper_counts_all_pages_and_layouts(spark):
         assert got[k].text == f"own words {k} of the page {k} that differ {k}" and got[k].template_blocks == 1 + k % 2
 
 
+def test_pages_stay_where_references_are_few(spark, monkeypatch):
+    """Pages are aligned where they are read; copies in many tasks are one witness, whether pages move or not."""
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", site(0, f"<p>own {k} words here and there {k}</p><div class=x><p>slot {k}</p></div>")) for k in range(12)]
+    rows += [(100 + k, "http://a.example/same", site(0, "<p>copied words here and there</p><div class=x><p>slot of copies</p></div>")) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8, "page_id")
+    plans = []
+
+    def written(frame):
+        plans.append((frame.columns, frame._jdf.queryExecution().executedPlan().toString()))
+        return materialize(frame)
+
+    monkeypatch.setattr(wrappers, "materialize", written)
+    got = main_text(df.localCheckpoint()).collect()
+    assert ["Exchange hashpartitioning" in plan for columns, plan in plans if "texts" in columns] == [False]
+    found = {r.id: (r.text, r.template_blocks) for r in got}
+    assert found[3] == ("own 3 words here and there 3\nslot 3", 1)
+    assert found[130] == ("copied words here and there\nslot of copies", 1)
+    monkeypatch.setattr(wrappers, "REFERENCES_TO_BROADCAST", 0)
+    assert sorted(map(str, main_text(df).collect())) == sorted(map(str, got))
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers

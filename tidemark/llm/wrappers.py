@@ -22,6 +22,7 @@ from tidemark.llm.frames import materialize
 LEAST = 3  # pages that must have a place before its text can be constant
 PAGES_PER_CHUNK = 500  # pages of a layout that one stretch of rows holds; a large layout has many
 HOSTS_TO_BROADCAST = 50_000  # at most 253 bytes of name each; with more, pages and counts are joined by host
+REFERENCES_TO_BROADCAST = 1 << 24  # characters of all references; with more, the pages move to meet theirs
 COPY_SHARE = 0.8  # a page with a larger constant share of its article is a copy, and keeps it
 # classes of the containers of a page, without digits, make its layout
 LAYOUT = r"""(?i)<(?:body|main|article|section|div|table)\b[^>]*?\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -144,9 +145,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     share an empty host.  Repeated rows give repeated results.  Blocks are joined by one newline; white space inside a
     block is one space.
 
-    A layout with fewer than ``LEAST`` different pages joins the largest of its host.  Equal pages count once.  A layout's
-    pages are dealt out in chunks, each with the reference before its pages, so a host with a third of all pages is spread
-    over many tasks, and a task holds one reference and one Arrow batch.
+    A layout with fewer than ``LEAST`` different pages joins the largest of its host.  Equal pages count once.  References
+    of up to ``REFERENCES_TO_BROADCAST`` counted characters go to all tasks, and pages are aligned where they are read.
+    With more, a layout's pages are dealt out in chunks, each with the reference before its pages, so a host with a third
+    of all pages is spread over many tasks.  A task has one reference in use and one Arrow batch.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]{0,253})", 1), F.lit("")))
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
@@ -168,25 +170,34 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
     groups = materialize(layouts.select("host", "own_layout", "layout").join(totals, ["host", "layout"]))
     # with few layouts the pages need not move to meet them
-    near = F.broadcast if groups.count() <= HOSTS_TO_BROADCAST else lambda df: df
+    few = groups.count() <= HOSTS_TO_BROADCAST
+    near = F.broadcast if few else lambda df: df
     wanted = groups.where((F.col("k") >= LEAST) & F.col("first").isNotNull()).select("host", "layout", "chunks", F.col("first").alias("mark")).distinct()
     references = rows.select("host", "mark", "html").join(near(wanted), ["host", "mark"]).groupBy("host", "layout", "chunks").agg(F.min("html").alias("html"))
-    references = references.select("host", "layout", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("reference"), "html")
+    references = materialize(references)
+    stay = few and (references.agg(F.sum(F.length("html"))).first()[0] or 0) <= REFERENCES_TO_BROADCAST
+    held_by_all = {(r.host, r.layout): r.html for r in references.select("host", "layout", "html").toLocalIterator()} if stay else {}
+    shared = pages.sparkSession.sparkContext.broadcast(held_by_all)
     dealt = rows.join(near(groups.select("host", "own_layout", "layout", "chunks")), ["host", "own_layout"]).select(
         "host", "layout", F.pmod("mark", F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("reference"), "html", "mark", "id", "url"
     )
-    both = dealt.unionByName(references, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, before, group = None, None, None, 0
         for batch in batches:
             picked, groups_, firsts, texts, saids, places, said = [], [], [], [], [], [], []
             columns = [batch.column(k).to_pylist() for k in range(6)]
-            for i, (h, layout, chunk, reference, page, mark) in enumerate(zip(*columns)):
-                if (h, layout, chunk) != current:
-                    current, held, before, group = (h, layout, chunk), None, None, _hash(h, layout)
+            order = range(batch.num_rows)
+            if stay:
+                # in the order of their layouts, so that a reference is read once a batch
+                order = sorted(order, key=lambda i: (columns[0][i], columns[1][i], columns[5][i]))
+            for i in order:
+                h, layout, _, reference, page, mark = (c[i] for c in columns)
+                if (h, layout) != current:
+                    current, before, group = (h, layout), None, _hash(h, layout)
+                    held = Reference(shared.value[current]) if current in shared.value else None
                 if reference:
-                    held = Reference(page)
+                    held = held or Reference(page)
                     continue
                 root = parse(page)
                 found = _blocks(root)
@@ -203,22 +214,27 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             rest = batch.take(pa.array(picked, pa.int64()))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [rest.column(6), rest.column(7), rest.column(0), rest.column(2), pa.array(groups_, pa.int64()), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(saids, longs), pa.array(places, longs), pa.array(said, longs)],
-                names=["id", "url", "host", "chunk", "layout", "texts", "saids", "places", "said"],
+                [rest.column(6), rest.column(7), rest.column(0), rest.column(2), rest.column(5), pa.array(groups_, pa.int64()),
+                 pa.array(texts, pa.list_(pa.string())), pa.array(saids, longs), pa.array(places, longs), pa.array(said, longs)],
+                names=["id", "url", "host", "chunk", "mark", "layout", "texts", "saids", "places", "said"],
             )
 
     kind = dict(rows.dtypes)
-    ordered = both.repartition("host", "layout", "chunk").sortWithinPartitions("host", "layout", "chunk", F.col("reference").desc(), "mark")
+    if not stay:
+        chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+        both = dealt.unionByName(references.select("host", "layout", chunk, F.lit(True).alias("reference"), "html"), allowMissingColumns=True)
+        dealt = both.repartition("host", "layout", "chunk").sortWithinPartitions("host", "layout", "chunk", F.col("reference").desc(), "mark")
     aligned = materialize(
-        ordered.select("host", "layout", "chunk", "reference", "html", "mark", "id", "url").mapInArrow(
+        dealt.select("host", "layout", "chunk", "reference", "html", "mark", "id", "url").mapInArrow(
             run,
-            f"id {kind['id']}, url {kind['url']}, host string, chunk int, layout long, texts array<string>, saids array<long>, "
-            "places array<long>, said array<long>",
+            f"id {kind['id']}, url {kind['url']}, host string, chunk int, mark long, layout long, texts array<string>, "
+            "saids array<long>, places array<long>, said array<long>",
         )
     )
-    seen = aligned.select("layout", F.explode(F.arrays_zip("places", "said")).alias("x")).groupBy("layout", "x.places", "x.said").agg(F.count("*").alias("k"))
-    total = aligned.select("layout", F.explode(F.array_distinct("places")).alias("places")).groupBy("layout", "places").agg(F.count("*").alias("total"))
+    # sorted pages have their copies beside them; where pages stay, those of other tasks are left out here
+    witnesses = aligned.where(F.size("said") > 0).dropDuplicates(["layout", "mark"]) if stay else aligned
+    seen = witnesses.select("layout", F.explode(F.arrays_zip("places", "said")).alias("x")).groupBy("layout", "x.places", "x.said").agg(F.count("*").alias("k"))
+    total = witnesses.select("layout", F.explode(F.array_distinct("places")).alias("places")).groupBy("layout", "places").agg(F.count("*").alias("total"))
     total = total.where(F.col("total") >= LEAST)
     constant = seen.where(F.col("k") > 1).join(total, ["layout", "places"]).where(3 * F.col("k") >= 2 * F.col("total"))
     constant = materialize(constant.groupBy("layout").agg(F.collect_set("said").alias("constant"), F.count("*").alias("n")))
