@@ -157,6 +157,29 @@ def test_units(monkeypatch, joined):
                 assert b.tolist() == piece.tokenizer.encode(text), repr(text)
 
 
+def test_known_units_are_not_aligned_again(monkeypatch):
+    """A unit has the same groups in every text: its third text, in any task of a job, compares no ends."""
+    models = tuple(map(alignment.load_model, MODELS))
+    compared = []
+    ends = alignment.stretches
+    monkeypatch.setattr(alignment, "stretches", lambda a, b: compared.append(len(a)) or ends(a, b))
+    texts = ["plain words, naïve café 12345 and words", "日本語 words\n\n", None, "a▁b words", "  words 12345 ", "🦜🦜"]
+    found, sizes = [], []
+    for _ in range(4):
+        aligner = alignment._aligner("a job", models, alignment.unit_arrays)
+        found.append([[x.tolist() for x in row] for row in aligner.align(texts)])
+        sizes.append(sum(compared))
+    assert found[0] == found[1] == found[2] == found[3] and not any(map(len, found[0][2] + found[0][3]))
+    assert 0 < sizes[0] < sizes[1] == sizes[2] == sizes[3]
+    byte, piece = (kind(m) for kind, m in zip((ByteTokens, PieceTokens), models))
+    for text, (a, b, a_cuts, b_cuts) in zip(texts, found[0]):
+        if a:
+            assert a == byte.tokenizer.encode(" " + text, add_special_tokens=False).ids and b == piece.tokenizer.encode(text)
+            a_ends, b_ends = (np.cumsum([len(t.token_bytes[x]) for x in ids]).tolist() for t, ids in ((byte, a), (piece, b)))
+            assert [a_cuts, b_cuts] == [x.tolist() for x in cuts(a_ends, b_ends)]
+    assert alignment._aligner("another", models, alignment.unit_arrays) is not aligner
+
+
 def test_slices():
     batch = pa.RecordBatch.from_pydict({"n": list(range(30))})
     parts = list(alignment._slices(batch, np.array([3, 0, 50] * 10), 10))

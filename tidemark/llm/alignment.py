@@ -6,6 +6,9 @@ are one-to-one, and along a stretch of them the places in the two lists differ b
 compared at that shift over 1, 2, 4 .. places until they differ, and the last probe is halved down to the difference.  What
 follows is an irregular group: the list that is behind goes on until both ends agree, which gives the next shift.
 
+Texts consist of units whose ends are always ends of tokens of both, so a unit has the same groups in every text.  New
+units are encoded and aligned in joined texts, and what is known of a unit is put together for each text that has it.
+
 Two tokens that end together cover the same last bytes, so one is a suffix of the other: the pairs that can ever be linked
 are known from the two vocabularies alone, at most one for each byte of their tokens.  That bounds the table of counts.
 """
@@ -16,8 +19,9 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,7 @@ def _characters_of_bytes() -> list[str]:
 UNIT = re.compile(r"(?<=[!-~\w])(?= )")
 INNER = re.compile(r"[!-~\w]")  # how a unit that another one follows ends
 JOINED = 1 << 14  # characters of units that are encoded as one text
-MEMORY = 200_000  # units whose ids a worker keeps: about 70 MB
+MEMORY = 200_000  # units whose records a worker keeps, in two generations
 LONG = 64  # characters; longer units are not kept
 
 
@@ -116,89 +120,101 @@ class PieceTokens:
 
 
 def _joined(units: list[str], limit: int) -> list[list[str]]:
-    """``units`` in lists that make texts of about ``limit`` characters; a unit that none may follow is the last of its list."""
-    parts: list[list[str]] = []
-    size = limit + 1
-    for u in units:
-        size += len(u)
-        if size > limit:
-            parts.append([])
-            size = len(u)
-        parts[-1].append(u)
-        if not INNER.match(u, len(u) - 1):
-            size = limit + 1
+    """``units`` in lists that make texts of about ``limit`` characters."""
+    ends = np.cumsum([len(u) for u in units])
+    parts, at = [], 0
+    while at < len(units):
+        stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")), at + 1)
+        parts.append(units[at:stop])
+        at = stop
     return parts
 
 
-class _Side:
-    """A tokenizer that gives the ids of units as bytes."""
-
-    def __init__(self, tokens: ByteTokens | PieceTokens):
-        self.tokens = tokens
-        self.sizes = np.array([len(x) for x in tokens.token_bytes], np.int64)
-
-    def encode(self, parts: list[list[str]], limit: int) -> list[bytes | None]:
-        """The ids of each unit of ``parts``, whose texts are encoded as wholes; None where a unit's tokens are not its bytes.
-
-        If the tokens of a text are not its bytes, its units are encoded in shorter texts, at last one by one.
-        """
-        token_bytes = self.tokens.token_bytes
-        texts = ["".join(p) for p in parts]
-        out: list[bytes | None] = []
-        for part, text, ids in zip(parts, texts, self.tokens.encode(texts)):
-            if b"".join([token_bytes[i] for i in ids]) == text.encode():
-                found = np.array(ids, np.int32)
-                ends = np.cumsum([len(u.encode()) for u in part])
-                stops = (4 * np.searchsorted(np.cumsum(self.sizes[found]), ends) + 4).tolist()
-                raw = found.tobytes()
-                out += [raw[i:j] for i, j in zip([0, *stops], stops)]
-            elif len(part) == 1:
-                out.append(None)
-            else:
-                out += self.encode(_joined(part, limit // 16), limit // 16)
-        return out
+_NOTHING = (np.zeros(0, np.int32),) * 4
 
 
-_NOTHING = (np.zeros(0, np.int32),) * 4
+def unit_arrays(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, stops: list[int]) -> list[tuple]:
+    """(A ids, B ids, A tokens of each group, B tokens of each group) of each unit, as bytes; unit ``k`` ends with cut ``stops[k] - 1``."""
+    raw = [x.astype(np.int32).tobytes() for x in (a_ids, b_ids, np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0))]
+    last = np.array(stops) - 1
+    ends = [(4 * x).tolist() for x in (a_cuts[last], b_cuts[last], last + 1, last + 1)]
+    return list(zip(*([x[i:j] for i, j in zip([0, *e], e)] for x, e in zip(raw, ends))))
 
 
 class _Aligner:
-    """Aligns texts, with the ids of the units that it has seen more than once."""
-
-    def __init__(self, a: ByteTokens | PieceTokens, b: ByteTokens | PieceTokens):
-        self.sides = _Side(a), _Side(b)
-        self.known: dict[str, tuple[bytes | None, bytes | None]] = {}
+    """Aligns texts by their units, and keeps what ``records`` gives for the units that it has seen more than once."""
+
+    def __init__(self, a: ByteTokens | PieceTokens, b: ByteTokens | PieceTokens, records: Callable[..., list[tuple]] = unit_arrays):
+        self.sides = [(t, t.token_bytes, np.array([len(x) for x in t.token_bytes], np.int64)) for t in (a, b)]
+        self.records = records
+        # each with the generation before it
+        self.known: dict[str, tuple] = {}
+        self.known_before: dict[str, tuple] = {}
         self.seen: set[int] = set()
+        self.seen_before: set[int] = set()
 
-    def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
-        """(A ids, B ids, A tokens up to each cut, B tokens up to each cut) of each text.
-
-        Nothing unless both lists of tokens cover a space and the text.
-        """
+    def units(self, texts: list[str | None]) -> Iterator[list[tuple]]:
+        """The records of the units of each text; none unless both lists of tokens cover a space and the text."""
         split = [UNIT.split(" " + t) if t else [] for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        parts = _joined(new, JOINED)
-        self.known.update(zip(new, zip(*(side.encode(parts, JOINED) for side in self.sides))))
+        new = set().union(*split).difference(self.known)
+        back = new & self.known_before.keys()
+        self.known.update((u, self.known_before[u]) for u in back)
+        new -= back
+        # a unit that none may follow is the last of its text, and encoded alone
+        alone = {own[-1] for own in split if own and not INNER.match(own[-1], len(own[-1]) - 1)} & new
+        joined = list(new - alone)
+        found = dict(zip(joined, self._encoded(_joined(joined, JOINED), JOINED)))
+        found.update(zip(alone, self._encoded([[u] for u in alone], JOINED)))
+        odd = {u for u, x in found.items() if x is None}
+        for u in odd:
+            del found[u]
+        self.known.update(found)
+        record = self.known.__getitem__
         for own in split:
-            both = list(zip(*map(self.known.__getitem__, own)))
-            if not own or any(None in x for x in both):
+            yield list(map(record, own)) if odd.isdisjoint(own) else []
+        self._forget(found)
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(A ids, B ids, A tokens up to each cut, B tokens up to each cut) of each text, with ``unit_arrays`` as records."""
+        for own in self.units(texts):
+            if own:
+                a, b, *sizes = (np.frombuffer(b"".join(x), np.int32) for x in zip(*own))
+                yield a, b, *(np.cumsum(x, dtype=np.int32) for x in sizes)
+            else:
                 yield _NOTHING
+
+    def _encoded(self, parts: list[list[str]], limit: int) -> list[tuple | None]:
+        """The record of each unit of ``parts``, whose texts are encoded and aligned as wholes; None where tokens are not a unit's bytes.
+
+        If the tokens of a text are not its bytes, its units are taken in shorter texts, at last one by one.
+        """
+        texts = ["".join(p) for p in parts]
+        out: list[tuple | None] = []
+        for part, text, *both in zip(parts, texts, *(tokens.encode(texts) for tokens, _, _ in self.sides)):
+            raw = text.encode()
+            if all(b"".join(map(token_bytes.__getitem__, ids)) == raw for ids, (_, token_bytes, _) in zip(both, self.sides)):
+                a, b = (np.array(ids, np.int32) for ids in both)
+                a_ends, b_ends = (np.cumsum(sizes[x]) for x, (_, _, sizes) in zip((a, b), self.sides))
+                a_cuts, b_cuts = cuts(a_ends.tolist(), b_ends.tolist())
+                ends = np.cumsum([len(u) for u in part] if text.isascii() else [len(u.encode()) for u in part])
+                out += self.records(a, b, a_cuts, b_cuts, (np.searchsorted(a_ends[a_cuts - 1], ends) + 1).tolist())
+            elif len(part) == 1:
+                out.append(None)
             else:
-                ids = [np.frombuffer(b"".join(x), np.int32) for x in both]
-                yield *ids, *cuts(*(np.cumsum(side.sizes[i]).tolist() for side, i in zip(self.sides, ids)))
-        self._forget(new)
+                out += self._encoded(_joined(part, limit // 16), limit // 16)
+        return out
 
-    def _forget(self, new: list[str]) -> None:
+    def _forget(self, new: dict[str, tuple]) -> None:
         """Keep of new units those that come a second time; most come once."""
         for u in new:
             h = hash(u)
-            if len(u) > LONG or h not in self.seen:
+            if len(u) > LONG or not (h in self.seen or h in self.seen_before):
                 del self.known[u]
                 self.seen.add(h)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if len(self.seen) > 2 * MEMORY:
-            self.seen.clear()
+        if 2 * len(self.known) > MEMORY:
+            self.known, self.known_before = {}, self.known
+        if len(self.seen) > MEMORY:
+            self.seen, self.seen_before = set(), self.seen
 
 
 def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -260,6 +276,17 @@ def _tokens(kind: type, model: bytes) -> ByteTokens | PieceTokens:
     return held[1]
 
 
+_aligners: dict[str, _Aligner] = {}  # of this worker process, that of the last job
+
+
+def _aligner(job: str, models: tuple[bytes, bytes], records: Callable[..., list[tuple]]) -> _Aligner:
+    """The aligner of a job, which knows the units of the tasks before."""
+    if job not in _aligners:
+        _aligners.clear()
+        _aligners[job] = _Aligner(_tokens(ByteTokens, models[0]), _tokens(PieceTokens, models[1]), records)
+    return _aligners[job]
+
+
 def _slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of rows whose sizes add up to about ``limit``; a row is never cut."""
     ends = np.cumsum(sizes)
@@ -275,19 +302,20 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([_NOTHING[0], *rows])))
 
 
-def _mapped(docs: DataFrame, byte_model: str, piece_model: str, text_col: str, keep: list[str], fields: list[T.StructField], make) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and those that ``make`` gives for the aligned rows of a part of a batch."""
+def _mapped(docs: DataFrame, byte_model: str, piece_model: str, text_col: str, keep: list[str], fields: list[T.StructField], make, records: Callable[..., list[tuple]] = unit_arrays) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and those that ``make`` gives for an aligner and the texts of a part of a batch."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`"))
     models = docs.sparkSession.sparkContext.broadcast((load_model(byte_model), load_model(piece_model)))
     names = [*keep, *(f.name for f in fields)]
+    job = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(_tokens(ByteTokens, models.value[0]), _tokens(PieceTokens, models.value[1]))
+        aligner = _aligner(job, models.value, records)
         for whole in batches:
             sizes = pc.fill_null(pc.utf8_length(whole.column(len(keep))), 0).to_numpy(zero_copy_only=False)
             for batch in _slices(whole, sizes, TEXT_AT_ONCE):
-                found = list(aligner.align(batch.column(len(keep)).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *make(found)], names=names)
+                made = make(aligner, batch.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], *fields]))
 
@@ -307,8 +335,8 @@ def align_tokens(docs: DataFrame, byte_model: str, piece_model: str, text_col: s
     """
     made = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in fresh(docs, *names)]
 
-    def make(rows: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
-        return [_lists([r[k] for r in rows]) for k in range(4)]
+    def make(aligner: _Aligner, texts: list[str | None]) -> list[pa.Array]:
+        return [_lists(list(x)) for x in zip(*aligner.align(texts))]
 
     return _mapped(docs, byte_model, piece_model, text_col, docs.columns, made, make)
 
@@ -318,8 +346,8 @@ def id_strings(n: int) -> np.ndarray:
     return np.array([[f"{i}{c}" for i in range(n)] for c in ",|;"], object)
 
 
-def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, strings: np.ndarray) -> str:
-    """The groups as ``a1,a2|b1;a3|b2``."""
+def _group_strings(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, strings: np.ndarray) -> list[str]:
+    """The strings of the ids, group by group."""
     n, m = len(a_ids), len(b_ids)
     a_mark, b_mark = np.zeros(n, np.int8), np.zeros(m, np.int8)
     a_mark[a_cuts - 1] = 1
@@ -328,7 +356,12 @@ def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts:
     out = np.empty(n + m, object)
     out[np.arange(n) + np.repeat(np.append(0, b_cuts[:-1]), np.diff(a_cuts, prepend=0))] = strings[a_mark, a_ids]
     out[np.arange(m) + np.repeat(a_cuts, np.diff(b_cuts, prepend=0))] = strings[b_mark, b_ids]
-    return "".join(out.tolist())[:-1]
+    return out.tolist()
+
+
+def group_text(a_ids: np.ndarray, b_ids: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, strings: np.ndarray) -> str:
+    """The groups as ``a1,a2|b1;a3|b2``."""
+    return "".join(_group_strings(a_ids, b_ids, a_cuts, b_cuts, strings))[:-1]
 
 
 class LinkPairs:
@@ -374,15 +407,29 @@ def aligned_digests(
     made += [T.StructField("groups_sha256", T.StringType()), T.StructField("links", T.ArrayType(T.IntegerType()))]
     held: list[np.ndarray] = []  # of a worker, once it has begun
 
-    def make(rows: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+    def records(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, stops: list[int]) -> list[tuple]:
         if not held:
             held.append(id_strings(shared.value.ids_below))
-        counts = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in range(3)]
-        digests = [hashlib.sha256(group_text(*r, held[0]).encode()).hexdigest() if len(r[2]) else "" for r in rows]
-        links = [shared.value.places(a[ca - 1], b[cb - 1]).astype(np.int32) for a, b, ca, cb in rows]
-        return [*counts, pa.array(digests, pa.string()), _lists(links)]
-
-    return _mapped(docs, byte_model, piece_model, text_col, keep, made, make)
+        strings = _group_strings(a, b, a_cuts, b_cuts, held[0])
+        links = shared.value.places(a[a_cuts - 1], b[b_cuts - 1]).astype(np.int32).tobytes()
+        last = np.array(stops) - 1
+        a_ends, b_ends = a_cuts[last], b_cuts[last]
+        n_a, n_b = (np.diff(x, prepend=0).tolist() for x in (a_ends, b_ends))
+        ends = (a_ends + b_ends).tolist()
+        texts = ["".join(strings[i:j]).encode() for i, j in zip([0, *ends], ends)]
+        return list(zip(texts, [links[4 * i : 4 * j] for i, j in zip([0, *stops], stops)], n_a, n_b))
+
+    def make(aligner: _Aligner, texts: list[str | None]) -> list[pa.Array]:
+        rows = []
+        for own in aligner.units(texts):
+            groups, links, n_a, n_b = zip(*own) if own else ((),) * 4
+            digest = hashlib.sha256(b"".join(groups)[:-1]).hexdigest() if own else ""
+            rows.append((sum(n_a), sum(n_b), digest, np.frombuffer(b"".join(links), np.int32)))
+        n_a, n_b, digests, links = zip(*rows)
+        counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, [len(x) for x in links])]
+        return [*counts, pa.array(digests, pa.string()), _lists(list(links))]
+
+    return _mapped(docs, byte_model, piece_model, text_col, keep, made, make, records)
 
 
 def link_counts(linked: DataFrame, pairs: LinkPairs, links: str = "links") -> DataFrame:
