@@ -48,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts."""
-    decoded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), piece_model()).drop("text"), piece_model())
+    decoded = pieces.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), piece_model())
     return decoded.select("doc_id", "lang", "source", *pieces.digests(decoded))
 
 

@@ -63,3 +63,19 @@ def test_whole_table(spark, sf, library):
         assert got[d.doc_id].n_tokens == len(ids)
         assert got[d.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[d.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_one_pass(spark, sf):
+    """Encoding and decoding in one pass give what the two give; the pipeline's last stage keeps one Python worker a task."""
+    import corpus_pipeline
+
+    rows = [(1, "The cat\nsat.", "x"), (2, None, "y"), (3, "", "z"), (1, "The cat\nsat.", "x"), (4, "🙂 ▁日  語\0 </s>" * 70, None)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, IDS string").coalesce(1)
+    out = pieces.encode_and_decode(df, MODEL)
+    assert out.columns == ["doc_id", "text", "IDS", "_ids", "decoded"]
+    both = pieces.decode(pieces.encode(df, MODEL), MODEL, "_ids")
+    assert out.collect() == both.collect()
+    assert pieces.encode_and_decode(df.limit(0), MODEL).count() == 0
+    _, stage = corpus_pipeline.STAGES[-1]
+    plan = stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -297,11 +297,11 @@ def load_model(path: str) -> bytes:
     return model
 
 
-def _mapped(df: DataFrame, coder: type, model: bytes, column: str, out: str, kind: T.DataType, convert) -> DataFrame:
-    """``df`` with ``out`` = ``convert(coder, values of column)``; every other column passes through."""
+def _mapped(df: DataFrame, coder: type, model: bytes, column: str, out: dict[str, T.DataType], convert) -> DataFrame:
+    """``df`` with the columns ``out`` = ``convert(coder, values of column)``; every other column passes through."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(column)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind in out.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made_by = coder_of(coder, shared.value)
@@ -309,41 +309,60 @@ def _mapped(df: DataFrame, coder: type, model: bytes, column: str, out: str, kin
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
                 made = convert(made_by, batch.column(at))
-                names = [*batch.schema.names, out]
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=names)
+                names = [*batch.schema.names, *out]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        pa.default_memory_pool().release_unused()  # the worker waits for other jobs with what it holds
 
     return df.mapInArrow(run, schema)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("more than 2^31 ids in one Arrow batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of each whole text as ``out`` array<int>; a null or empty text has none.
 
     The clashing name gets a leading underscore.  Repeated rows stay.
     """
 
-    def convert(coder: PieceCoder, texts: pa.Array) -> pa.Array:
-        ids = [coder.encode(t or "") for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)])
-        if ends[-1] >= 1 << 31:
-            raise ValueError("more than 2^31 ids in one Arrow batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+    def convert(coder: PieceCoder, texts: pa.Array) -> list[pa.Array]:
+        return [_lists([coder.encode(t or "") for t in texts.to_pylist()])]
 
     (name,) = fresh(df, out)
-    return _mapped(df, PieceCoder, load_model(model_path), text_col, name, T.ArrayType(T.IntegerType()), convert)
+    return _mapped(df, PieceCoder, load_model(model_path), text_col, {name: T.ArrayType(T.IntegerType())}, convert)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of the ids as ``out``; null ids give an empty text."""
 
-    def convert(coder: PieceDecoder, lists: pa.Array) -> pa.Array:
+    def convert(coder: PieceDecoder, lists: pa.Array) -> list[pa.Array]:
         if lists.null_count:
             lists = pc.fill_null(lists, pa.scalar([], lists.type))
         flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return pa.array([coder.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        return [pa.array([coder.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
 
     (name,) = fresh(df, out)
-    return _mapped(df, PieceDecoder, load_model(model_path), ids_col, name, T.StringType(), convert)
+    return _mapped(df, PieceDecoder, load_model(model_path), ids_col, {name: T.StringType()}, convert)
+
+
+def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with what ``encode`` and then ``decode`` add, in one pass: a task needs one Python worker, not two.
+
+    Clashing names get a leading underscore.  Repeated rows stay.
+    """
+
+    def convert(coder: PieceCoder, texts: pa.Array) -> list[pa.Array]:
+        found = [coder.encode(t or "") for t in texts.to_pylist()]
+        return [_lists(found), pa.array([coder.decode(x.tolist()) for x in found], pa.string())]
+
+    ids, decoded = fresh(df, ids, decoded)
+    out = {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}
+    return _mapped(df, PieceCoder, load_model(model_path), text_col, out, convert)
 
 
 def digests(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> list:
