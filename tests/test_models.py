@@ -137,6 +137,42 @@ def test_quantile_work_does_not_grow_with_the_training_rows(spark):
     assert len(looked[2_000]) == 2 and len(looked[20_000]) == 3
 
 
+def test_quantiles_come_from_the_cells_that_hold_them(spark, monkeypatch):
+    """Scored rows meet the training rows of one cell: no join of rows, trees and values; few leaves, many cells, a value that fills several
+    blocks, cells dealt to several groups. A forest with too many leaves for the table still selects digit by digit, to the same values."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": np.arange(900), "a": rng.uniform(0, 10, 900)})
+    pdf["y"] = np.where(rng.uniform(size=900) < 0.3, 7.0, np.round(pdf.a + rng.normal(0, 2, 900), 2))
+    pdf.loc[3, "y"] = None
+    df = spark.createDataFrame(pdf).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    fit, score, qs = df.where("id < 600"), df.where("id >= 600"), (0.0, 0.1, 0.5, 1.0)
+    monkeypatch.setattr(Q, "ROWS_PER_CELL", 10)
+    monkeypatch.setattr(Q, "SCORED_PER_GROUP", 7)
+    params, columns = R.ForestParams(5, 3, 2, 5), fit_columns(fit, ["a"])
+    digits = Q.QuantileForest.candidates
+
+    def joined(*_):
+        raise AssertionError("rows met the values of their leaves")
+
+    monkeypatch.setattr(Q.QuantileForest, "candidates", joined)
+    forest = fit_quantile_forest(fit, columns, "y", qs, params)
+    assert forest.table.upto.shape[1] > 50 and forest.values.where("cell % 2 = 1").count() == 1
+    nameless = score.unionByName(score.limit(1).withColumn("id", F.lit(None).cast("long")))
+    got = {r.id: r.quantiles for r in forest.predict(nameless, "id").collect()}
+    leaves = forest.model.transform(df).select("id", "y", vector_to_array("leaf").alias("leaf")).toPandas()
+    held, asked = leaves[(leaves.id < 600) & leaves.y.notna()].sort_values("y"), leaves[leaves.id >= 600]
+    lx = np.stack(held.leaf.to_numpy())
+    assert len(got) == len(asked) == 300
+    for _, row in asked.iterrows():
+        same = lx == np.asarray(row.leaf)[None]
+        weight = np.cumsum((same / same.sum(0)).mean(1))
+        assert all(got[row.id][q] == held.y.to_numpy()[np.argmax((weight >= q - 1e-12) & (weight > 0))] for q in qs)
+    monkeypatch.setattr(Q.QuantileForest, "candidates", digits)
+    monkeypatch.setattr(Q, "TABLE", 100)
+    many = fit_quantile_forest(fit, columns, "y", qs, params)
+    assert many.table is None and {r.id: r.quantiles for r in many.predict(score, "id").collect()} == got
+
+
 def test_training_job(spark, table, tmp_path):
     df, _ = table
     done = train(
