@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tidemark.operators.preprocess import fit_columns
 from tidemark.operators import quantile_forest as Q
 from tidemark.operators.quantile_forest import fit_quantile_forest
 from tidemark.operators.scoring import score_table
+from tidemark.operators.splits import contiguous_folds
 from tidemark.plans.training import train
 from tidemark.roles import Roles
 from tidemark.sources import stores as S
@@ -75,6 +77,40 @@ def test_tuning(spark, table):
         R.tune_holdout(*part, columns, "price", "other", 1)
 
 
+@pytest.fixture
+def encoded(monkeypatch):
+    """How often rows are scaled and encoded: the frames that the feature stages are asked to transform."""
+    seen, plain = [], PipelineModel.transform
+
+    def transform(self, dataset, params=None):
+        seen.append(len(self.stages))
+        return plain(self, dataset, params) if params else plain(self, dataset)
+
+    monkeypatch.setattr(PipelineModel, "transform", transform)
+    return seen
+
+
+def test_cross_validation_encodes_each_row_once(table, encoded, monkeypatch):
+    df, columns = table
+    found = sorted(R.cross_validate(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).collect())
+    assert len(encoded) == 1 and [r.fold for r in found] == [0, 1, 2]
+    placed = contiguous_folds(df, ["timestamp", "id"], 3).cache()
+    for fold, mae in found:
+        model = R.fit_forest(placed.where(F.col("fold") != fold), columns, "price", PARAMS)
+        assert np.isclose(mae, R.forecast_score(R.predict(model, placed.where(F.col("fold") == fold), [], "price"), "mae"))
+    # fits that take turns give the same
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", 10)
+    assert sorted(R.cross_validate(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).collect()) == found
+
+
+def test_evaluation_encodes_each_row_once(table, encoded):
+    df, columns = table
+    row = R.evaluate_forest(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).first()
+    assert len(encoded) == 1
+    model = R.fit_forest(contiguous_folds(df, ["timestamp", "id"], 3), columns, "price", PARAMS)
+    assert np.isclose(row.mae, R.forecast_score(R.predict(model, df, [], "price"), "mae"))
+
+
 def test_cross_validation(table):
     df, columns = table
     row = R.evaluate_forest(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).first()
