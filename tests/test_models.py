@@ -111,6 +111,16 @@ def test_evaluation_encodes_each_row_once(table, encoded):
     assert np.isclose(row.mae, R.forecast_score(R.predict(model, df, [], "price"), "mae"))
 
 
+def test_search_encodes_each_row_once(table, encoded):
+    df, columns = table[0].coalesce(1), table[1]
+    part = [df.where(c) for c in ("id < 300", "id >= 300")]
+    space = R.SearchSpace((3, 6), (2, 4), (2, 3), (1, 3))
+    found = R.tune_holdout(*part, columns, "price", "mae", 3, space)
+    assert len(encoded) == 2  # training rows and held-out rows
+    model = R.fit_forest(part[0], columns, "price", found.best.params)
+    assert np.isclose(found.best.score, R.forecast_score(R.predict(model, part[1], [], "price"), "mae"))
+
+
 def test_cross_validation(table):
     df, columns = table
     row = R.evaluate_forest(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).first()
