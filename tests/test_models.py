@@ -12,7 +12,7 @@ from tidemark.operators.preprocess import fit_columns
 from tidemark.operators import quantile_forest as Q
 from tidemark.operators.quantile_forest import fit_quantile_forest
 from tidemark.operators.scoring import score_table
-from tidemark.operators.splits import contiguous_folds
+from tidemark.operators.splits import contiguous_folds, fold_bounds
 from tidemark.plans.training import train
 from tidemark.roles import Roles
 from tidemark.sources import stores as S
@@ -121,6 +121,19 @@ def test_search_encodes_each_row_once(table, encoded):
     assert np.isclose(found.best.score, R.forecast_score(R.predict(model, part[1], [], "price"), "mae"))
 
 
+def test_search_over_folds_encodes_each_row_once(table, encoded):
+    df, columns = table[0].coalesce(1), table[1]
+    found = R.tune_folds(df, ["timestamp", "id"], columns, "price", 2, "mae", 2, R.SearchSpace((3, 6), (2, 4), (2, 3), (1, 3)))
+    assert len(encoded) == 1
+    scores = []
+    for fold in range(2):
+        start, end = fold_bounds(400, 2, fold)
+        model = R.fit_forest(df.where(F.col("id") < start), columns, "price", found.best.params)
+        held = df.where((F.col("id") >= start) & (F.col("id") < end))
+        scores.append(R.forecast_score(R.predict(model, held, [], "price"), "mae"))
+    assert np.isclose(found.best.score, np.mean(scores))
+
+
 def test_cross_validation(table):
     df, columns = table
     row = R.evaluate_forest(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).first()
