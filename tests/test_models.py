@@ -134,6 +134,15 @@ def test_search_over_folds_encodes_each_row_once(table, encoded):
     assert np.isclose(found.best.score, np.mean(scores))
 
 
+def test_training_job_encodes_each_row_once(table, encoded):
+    df, _ = table
+    done = train(df, ROLES, trials=3, space=R.SearchSpace((3, 5), (2, 4), (2, 3), (1, 2)))
+    assert len(encoded) == 3  # training, validation and test rows, however many trials
+    model = R.fit_forest(done.data.where("split = 'train'"), done.columns, "price", done.search.best.params)
+    again = R.predict(model, done.data.where("split = 'test'"), [], "price")
+    assert np.isclose(done.test_metrics.first().mae, R.forecast_score(again, "mae"))
+
+
 def test_cross_validation(table):
     df, columns = table
     row = R.evaluate_forest(df, ["timestamp", "id"], columns, "price", PARAMS, folds=3).first()
